@@ -53,7 +53,8 @@ def last_document(members: DataFrame) -> DataFrame:
 
 def manifest_diff(sessions: DataFrame, files: DataFrame) -> DataFrame:
     """Incoming files with the known session they continue, if any: same name,
-    size and modification time, missing ones as '' and 0, PDF sessions only.
+    size and modification time, missing ones as '' and 0, PDF sessions only
+    (the latest one where an identity occurs twice).
 
     ``files(file_id, file_name, file_size, modified)``;
     ``sessions(session_id, source_kind, file_name, file_size, modified, next_page)``.
@@ -64,7 +65,12 @@ def manifest_diff(sessions: DataFrame, files: DataFrame) -> DataFrame:
         F.coalesce(F.col("modified").cast("bigint"), F.lit(0)).alias("k_time"),
     ]
     kind = F.coalesce(F.nullif(F.col("source_kind"), F.lit("")), F.lit("pdf"))
-    known = sessions.filter(kind == "pdf").select(*key, "session_id", "next_page")
+    known = (
+        sessions.filter(kind == "pdf")
+        .select(*key, "session_id", "next_page")
+        .groupBy("k_name", "k_size", "k_time")
+        .agg(F.max("session_id").alias("session_id"), F.max_by("next_page", "session_id").alias("next_page"))
+    )
     return files.select("*", *key).join(known, ["k_name", "k_size", "k_time"], "left").drop("k_name", "k_size", "k_time")
 
 

@@ -435,12 +435,6 @@ def resolve_overlaps(matches: DataFrame, policy: str = "registry") -> DataFrame:
     ).select(*matches.columns)
 
 
-def unmarked_entries(entries: DataFrame, doc_ids: DataFrame, marked: DataFrame) -> DataFrame:
-    """Per document, the registry entries of its project without a mark yet."""
-    wanted = doc_ids.select("project_id", "doc_id").join(entries, "project_id")
-    return wanted.join(marked.select("doc_id", "pd_id"), ["doc_id", "pd_id"], "left_anti")
-
-
 def match_unmarked(units: DataFrame, mentions: DataFrame, marked: DataFrame, strategy: str = "auto", **how) -> DataFrame:
     """Second pass: hits of the entries a document has no mark of yet. The
     entry list per document is never built; hits of marked entries are taken

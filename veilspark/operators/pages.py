@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -20,15 +20,21 @@ MIN_REVISED_PAGE = 30
 SEGMENT_PAGES = 1000
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once per row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def positive(value: Column, to: str = "bigint") -> Column:
     """Number when finite and above zero, else null; text is converted."""
-    number = value.try_cast("double")
-    return F.when(number.isNotNull() & ~F.isnan(number) & (number > 0) & (number < float("inf")), number.cast(to))
+    usable = lambda n: (n > 0) & (n < float("inf")) & ~F.isnan(n)
+    kept = let(value.try_cast("double"), lambda n: F.when(usable(n), n.cast(to)))
+    return F.nullif(kept, F.lit(0).cast(to))
 
 
 def number_or_null(value: Column) -> Column:
-    number = value.try_cast("double")
-    return F.when(number.isNotNull() & ~F.isnan(number) & (F.abs(number) < float("inf")), number)
+    finite = lambda n: (F.abs(n) < float("inf")) & ~F.isnan(n)
+    return let(value.try_cast("double"), lambda n: F.when(finite(n), n))
 
 
 def _missing_as_null(value: Column) -> Column:
@@ -43,40 +49,43 @@ def valid_pages(pages: DataFrame, page_no: str = "page_no") -> DataFrame:
 
 def pages_from_range(page_from: Column, page_to: Column) -> Column:
     """array<page>; empty unless both ends are positive and in order."""
-    a, b = positive(page_from), positive(page_to)
-    numbers = F.when(a.isNotNull() & b.isNotNull() & (b >= a), F.sequence(a, b)).otherwise(
-        F.array().cast("array<bigint>")
-    )
     empty = F.lit(None).cast("double")
-    return F.transform(
-        numbers,
-        lambda n, i: F.struct(
-            n.alias("pageNumber"),
-            (i + 1).cast("bigint").alias("chunkPageIndex"),
-            empty.alias("pdfWidth"),
-            empty.alias("pdfHeight"),
-            empty.alias("renderWidth"),
-            empty.alias("renderHeight"),
-            F.lit(0.0).alias("rotation"),
-            F.lit("").alias("mediaType"),
-        ),
-    )
+
+    def between(r: Column) -> Column:
+        numbers = F.when(r["b"] >= r["a"], F.sequence(r["a"], r["b"]))
+        return F.transform(
+            F.coalesce(numbers, F.array().cast("array<bigint>")),
+            lambda n, i: F.struct(
+                n.alias("pageNumber"),
+                (i + 1).cast("bigint").alias("chunkPageIndex"),
+                empty.alias("pdfWidth"),
+                empty.alias("pdfHeight"),
+                empty.alias("renderWidth"),
+                empty.alias("renderHeight"),
+                F.lit(0.0).alias("rotation"),
+                F.lit("").alias("mediaType"),
+            ),
+        )
+
+    return let(F.struct(positive(page_from).alias("a"), positive(page_to).alias("b")), between)
 
 
 def normalize_page(page: Column, index: Column, fallback_number: Column) -> Column:
     """struct<page> with coerced numbers and defaults; null without a number."""
-    number = positive(F.coalesce(_missing_as_null(page["pageNumber"]), fallback_number))
-    return F.when(
-        number.isNotNull(),
-        F.struct(
-            number.alias("pageNumber"),
-            F.coalesce(positive(page["chunkPageIndex"]), (index + 1).cast("bigint")).alias("chunkPageIndex"),
-            number_or_null(page["pdfWidth"]).alias("pdfWidth"),
-            number_or_null(page["pdfHeight"]).alias("pdfHeight"),
-            positive(page["renderWidth"], "double").alias("renderWidth"),
-            positive(page["renderHeight"], "double").alias("renderHeight"),
-            F.coalesce(number_or_null(page["rotation"]), F.lit(0.0)).alias("rotation"),
-            F.coalesce(page["mediaType"], F.lit("")).alias("mediaType"),
+    return let(
+        positive(F.coalesce(_missing_as_null(page["pageNumber"]), fallback_number)),
+        lambda number: F.when(
+            number.isNotNull(),
+            F.struct(
+                number.alias("pageNumber"),
+                F.coalesce(positive(page["chunkPageIndex"]), (index + 1).cast("bigint")).alias("chunkPageIndex"),
+                number_or_null(page["pdfWidth"]).alias("pdfWidth"),
+                number_or_null(page["pdfHeight"]).alias("pdfHeight"),
+                positive(page["renderWidth"], "double").alias("renderWidth"),
+                positive(page["renderHeight"], "double").alias("renderHeight"),
+                F.coalesce(number_or_null(page["rotation"]), F.lit(0.0)).alias("rotation"),
+                F.coalesce(page["mediaType"], F.lit("")).alias("mediaType"),
+            ),
         ),
     )
 
@@ -89,16 +98,11 @@ def _text(value: Column, *more: Column) -> Column:
 def normalize_source(source: Column, entry: Mapping[str, Column]) -> Column:
     """struct<source> of one metadata source with the document's own fields as
     fallback; null when neither range nor pages are known."""
-    start = positive(F.coalesce(_missing_as_null(source["pageFrom"]), entry["page_from"]))
-    end = positive(F.coalesce(_missing_as_null(source["pageTo"]), entry["page_to"]))
-    total = positive(F.coalesce(_missing_as_null(source["totalPages"]), entry["total_pages"]))
-    given = F.transform(
-        source["pages"],
-        lambda p, i: normalize_page(p, i, F.when(start.isNotNull(), start + i)),
+    ends = F.struct(
+        positive(F.coalesce(_missing_as_null(source["pageFrom"]), entry["page_from"])).alias("start"),
+        positive(F.coalesce(_missing_as_null(source["pageTo"]), entry["page_to"])).alias("end"),
+        positive(F.coalesce(_missing_as_null(source["totalPages"]), entry["total_pages"])).alias("total"),
     )
-    pages = F.when(
-        F.size(F.coalesce(source["pages"], F.array().cast(f"array<{PAGE}>"))) > 0, F.filter(given, lambda p: p.isNotNull())
-    ).otherwise(pages_from_range(start, end))
     file = source["sourceFile"]
     named = file.isNotNull() | (_text(entry["original_file_name"], entry["batch_file_name"]) != "")
     source_file = F.when(
@@ -113,18 +117,30 @@ def normalize_source(source: Column, entry: Mapping[str, Column]) -> Column:
         ),
     )
     project = F.nullif(_text(source["projectId"], entry["project_id"]), F.lit(""))
-    return F.when(
-        start.isNotNull() | end.isNotNull() | (F.size(pages) > 0),
-        F.struct(
-            source_file.alias("sourceFile"),
-            _text(source["batchFileName"], entry["batch_file_name"]).alias("batchFileName"),
-            project.alias("projectId"),
-            F.coalesce(start, F.get(pages, F.lit(0))["pageNumber"]).alias("pageFrom"),
-            F.coalesce(end, F.try_element_at(pages, F.lit(-1))["pageNumber"]).alias("pageTo"),
-            total.alias("totalPages"),
-            pages.alias("pages"),
-        ),
-    )
+
+    def pages_of(e: Column) -> Column:
+        given = F.transform(
+            source["pages"], lambda p, i: normalize_page(p, i, F.when(e["start"].isNotNull(), e["start"] + i))
+        )
+        return F.when(F.size(source["pages"]) > 0, F.filter(given, lambda p: p.isNotNull())).otherwise(
+            pages_from_range(e["start"], e["end"])
+        )
+
+    def shape(e: Column, pages: Column) -> Column:
+        return F.when(
+            e["start"].isNotNull() | e["end"].isNotNull() | (F.size(pages) > 0),
+            F.struct(
+                source_file.alias("sourceFile"),
+                _text(source["batchFileName"], entry["batch_file_name"]).alias("batchFileName"),
+                project.alias("projectId"),
+                F.coalesce(e["start"], F.get(pages, F.lit(0))["pageNumber"]).alias("pageFrom"),
+                F.coalesce(e["end"], F.try_element_at(pages, F.lit(-1))["pageNumber"]).alias("pageTo"),
+                e["total"].alias("totalPages"),
+                pages.alias("pages"),
+            ),
+        )
+
+    return let(ends, lambda e: let(pages_of(e), lambda pages: shape(e, pages)))
 
 
 def normalize_metadata(meta: Column, entry: Mapping[str, Column]) -> Column:
@@ -148,11 +164,11 @@ def normalize_metadata(meta: Column, entry: Mapping[str, Column]) -> Column:
     no_names = {**entry, "original_file_name": none, "batch_file_name": none}
     built = normalize_source(bare, no_names)
     version = F.lit(METADATA_VERSION).alias("version")
-    return (
-        F.when(F.size(known) > 0, F.struct(version, known.alias("sources")))
-        .when(built.isNotNull(), F.struct(version, F.array(built).alias("sources")))
-        .cast(PAGE_METADATA)
-    )
+    return let(
+        F.struct(known.alias("known"), built.alias("built")),
+        lambda m: F.when(F.size(m["known"]) > 0, F.struct(version, m["known"].alias("sources")))
+        .when(m["built"].isNotNull(), F.struct(version, F.array(m["built"]).alias("sources"))),
+    ).cast(PAGE_METADATA)
 
 
 def assemble_pages(

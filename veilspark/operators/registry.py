@@ -120,6 +120,11 @@ def filter_generic_birthplace(entries: DataFrame, value: str = "value") -> DataF
     return entries.filter((F.col("pd_type") != "birthplace") | ~is_generic_birthplace(F.col(value)))
 
 
+def mention_length_filter(rows: DataFrame, minimum: int = 2) -> DataFrame:
+    """Person mentions shorter than ``minimum`` are ignored everywhere."""
+    return rows.filter((F.col("kind") != "person") | (F.length("mention") >= minimum))
+
+
 def explode_registry(entries: DataFrame, literal_persons: bool = False) -> DataFrame:
     """Mention rows with pattern and rank columns.
 
@@ -136,7 +141,7 @@ def explode_registry(entries: DataFrame, literal_persons: bool = False) -> DataF
     rows = entries.select(
         *[c for c in entries.columns if c != "mentions"], F.posexplode(values).alias("m_pos", "mention")
     ).filter(F.col("mention").isNotNull() & (F.col("mention") != ""))
-    rows = rows.filter((F.col("kind") != "person") | (F.length("mention") > 1))
+    rows = mention_length_filter(rows)
     kind = F.col("kind")
     pattern = (
         F.when(

@@ -49,12 +49,9 @@ def _put(df: DataFrame, log: str, batch_id: int) -> None:
 
 
 def _log(spark: SparkSession, log: str, schema: T.StructType, before: int | None = None) -> DataFrame:
-    """A log table, empty when nothing was written yet."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(log)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    """A log table; an empty first batch makes it readable from the start."""
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{log}/batch=-1")
     full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-    if not system.exists(path):
-        return spark.createDataFrame([], full)
     rows = spark.read.schema(full).parquet(log)
     return rows if before is None else rows.filter(F.col("batch") < before)
 
