@@ -1 +1,413 @@
-"""Placeholder."""
+"""Registry: merging, letters, labels, edits."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from ..functions import arrays as A
+from ..operators import corpus, registry as R, reports
+from .suite import query
+from .suite_text import PERSONS, WS, _split_select, persons, sql_trim, table
+
+
+def sql_norm(s: str) -> str:
+    return sql_trim(f"regexp_replace({s}, '{WS}+', ' ', 'g')")
+
+
+OTHER_SQL = """
+ 'p' || (p_partkey % 13) AS project_id, 'o' || p_partkey AS pd_id, p_partkey AS seq, 'other' AS kind, CAST(NULL AS string) AS category,
+ p_type AS pd_type, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE ' ' || replace(p_name, ' ', '  ') END AS value,
+ CAST(NULL AS string) AS role, CAST(NULL AS string) AS letter, '[' || lower(p_type) || ']' AS replacement
+"""
+OTHERS = f"""others AS (SELECT {OTHER_SQL}, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE [p_brand, p_name, 'BRAND#' || (p_partkey % 4)] END AS mentions FROM part)"""
+
+
+def others(spark, sf) -> DataFrame:
+    return table(spark, sf, "part").selectExpr(
+        *_split_select(OTHER_SQL),
+        "CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE array(p_brand, p_name, 'BRAND#' || (p_partkey % 4)) END AS mentions",
+    )
+
+
+@query(
+    "u1_merge_persons",
+    f"""WITH {PERSONS},
+    k AS (SELECT *, lower(value) AS nk, min(seq) OVER (PARTITION BY project_id, lower(value)) AS bseq FROM persons),
+    base AS (SELECT * FROM k WHERE seq = bseq),
+    role AS (SELECT project_id, nk, arg_min(role, seq) AS r FROM k WHERE role <> '' GROUP BY ALL),
+    m AS (SELECT project_id, nk, seq, bseq, unnest(mentions) AS raw, unnest(range(len(mentions))) AS pos FROM k),
+    n AS (SELECT m.project_id, m.nk, m.seq, m.bseq, pos, {sql_norm("raw")} AS mention, lower({sql_norm("base.value")}) AS bv
+        FROM m JOIN base USING (project_id, nk)),
+    d AS (SELECT project_id, nk, lower(mention) AS mk, arg_min(mention, seq * 100 + pos) AS mention, min(seq) AS fs, min(bseq) AS bseq
+        FROM n WHERE mention <> '' AND (seq = bseq OR lower(mention) <> bv) GROUP BY project_id, nk, lower(mention)),
+    added AS (SELECT DISTINCT project_id, nk FROM d WHERE fs > bseq),
+    l AS (SELECT project_id, nk, mention FROM d SEMI JOIN added USING (project_id, nk)
+        UNION ALL SELECT project_id, nk, unnest(mentions) FROM base ANTI JOIN added USING (project_id, nk))
+    SELECT b.project_id, b.pd_id, b.value, b.category, coalesce(role.r, b.role) AS role, l.mention
+    FROM base b JOIN l USING (project_id, nk) LEFT JOIN role USING (project_id, nk)""",
+)
+def _(spark, sf):
+    merged, rows = R.merge_persons(persons(spark, sf))
+    return merged.select("project_id", "pd_id", "value", "category", "role").join(
+        rows.select("project_id", "pd_id", "mention"), ["project_id", "pd_id"]
+    )
+
+
+@query(
+    "u2_merge_others",
+    f"""WITH {OTHERS},
+    k AS (SELECT *, lower({sql_norm("value")}) AS vk, min(seq) OVER w AS bseq, count(*) OVER w AS n FROM others
+        WINDOW w AS (PARTITION BY project_id, pd_type, lower({sql_norm("value")}))),
+    m AS (SELECT project_id, pd_type, vk, seq, pos, {sql_norm("raw")} AS mention FROM (
+        SELECT project_id, pd_type, vk, seq, unnest(range(len(l))) AS pos, unnest(l) AS raw FROM (
+            SELECT *, CASE WHEN seq = bseq THEN coalesce(mentions, []) ELSE list_concat([value], coalesce(mentions, [])) END AS l FROM k WHERE n > 1))),
+    d AS (SELECT project_id, pd_type, vk, arg_min(mention, seq * 100 + pos) AS mention FROM m WHERE mention <> '' GROUP BY project_id, pd_type, vk, lower(mention)),
+    l AS (SELECT * FROM d UNION ALL SELECT project_id, pd_type, vk, unnest(mentions) FROM k WHERE n = 1)
+    SELECT k.project_id, k.pd_id, k.pd_type, k.value, l.mention FROM k JOIN l USING (project_id, pd_type, vk) WHERE k.seq = k.bseq""",
+)
+def _(spark, sf):
+    merged, rows = R.merge_others(others(spark, sf))
+    return merged.select("project_id", "pd_id", "pd_type", "value").join(
+        rows.select("project_id", "pd_id", "mention"), ["project_id", "pd_id"]
+    )
+
+
+@query(
+    "u3_registry_delta",
+    f"""WITH {PERSONS},
+    m AS (SELECT project_id, pd_id, seq, lower(value) AS nk, {sql_norm("unnest(list_concat([value], mentions))")} AS mention FROM persons),
+    r AS (SELECT *, lower(mention) AS mk FROM m WHERE mention <> ''),
+    known AS (SELECT DISTINCT project_id, nk, mk FROM r WHERE seq % 2 = 0)
+    SELECT DISTINCT r.project_id, r.pd_id, r.mk AS mention_key,
+      CASE WHEN EXISTS (SELECT 1 FROM known k WHERE k.project_id = r.project_id AND k.nk = r.nk) THEN 'extended' ELSE 'new' END AS change
+    FROM r ANTI JOIN known USING (project_id, nk, mk) WHERE seq % 2 = 1""",
+)
+def _(spark, sf):
+    p = persons(spark, sf)
+    delta = R.registry_delta(p.filter("seq % 2 = 0"), p.filter("seq % 2 = 1"))
+    return delta.select("project_id", "pd_id", F.lower("mention").alias("mention_key"), "change")
+
+
+ALPHABET = "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЭЮЯ"
+
+
+def five_projects(df: DataFrame) -> DataFrame:
+    return df.withColumn("project_id", F.concat(F.lit("q"), (F.regexp_extract("project_id", "([0-9]+)", 1).cast("int") % 5).cast("string")))
+
+
+LETTERED = f"""x AS (SELECT 'q' || (c_nationkey % 5) AS project_id, 'c' || c_custkey AS pd_id, c_custkey AS seq,
+      CASE WHEN c_mktsegment IN ('BUILDING', 'AUTOMOBILE') THEN 'private' WHEN c_mktsegment IN ('MACHINERY', 'FURNITURE') THEN 'professional' ELSE 'unknown' END AS category
+      FROM customer),
+    y AS (SELECT *, CASE WHEN category = 'private' THEN 'private' ELSE 'professional' END AS series FROM x),
+    e AS (SELECT project_id, category AS series, count(*) AS n FROM x WHERE seq % 5 = 0 AND category <> 'unknown' GROUP BY ALL),
+    k AS (SELECT y.project_id, pd_id, seq, y.series, row_number() OVER (PARTITION BY y.project_id, y.series ORDER BY seq) + coalesce(e.n, 0) AS k
+        FROM y LEFT JOIN e ON e.project_id = y.project_id AND e.series = y.series WHERE seq % 5 <> 0),
+    lettered AS (SELECT project_id, pd_id, CASE WHEN series <> 'private' THEN '[ФИО ' || k || ']'
+        WHEN k <= 29 THEN substr('{ALPHABET}', CAST(k AS INT), 1) || '.' ELSE 'Л-' || k END AS letter FROM k)"""
+
+
+@query("w1_assign_letters", f"WITH {LETTERED} SELECT project_id, pd_id, letter FROM lettered")
+def _(spark, sf):
+    p = five_projects(persons(spark, sf))
+    return R.assign_letters(p.filter("seq % 5 <> 0"), p.filter("seq % 5 = 0")).select("project_id", "pd_id", "letter")
+
+
+@query(
+    "t3_rank_mentions",
+    f"""WITH {PERSONS}, {OTHERS},
+    pm AS (SELECT project_id, pd_id, seq, 0 AS ko, unnest(range(len(mentions))) AS pos, unnest(mentions) AS mention FROM persons),
+    om AS (SELECT project_id, pd_id, seq, {sql_norm("m")} AS mention, pos FROM (SELECT project_id, pd_id, seq, unnest(range(len(l))) AS pos, unnest(l) AS m
+        FROM (SELECT *, list_concat([value], coalesce(mentions, [])) AS l FROM others))),
+    od AS (SELECT *, row_number() OVER (PARTITION BY pd_id, lower(mention) ORDER BY pos) AS rn FROM om WHERE mention <> ''),
+    a AS (SELECT replace(project_id, 'n', 'p') AS project_id, pd_id, seq, ko, pos, mention FROM pm WHERE length(mention) > 1
+        UNION ALL SELECT project_id, pd_id, seq, 1, row_number() OVER (PARTITION BY pd_id ORDER BY pos) - 1, mention FROM od WHERE rn = 1)
+    SELECT project_id, pd_id, mention, pos AS m_pos,
+      row_number() OVER (PARTITION BY project_id ORDER BY length(mention) DESC, ko, seq, pos) AS mention_rank FROM a""",
+)
+def _(spark, sf):
+    both = persons(spark, sf).withColumn("project_id", F.translate("project_id", "n", "p")).unionByName(others(spark, sf))
+    ranked = R.rank_mentions(R.explode_registry(both))
+    return ranked.select("project_id", "pd_id", "mention", F.col("m_pos").cast("bigint").alias("m_pos"), "mention_rank")
+
+
+@query(
+    "m1_explode_registry",
+    f"""WITH {PERSONS}, {OTHERS},
+    om AS (SELECT pd_id, {sql_norm("m")} AS mention, pos FROM (SELECT pd_id, unnest(range(len(l))) AS pos, unnest(l) AS m
+        FROM (SELECT *, list_concat([value], coalesce(mentions, [])) AS l FROM others))),
+    od AS (SELECT *, row_number() OVER (PARTITION BY pd_id, lower(mention) ORDER BY pos) AS rn FROM om WHERE mention <> '')
+    SELECT pd_id, m AS mention, NULL AS pattern FROM (SELECT pd_id, unnest(CASE WHEN seq % 6 = 0 THEN [value] ELSE mentions END) AS m FROM persons) WHERE length(m) > 1
+    UNION ALL SELECT pd_id, mention, '(?iu)' || array_to_string(list_transform(string_split(mention, ' '),
+      lambda w: regexp_replace(w, '([.*+?^${{}}()|\\[\\]\\\\])', '\\\\\\1', 'g')), '{WS}+') FROM od WHERE rn = 1""",
+)
+def _(spark, sf):
+    p = persons(spark, sf).withColumn("mentions", F.when(F.col("seq") % 6 == 0, None).otherwise(F.col("mentions")))
+    rows = R.explode_registry(p.unionByName(others(spark, sf)))
+    return rows.select("pd_id", "mention", F.when(F.col("kind") == "other", F.col("pattern")).alias("pattern"))
+
+
+@query(
+    "j6_remove_ambiguous_mentions",
+    """WITH w AS (SELECT conv_id, turn, role, string_split(text, ' ') AS l FROM conversations),
+    m AS (SELECT conv_id AS doc_id, 't' || turn AS pd_id, unnest(l) AS mention FROM w),
+    a AS (SELECT DISTINCT conv_id AS doc_id, lower(trim(l[1])) AS k FROM w WHERE role = 'user')
+    SELECT doc_id, pd_id, mention FROM m WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.doc_id = m.doc_id AND a.k = lower(trim(m.mention)) AND a.k <> '')""",
+)
+def _(spark, sf):
+    w = table(spark, sf, "conversations").withColumn("l", F.split("text", " ", -1))
+    rows = w.select(F.col("conv_id").alias("doc_id"), F.concat(F.lit("t"), "turn").alias("pd_id"), F.explode("l").alias("mention"))
+    unclear = w.filter("role = 'user'").select(
+        F.col("conv_id").alias("doc_id"), F.concat(F.lit(" "), F.upper(F.col("l")[0])).alias("value")
+    )
+    return R.remove_ambiguous_mentions(rows, unclear)
+
+
+@query(
+    "j10_type_labels",
+    "WITH t(pd_type, label) AS (VALUES "
+    + ", ".join(f"('{k}', '{v}')" for k, v in R.TYPE_LABELS.items())
+    + """),
+    e AS (SELECT c_custkey AS seq, ["""
+    + ", ".join(f"'{t}'" for t in [*R.PD_TYPES, "weird"])
+    + """][1 + c_custkey % 21] AS pd_type FROM customer)
+    SELECT seq, pd_type, coalesce(label, pd_type) AS label, '[' || coalesce(label, pd_type) || ']' AS replacement FROM e LEFT JOIN t USING (pd_type)""",
+)
+def _(spark, sf):
+    types = F.array(*[F.lit(t) for t in [*R.PD_TYPES, "weird"]])
+    e = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("seq"), F.element_at(types, (F.col("c_custkey") % 21 + 1).cast("int")).alias("pd_type")
+    )
+    return R.type_labels(e)
+
+
+@query(
+    "j11_effective_registry",
+    f"""WITH {PERSONS}, shared AS (SELECT * FROM persons WHERE seq % 3 = 0 AND length(project_id) = 2),
+    d AS (SELECT *, seq % 10 AS doc_id FROM persons WHERE seq % 3 <> 0), last AS (SELECT project_id, max(doc_id) AS doc_id FROM d GROUP BY ALL)
+    SELECT project_id, pd_id, 'shared' AS origin FROM shared
+    UNION ALL SELECT project_id, pd_id, 'last_document' FROM d SEMI JOIN last USING (project_id, doc_id) ANTI JOIN shared USING (project_id)""",
+)
+def _(spark, sf):
+    p = persons(spark, sf)
+    shared = p.filter("seq % 3 = 0 AND length(project_id) = 2")
+    of_docs = p.filter("seq % 3 <> 0").withColumn("doc_id", F.col("seq") % 10)
+    last = corpus.last_document(of_docs.select("project_id", "doc_id", F.col("doc_id").alias("pos")))
+    return R.effective_registry(shared, of_docs, last).select("project_id", "pd_id", "origin")
+
+
+@query(
+    "a2_pd_counts_per_document",
+    f"""WITH {PERSONS} SELECT seq % 100 AS doc_id, nullif(count(*) FILTER (category = 'private' AND seq % 4 <> 0), 0) AS n_private,
+      nullif(count(*) FILTER (category = 'professional' AND seq % 4 <> 0), 0) AS n_professional, nullif(count(*) FILTER (seq % 4 = 0), 0) AS n_other
+    FROM persons GROUP BY ALL""",
+)
+def _(spark, sf):
+    p = persons(spark, sf).withColumn("doc_id", F.col("seq") % 100)
+    return reports.pd_counts_per_document(p.withColumn("kind", F.when(F.col("seq") % 4 == 0, "other").otherwise("person")))
+
+
+@query(
+    "f2_has_pd",
+    f"WITH {PERSONS} SELECT seq % 700 AS doc_id, bool_or(category <> 'unknown') AS has_pd FROM persons GROUP BY ALL",
+)
+def _(spark, sf):
+    return reports.has_pd(persons(spark, sf).withColumn("doc_id", F.col("seq") % 700))
+
+
+@query(
+    "a3_group_other_by_type",
+    f"""WITH {OTHERS} SELECT project_id, pd_type, pd_id, row_number() OVER (PARTITION BY project_id, pd_type ORDER BY seq) AS pos_in_type,
+      count(*) OVER (PARTITION BY project_id, pd_type) AS n_in_type FROM others""",
+)
+def _(spark, sf):
+    return reports.group_other_by_type(others(spark, sf)).select("project_id", "pd_type", "pd_id", "pos_in_type", "n_in_type")
+
+
+@query(
+    "a9_toggle_category",
+    f"""WITH {PERSONS}, {OTHERS}, e AS (SELECT project_id, pd_id, seq, category AS g FROM persons UNION ALL SELECT project_id, pd_id, seq, pd_type FROM others),
+    f AS (SELECT *, seq % 2 = 0 OR length(project_id) = 2 AS flag FROM e)
+    SELECT project_id, pd_id, g AS group_key, NOT bool_and(flag) OVER (PARTITION BY project_id, g) AS target FROM f""",
+)
+def _(spark, sf):
+    e = persons(spark, sf).unionByName(others(spark, sf))
+    flags = e.filter("seq % 2 = 0 OR length(project_id) = 2").select("project_id", "pd_id")
+    return reports.toggle_category(e, flags)
+
+
+@query(
+    "a10_dedupe_mentions",
+    f"""WITH {PERSONS}, m AS (SELECT pd_id, unnest(range(len(mentions))) AS pos, {sql_norm("unnest(mentions)")} AS m FROM persons),
+    d AS (SELECT *, row_number() OVER (PARTITION BY pd_id, lower(m) ORDER BY pos) AS rn FROM m WHERE m <> '')
+    SELECT pd_id, string_agg(m, '|' ORDER BY pos) AS mentions FROM d WHERE rn = 1 GROUP BY pd_id""",
+)
+def _(spark, sf):
+    return persons(spark, sf).select("pd_id", F.array_join(A.dedupe_mentions("mentions"), "|").alias("mentions"))
+
+
+@query(
+    "a7_merge_flags",
+    """SELECT source AS project_id, 'pd' || (doc_id % 3) AS pd_id, bool_or(toxic = 1) AS any_flag, arg_max(toxic = 1, doc_id) AS last_flag
+    FROM labels JOIN documents USING (doc_id) GROUP BY ALL""",
+)
+def _(spark, sf):
+    flags = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id").select(
+        F.col("source").alias("project_id"),
+        F.concat(F.lit("pd"), (F.col("doc_id") % 3).cast("string")).alias("pd_id"),
+        (F.col("toxic") == 1).alias("flag"),
+        F.col("doc_id").alias("seq"),
+    )
+    last = reports.merge_flags(flags, "last").withColumnRenamed("flag", "last_flag")
+    some = reports.merge_flags(flags, "any").withColumnRenamed("flag", "any_flag")
+    return last.join(some, ["project_id", "pd_id"], "left").withColumn("any_flag", F.coalesce("any_flag", F.lit(False)))
+
+
+@query(
+    "u5_delete_entry",
+    f"""WITH {PERSONS} SELECT 'entry' AS what, pd_id, 1 AS n FROM persons WHERE seq % 7 <> 0
+    UNION ALL SELECT 'flag', pd_id, 1 FROM persons WHERE seq % 2 = 0 AND seq % 7 <> 0
+    UNION ALL SELECT 'mark', 'c' || o_custkey, count(*) FROM orders WHERE o_custkey % 7 <> 0 GROUP BY ALL""",
+)
+def _(spark, sf):
+    p = persons(spark, sf)
+    marks = table(spark, sf, "orders").select(F.col("o_custkey").alias("seq")).join(p.select("project_id", "pd_id", "seq"), "seq")
+    left = R.delete_entries(p, p.filter("seq % 2 = 0").select("project_id", "pd_id"), marks, p.filter("seq % 7 = 0"))
+    one = F.lit(1).cast("bigint").alias("n")
+    counted = left[2].groupBy("pd_id").agg(F.count("*").alias("n"))
+    return (
+        left[0].select(F.lit("entry").alias("what"), "pd_id", one)
+        .unionByName(left[1].select(F.lit("flag").alias("what"), "pd_id", one))
+        .unionByName(counted.select(F.lit("mark").alias("what"), "pd_id", "n"))
+    )
+
+
+@query(
+    "u6_rename_entry",
+    f"""WITH {PERSONS}, r AS (SELECT *, CASE WHEN seq % 10 = 0 THEN 'Новый Человек ' || seq ELSE value END AS nv FROM persons),
+    l AS (SELECT pd_id, seq, list_concat(mentions, [nv, 'Новый', 'Новый Ч.', 'Ч. Новый']) AS l FROM r WHERE seq % 10 = 0),
+    m AS (SELECT pd_id, unnest(range(len(l))) AS pos, {sql_norm("unnest(l)")} AS m FROM l),
+    d AS (SELECT *, row_number() OVER (PARTITION BY pd_id, lower(m) ORDER BY pos) AS rn FROM m WHERE m <> ''),
+    s AS (SELECT pd_id, string_agg(m, '|' ORDER BY pos) AS mentions FROM d WHERE rn = 1 GROUP BY pd_id)
+    SELECT r.pd_id, r.nv AS value, CASE WHEN r.seq % 10 = 0 THEN CASE WHEN r.seq % 20 = 0 THEN 'истец' ELSE coalesce(r.role, '') END ELSE r.role END AS role,
+      coalesce(s.mentions, array_to_string(r.mentions, '|')) AS mentions FROM r LEFT JOIN s USING (pd_id)""",
+)
+def _(spark, sf):
+    p = persons(spark, sf)
+    edits = p.filter("seq % 10 = 0").select(
+        "project_id",
+        "pd_id",
+        F.concat(F.lit(" Новый  Человек "), F.col("seq").cast("string")).alias("new_value"),
+        F.when(F.col("seq") % 20 == 0, "истец").alias("new_role"),
+    )
+    return R.rename_entries(p, edits).select("pd_id", "value", "role", F.array_join("mentions", "|").alias("mentions"))
+
+
+ATTACHED = """SELECT 'n' || c_nationkey AS project_id, 'c' || o_custkey AS pd_id, ' ' || o_orderpriority AS fragment, o_orderkey AS a_seq,
+  o_orderpriority AS amb_value, o_orderstatus AS amb_context, 'c' || (o_custkey % 10) AS amb_reason FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 3 = 0"""
+
+
+@query(
+    "u7_attach_mention",
+    f"""WITH {PERSONS}, att AS ({ATTACHED}),
+    t AS (SELECT pd_id, -1 AS s, unnest(range(len(mentions))) AS p, unnest(mentions) AS raw FROM persons SEMI JOIN att USING (project_id, pd_id)
+      UNION ALL SELECT pd_id, a_seq, 0, fragment FROM att
+      UNION ALL SELECT pd_id, min(a_seq), 1, any_value(value) FROM att JOIN persons USING (project_id, pd_id) GROUP BY pd_id),
+    n AS (SELECT pd_id, s * 10 + p AS k, {sql_norm("raw")} AS m FROM t)
+    SELECT pd_id, arg_min(m, k) AS mention FROM n WHERE m <> '' GROUP BY pd_id, lower(m)
+    UNION ALL SELECT pd_id, unnest(mentions) FROM persons ANTI JOIN att USING (project_id, pd_id)""",
+)
+def _(spark, sf):
+    p = persons(spark, sf)
+    rows, _left = R.attach_mentions(p, _attached(spark, sf), _ambiguous(spark, sf))
+    return rows.select("pd_id", "mention")
+
+
+def _attached(spark, sf) -> DataFrame:
+    o, c = table(spark, sf, "orders").filter("o_orderkey % 3 = 0"), table(spark, sf, "customer")
+    return o.join(c, o["o_custkey"] == c["c_custkey"]).selectExpr(
+        "'n' || c_nationkey AS project_id", "'c' || o_custkey AS pd_id", "' ' || o_orderpriority AS fragment", "o_orderkey AS a_seq",
+        "o_orderpriority AS amb_value", "o_orderstatus AS amb_context", "'c' || (o_custkey % 10) AS amb_reason",
+    )
+
+
+def _ambiguous(spark, sf) -> DataFrame:
+    return table(spark, sf, "orders").selectExpr(
+        "'n' || (o_custkey % 25) AS project_id", "o_orderkey AS seq", "o_orderpriority AS value", "o_orderstatus AS context", "'c' || (o_orderkey % 10) AS reason"
+    )
+
+
+@query(
+    "u7_ambiguous_left",
+    f"""WITH att AS ({ATTACHED}), a AS (SELECT 'n' || (o_custkey % 25) AS project_id, o_orderkey AS seq, o_orderpriority AS value, o_orderstatus AS context,
+      'c' || (o_orderkey % 10) AS reason FROM orders)
+    SELECT project_id, seq FROM a WHERE NOT EXISTS (SELECT 1 FROM att WHERE att.project_id = a.project_id AND amb_value = value
+      AND amb_context = context AND amb_reason = reason)""",
+)
+def _(spark, sf):
+    _rows, left = R.attach_mentions(persons(spark, sf), _attached(spark, sf), _ambiguous(spark, sf))
+    return left.select("project_id", "seq")
+
+
+@query(
+    "u8_add_entry",
+    f"""WITH x AS (SELECT 'q' || (c_nationkey % 5) AS project_id, 'c' || c_custkey AS pd_id, c_custkey AS seq, c_name, c_mktsegment,
+      CASE WHEN c_mktsegment IN ('BUILDING', 'AUTOMOBILE') THEN 'private' WHEN c_mktsegment IN ('MACHINERY', 'FURNITURE') THEN 'professional' ELSE 'unknown' END AS category FROM customer),
+    e AS (SELECT project_id, category AS series, count(*) AS n FROM x WHERE seq % 2 = 0 AND category <> 'unknown' GROUP BY ALL),
+    k AS (SELECT x.*, CASE WHEN category = 'private' THEN 'private' ELSE 'professional' END AS series FROM x WHERE seq % 2 = 1 AND seq % 3 > 0),
+    l AS (SELECT k.project_id, pd_id, k.series, c_name, c_mktsegment, row_number() OVER (PARTITION BY k.project_id, k.series ORDER BY seq) + coalesce(e.n, 0) AS n
+      FROM k LEFT JOIN e ON e.project_id = k.project_id AND e.series = k.series)
+    SELECT project_id, pd_id, CASE WHEN series <> 'private' THEN '[ФИО ' || n || ']' WHEN n <= 29 THEN substr('{ALPHABET}', CAST(n AS INT), 1) || '.' ELSE 'Л-' || n END AS shown,
+      c_name || '|' || c_mktsegment AS mentions FROM l
+    UNION ALL SELECT project_id, pd_id, '[телефон]', c_mktsegment FROM x WHERE seq % 2 = 1 AND seq % 3 = 0""",
+)
+def _(spark, sf):
+    p = five_projects(persons(spark, sf))
+    names = table(spark, sf, "customer").select(F.col("c_custkey").alias("seq"), "c_name", F.col("c_mktsegment").alias("selected"))
+    new = p.filter("seq % 2 = 1").join(names, "seq").select(
+        "project_id",
+        "pd_id",
+        "seq",
+        F.when(F.col("seq") % 3 == 0, "other").otherwise("person").alias("kind"),
+        "category",
+        F.when(F.col("seq") % 3 == 0, "phone").alias("pd_type"),
+        F.col("c_name").alias("value"),
+        "role",
+        "selected",
+    )
+    grown = R.add_entries(p.filter("seq % 2 = 0"), new)
+    return grown.filter("seq % 2 = 1").select(
+        "project_id", "pd_id", F.coalesce("letter", "replacement").alias("shown"), F.array_join("mentions", "|").alias("mentions")
+    )
+
+
+@query(
+    "u9_prune_unreferenced",
+    f"""WITH {PERSONS} SELECT pd_id FROM persons WHERE NOT (seq % 3 = 0 AND seq NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 20 = 0))""",
+)
+def _(spark, sf):
+    p = persons(spark, sf)
+    marks = table(spark, sf, "orders").filter("o_orderkey % 20 = 0").select(F.col("o_custkey").alias("seq")).join(
+        p.select("project_id", "pd_id", "seq"), "seq"
+    )
+    return R.prune_unreferenced(p, p.filter("seq % 3 = 0"), marks).select("pd_id")
+
+
+@query(
+    "m10_merge_document_into_project",
+    f"""WITH {PERSONS}, x AS (SELECT 'q' || (CAST(substr(project_id, 2) AS INT) % 5) AS project_id, pd_id, lower(value) AS nk, category, seq % 3 > 0 AS fresh,
+      seq + CASE WHEN seq % 3 > 0 THEN 10000000 ELSE 0 END AS seq FROM persons),
+    b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY project_id, nk ORDER BY seq) = 1),
+    e AS (SELECT project_id, category AS series, count(*) AS n FROM x WHERE NOT fresh AND category <> 'unknown' GROUP BY ALL),
+    k AS (SELECT *, CASE WHEN category = 'private' THEN 'private' ELSE 'professional' END AS series FROM b WHERE fresh)
+    SELECT k.project_id, pd_id, row_number() OVER (PARTITION BY k.project_id, k.series ORDER BY seq) + coalesce(e.n, 0) AS k
+      FROM k LEFT JOIN e ON e.project_id = k.project_id AND e.series = k.series
+    UNION ALL SELECT project_id, pd_id, NULL FROM b WHERE NOT fresh""",
+)
+def _(spark, sf):
+    p = five_projects(persons(spark, sf))
+    known = p.filter("seq % 3 = 0").withColumn("letter", F.lit("*"))
+    fresh = p.filter("seq % 3 > 0").withColumn("seq", F.col("seq") + 10000000)
+    merged, _others, _rows = corpus.merge_document_into_project(known, fresh)
+    from ..operators.registry import _letter_number
+
+    return merged.select("project_id", "pd_id", F.nullif(_letter_number(F.col("letter")), F.lit(0)).alias("k"))
