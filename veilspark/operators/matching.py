@@ -8,8 +8,9 @@ as a run of characters. Each mention gets exactly one anchor, the one the
 fewest mentions of its project share; each unit offers its distinct pieces.
 The pattern then decides. Anchors never lose a match:
 
-* person patterns start at a letter edge and keep each word up to its ending,
-  so the start of a word's letters is the start of a letter run in the text;
+* person patterns (and ambiguous ones) start at a letter edge and keep each
+  word up to its ending, so the start of a word's letters is the start of a
+  letter run in the text;
 * other values may begin and end inside a word, but pieces between separators
   appear as whole words, the last piece as a word start, and a value made of a
   single piece as a run of characters inside a word;
@@ -101,11 +102,12 @@ def _run_anchors(folded: Column) -> Column:
 def mention_anchors(kind: Column, mention: Column) -> Column:
     """All anchors a mention could be found by (at least one)."""
     folded = fold_case(mention)
+    at_letter_edge = kind.isin("person", "ambiguous")
     strong = F.filter(
-        F.when(kind == "person", _person_anchors(mention)).otherwise(_word_anchors(folded)),
+        F.when(at_letter_edge, _person_anchors(mention)).otherwise(_word_anchors(folded)),
         lambda k: k.isNotNull(),
     )
-    fallback = F.when(kind == "person", F.array(F.lit("*"))).otherwise(_run_anchors(folded))
+    fallback = F.when(at_letter_edge, F.array(F.lit("*"))).otherwise(_run_anchors(folded))
     return F.array_distinct(F.when(F.size(strong) > 0, strong).otherwise(fallback))
 
 

@@ -1 +1,116 @@
-"""Placeholder."""
+"""Streaming runs, each checked against the batch answer."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from ..streaming import page_stream as S
+from .session import scratch_dir
+from .suite import query
+from .suite_text import PERSONS, table
+from .suite_registry import sql_norm
+from .suite_text import persons
+
+
+def stream_of(spark, sf, name: str) -> DataFrame:
+    return S.read_pages(spark, sf, table(spark, sf, name).schema, pattern=f"{name}.parquet")
+
+
+def page_rows(stream: DataFrame) -> DataFrame:
+    return stream.select(
+        F.concat(F.lit("p"), (F.col("conv_id") % 3).cast("string")).alias("project_id"),
+        F.col("conv_id").cast("string").alias("file_key"),
+        (F.col("turn") + 1).alias("page_no"),
+        F.col("turn").alias("seq"),
+        F.concat(F.lit("d"), "conv_id", F.lit("-"), "turn").alias("doc_id"),
+        F.concat(F.lit("t"), "conv_id").alias("title"),
+        "text",
+        F.lit(8).cast("bigint").alias("total_pages"),
+    )
+
+
+@query("r1_page_stream", "SELECT CAST(conv_id AS VARCHAR) AS file_key, turn + 1 AS page_no, text FROM conversations")
+def _(spark, sf):
+    log = scratch_dir(spark, "pages")
+    stream = page_rows(stream_of(spark, sf, "conversations"))
+    # the second run finds nothing new: the checkpoint is the resume point
+    for _run in range(2):
+        S.run_available(stream, S.page_step(log), f"{log}/checkpoint")
+    return S._log(spark, f"{log}/pages", S.PAGES).select("file_key", "page_no", "text")
+
+
+@query(
+    "r3_document_stream",
+    """SELECT CAST(conv_id AS VARCHAR) AS file_key, 'd' || conv_id || '-0' AS doc_id, min(turn) + 1 AS page_from, max(turn) + 1 AS page_to,
+      string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id""",
+)
+def _(spark, sf):
+    log = scratch_dir(spark, "documents")
+    S.run_available(page_rows(stream_of(spark, sf, "conversations")), S.page_step(log), f"{log}/checkpoint")
+    facts, segments = S.current_documents(spark, log)
+    return facts.join(segments, ["project_id", "file_key"]).select("file_key", "doc_id", "page_from", "page_to", "text")
+
+
+@query(
+    "r2_registry_stream",
+    f"""WITH {PERSONS}, k AS (SELECT *, lower(value) AS nk, CASE WHEN category = 'private' THEN 'private' ELSE 'professional' END AS series FROM persons),
+    b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY project_id, nk ORDER BY seq) = 1),
+    l AS (SELECT project_id, nk, pd_id, series, row_number() OVER (PARTITION BY project_id, series ORDER BY seq) AS n FROM b),
+    m AS (SELECT project_id, nk, lower({sql_norm("unnest(list_concat([value], mentions))")}) AS mk FROM k),
+    c AS (SELECT project_id, nk, count(DISTINCT mk) AS n_mentions FROM m WHERE mk <> '' GROUP BY ALL)
+    SELECT pd_id, CASE WHEN series <> 'private' THEN '[ФИО ' || n || ']' WHEN n <= 29 THEN substr('АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЭЮЯ', CAST(n AS INT), 1) || '.' ELSE 'Л-' || n END AS letter,
+      n_mentions FROM l JOIN c USING (project_id, nk)""",
+)
+def _(spark, sf):
+    log = scratch_dir(spark, "registry")
+    schema = table(spark, sf, "customer").schema
+    raw = S.read_pages(spark, sf, schema, pattern="customer.parquet")
+    shape = persons(spark, sf)
+    # the same select list on the stream
+    stream = raw.selectExpr(*_person_select())
+    S.run_available(stream.select(*shape.columns), S.registry_step(log), f"{log}/checkpoint")
+    people, mentions = S.current_registry(spark, log)
+    counts = mentions.groupBy("project_id", "name_key").agg(F.count("*").alias("n_mentions"))
+    return (
+        people.withColumn("name_key", F.lower("value"))
+        .join(counts, ["project_id", "name_key"])
+        .select("pd_id", "letter", "n_mentions")
+    )
+
+
+def _person_select() -> list[str]:
+    from .suite_text import PERSON_MENTIONS, PERSON_SQL, _split_select
+
+    return [*_split_select(PERSON_SQL), f"array({PERSON_MENTIONS}) AS mentions"]
+
+
+@query("r4_stream_dedupe", "SELECT DISTINCT user_id, event_type, CAST(event_id % 3 AS BIGINT) AS page_no FROM events")
+def _(spark, sf):
+    log = scratch_dir(spark, "deliveries")
+    events = stream_of(spark, sf, "events").selectExpr("user_id", "event_type", "event_id % 3 AS page_no")
+    once = S.stream_dedupe(events, ["user_id", "event_type", "page_no"])
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        S._put(batch, f"{log}/once", batch_id)
+
+    S.run_available(once, step, f"{log}/checkpoint")
+    return spark.read.schema("user_id bigint, event_type string, page_no bigint").parquet(f"{log}/once").select("user_id", "event_type", "page_no")
+
+
+PROGRESS = """user_id AS session_id, ts, CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'paused' ELSE 'running' END AS status,
+ (event_id * 31) % 997 AS page_to, 960 + user_id % 40 AS total_pages, CASE WHEN event_type = 'error' THEN 'e' || event_id ELSE '' END AS error"""
+
+
+@query(
+    "r5_session_state",
+    f"""WITH p AS (SELECT {PROGRESS} FROM events), g AS (SELECT session_id, max(page_to) AS page_to, max(total_pages) AS total_pages,
+      arg_max(status, (epoch_us(ts), page_to)) AS st, arg_max(error, (epoch_us(ts), page_to)) AS er FROM p GROUP BY ALL)
+    SELECT session_id, page_to, total_pages, page_to + 1 AS next_page, st AS status, CASE WHEN st = 'failed' THEN er ELSE '' END AS error FROM g WHERE page_to < total_pages""",
+)
+def _(spark, sf):
+    log = scratch_dir(spark, "sessions")
+    from .suite_text import _split_select
+
+    progress = stream_of(spark, sf, "events").selectExpr(*_split_select(PROGRESS))
+    S.run_available(S.session_state(progress), S.session_step(log), f"{log}/checkpoint", mode="update")
+    return S.current_sessions(spark, log)
