@@ -17,7 +17,7 @@ WORDS = (
     "Иванов Ивановым Иванова И.И. З,С. Лебедев лебедева ёлка Ан Ли O'Neill О'Коннорова Smith smith, "
     "a@b.com (a@b.com) x12-34 12-34 №5 д.5 é éИванов ſmith 4111111111111111 411111 — -- [x] ул.Мира сад "
     "Customer#000000001 Customer#0000000012 Weiß WEISS дом дома straße"
-).split()
+).split() + ["ул. Мира, д. 5", "улице Мира, дом 5", "д. 5 по ул. Мира", "с. Село, ул.  Мира 5"]
 VALUES = [
     ("person", None, v)
     for v in ["Иванов", "Иванов И.И.", "З.С. Лебедев", "Лебедев", "Ан", "Ли", "O'Neill", "О'Коннорова", "Smith",
@@ -26,7 +26,8 @@ VALUES = [
     ("other", "email", "a@b.com"), ("other", "card", "4111111111111111"), ("other", "other", "11111"),
     ("other", "other", "12-34"), ("other", "other", "ва"), ("other", "other", "—"), ("other", "other", "smith, a@b.com"),
     ("other", "other", "Weiß"), ("other", "other", "дом дома"), ("other", "other", "[x] ул.Мира"),
-    ("other", "other", "(a@b.com)"), ("other", "address", "ул. Мира, д. 5"), ("other", "other", "и"),
+    ("other", "other", "(a@b.com)"), ("other", "address", "ул. Мира, д. 5"), ("other", "address", "обл. Дальняя, с. Село, ул.Мира, д. 5"),
+    ("other", "address", "улица Мира, д. 5"), ("other", "address", "г. Мир"), ("other", "other", "и"),
 ]
 
 

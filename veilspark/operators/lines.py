@@ -10,7 +10,8 @@ from ..functions.text import is_blank, is_special_line, js_rtrim, js_trim
 def explode_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per line; every other column rides along except the text."""
     rest = [c for c in docs.columns if c not in (text,)]
-    return docs.select(*rest, F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
+    # a split is never empty; outer keeps the optimizer from testing that by splitting twice
+    return docs.select(*rest, F.posexplode_outer(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
 
 
 def _joins(line: Column, before: Column) -> Column:

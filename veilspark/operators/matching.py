@@ -14,6 +14,8 @@ The pattern then decides. Anchors never lose a match:
 * other values may begin and end inside a word, but pieces between separators
   appear as whole words, the last piece as a word start, and a value made of a
   single piece as a run of characters inside a word;
+* of an address with street and house only the street's letters are sure to
+  appear, as a run;
 * a value without letters and digits is compared with every unit.
 """
 
@@ -22,14 +24,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.charset import LETTERS
-from ..functions.patterns import mention_words, word_stem
-from ..functions.text import UNCERTAIN_MARK, fold_case, js_rtrim
+from ..functions.patterns import address_parts, mention_words, word_stem
+from ..functions.text import UNCERTAIN_MARK, fold_case, js_rtrim, js_trim
 from ..plans.session import settle
 
 UNIT = ["doc_id", "unit_no"]
 # Lengths at which word starts and inner runs are indexed.
-PREFIX_SIZES = (1, 2, 3, 4, 6, 8, 12)
+PREFIX_SIZES = (1, 2, 3, 5, 8)
 GRAM_SIZES = (1, 2, 3, 6)
+# Further anchors of a mention that are tested before its pattern.
+EXTRA_ANCHORS = 3
 # 64-bit words of the set filter over all anchors of a dictionary.
 FILTER_WORDS = {"broadcast": 2**14, "shuffle": 2**17}
 RANK_FIELDS = (("by_length", "int"), ("by_kind", "int"), ("by_seq", "bigint"), ("by_pos", "bigint"))
@@ -39,6 +43,7 @@ BROADCAST_MENTIONS = 20_000
 SALT = 16
 
 _WORD = r"\p{L}+|\p{Nd}+"
+_KIND = r"\A(\*|[A-Z][0-9]*)"
 _DIGITS = r"\A\p{Nd}"
 _LETTER_RUN = f"[{LETTERS}]+"
 
@@ -99,37 +104,68 @@ def _run_anchors(folded: Column) -> Column:
     ).otherwise(F.array(F.lit("*")))
 
 
-def mention_anchors(kind: Column, mention: Column) -> Column:
-    """All anchors a mention could be found by (at least one)."""
+def mention_anchors(kind: Column, pd_type: Column, mention: Column) -> Column:
+    """All anchors a mention could be found by (at least one).
+
+    An address is also found by street and house alone: only the letters of
+    its street are sure to appear."""
     folded = fold_case(mention)
     at_letter_edge = kind.isin("person", "ambiguous")
+    street = F.when((kind == "other") & (pd_type == "address"), address_parts(mention)["street"])
     strong = F.filter(
-        F.when(at_letter_edge, _person_anchors(mention)).otherwise(_word_anchors(folded)),
+        F.when(at_letter_edge, _person_anchors(mention))
+        .when(street.isNotNull(), _run_anchors(fold_case(street)))
+        .otherwise(_word_anchors(folded)),
         lambda k: k.isNotNull(),
     )
     fallback = F.when(at_letter_edge, F.array(F.lit("*"))).otherwise(_run_anchors(folded))
     return F.array_distinct(F.when(F.size(strong) > 0, strong).otherwise(fallback))
 
 
+def _probes(kind: Column, pd_type: Column, mention: Column) -> Column:
+    """array of the first and last word as far as every match holds them."""
+    words = F.filter(mention_words(js_trim(mention)), lambda w: w != "")
+    kept = F.when(kind == "person", F.transform(words, word_stem)).otherwise(words)
+    ends = F.transform(F.array_distinct(F.array(F.get(kept, F.lit(0)), F.try_element_at(kept, F.lit(-1)))), fold_case)
+    loose = (F.size(words) == 0) | ((kind == "other") & (pd_type == "address"))
+    return F.when(loose, F.array(F.lit(""))).otherwise(ends)
+
+
+def _anchor_kind(literal_persons: bool) -> tuple[Column, Column]:
+    """Literal patterns carry neither endings nor address variants."""
+    if literal_persons:
+        return F.lit("other"), F.lit(None).cast("string")
+    return F.col("kind"), F.col("pd_type")
+
+
 def choose_anchors(mentions: DataFrame, literal_persons: bool = False) -> DataFrame:
-    """Mention rows with their one ``anchor``: the candidate shared by the
-    fewest mentions of the project, longer ones first among equals."""
-    kind = F.lit("other") if literal_persons else F.col("kind")
+    """Mention rows with ``anchors``: first the one to join on - shared by the
+    fewest mentions of the project, longer ones first among equals - then up
+    to ``EXTRA_ANCHORS`` more. Each is a necessary condition for a match."""
+    kind, pd_type = _anchor_kind(literal_persons)
     ids = ["project_id", "pd_id", "mention"]
-    rows = mentions.select(*ids, F.explode(mention_anchors(kind, F.col("mention"))).alias("anchor")).distinct()
+    rows = mentions.select(*ids, F.explode_outer(mention_anchors(kind, pd_type, F.col("mention"))).alias("anchor")).distinct()
     load = rows.groupBy("project_id", "anchor").agg(F.count("*").alias("load"))
+    # a list per mention: as long as the mention has pieces
+    ranked = F.array_sort(F.collect_list(F.struct("load", (-F.length("anchor")).alias("size"), "anchor")))
     best = (
         rows.join(load, ["project_id", "anchor"])
         .groupBy(*ids)
-        .agg(F.min_by("anchor", F.struct("load", -F.length("anchor"), "anchor")).alias("anchor"))
+        .agg(F.transform(F.slice(ranked, 1, 1 + EXTRA_ANCHORS), lambda a: a["anchor"]).alias("anchors"))
     )
     return mentions.join(best, ids)
 
 
+def _anchor_id(anchor: Column) -> Column:
+    """Hash of kind and piece, as ``with_unit_anchors`` builds it from texts."""
+    kind = F.regexp_extract(anchor, _KIND, 1)
+    return F.xxhash64(kind, F.substring(anchor, F.length(kind) + 2, F.length(anchor)))
+
+
 def _anchor_filter(chosen: DataFrame, words: int) -> DataFrame:
     """One row with a bit set over the anchor ids, of fixed size."""
     slot = F.pmod("anchor_id", F.lit(words * 64))
-    bits = chosen.select(
+    bits = chosen.select(F.explode("anchor_set").alias("anchor_id")).select(
         F.floor(slot / 64).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (slot % 64).cast("int")).alias("bit")
     ).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     every = chosen.sparkSession.range(words).withColumnRenamed("id", "word")
@@ -144,13 +180,14 @@ def with_unit_anchors(units: DataFrame, chosen: DataFrame, words: int) -> DataFr
     limited to the kinds the dictionary uses and thinned by its bit set (what
     the filter lets through wrongly finds no partner in the join)."""
     nothing = F.array().cast("array<string>")
-    folded = fold_case("text")
+    folded = F.col("_folded")
     letters = F.lit(f"({_LETTER_RUN})")
     runs = F.regexp_extract_all(folded, letters, F.lit(1))
     # folding may turn a neighbour into a letter: then keep the raw run starts too
     raw_runs = F.transform(F.regexp_extract_all("text", letters, F.lit(1)), fold_case)
     prepared = (
-        units.withColumn("_used", _used_tags(chosen).scalar())
+        units.withColumn("_folded", fold_case("text"))
+        .withColumn("_used", _used_tags(chosen).scalar())
         .withColumn("_words", F.array_distinct(F.regexp_extract_all(folded, F.lit(f"({_WORD})"), F.lit(1))))
         .withColumn(
             "_runs",
@@ -168,7 +205,7 @@ def with_unit_anchors(units: DataFrame, chosen: DataFrame, words: int) -> DataFr
 
     def starts(tag: str, pieces: str, s: int) -> Column:
         long_enough = F.filter(pieces, lambda p: F.length(p) >= s)
-        return F.transform(long_enough, lambda p: F.xxhash64(F.concat(F.lit(f"{tag}{s}:"), F.left(p, F.lit(s)))))
+        return F.transform(long_enough, lambda p: F.xxhash64(F.lit(f"{tag}{s}"), F.left(p, F.lit(s))))
 
     def grams(tag: str, s: int) -> Column:
         digits = F.lit(tag == "D")
@@ -177,19 +214,19 @@ def with_unit_anchors(units: DataFrame, chosen: DataFrame, words: int) -> DataFr
                 F.filter("_words", lambda p: (F.length(p) >= s) & (p.rlike(_DIGITS) == digits)),
                 lambda p: F.transform(
                     F.sequence(F.lit(1), F.length(p) - s + 1),
-                    lambda i: F.xxhash64(F.concat(F.lit(f"{tag}{s}:"), F.substring(p, i, F.lit(s)))),
+                    lambda i: F.xxhash64(F.lit(f"{tag}{s}"), F.substring(p, i, F.lit(s))),
                 ),
             )
         )
 
-    parts = [when_used("W", F.transform("_words", lambda w: F.xxhash64(F.concat(F.lit("W:"), w))))]
+    parts = [when_used("W", F.transform("_words", lambda w: F.xxhash64(F.lit("W"), w)))]
     for s in PREFIX_SIZES:
         parts.append(when_used(f"P{s}", starts("P", "_words", s)))
         parts.append(when_used(f"L{s}", starts("L", "_runs", s)))
     for s in GRAM_SIZES:
         parts.append(when_used(f"D{s}", grams("D", s)))
         parts.append(when_used(f"G{s}", grams("G", s)))
-    parts.append(when_used("*", F.array(F.xxhash64(F.lit("*")))))
+    parts.append(when_used("*", F.array(F.xxhash64(F.lit("*"), F.lit("")))))
 
     def passes(h: Column) -> Column:
         slot = F.pmod(h, F.lit(words * 64))
@@ -262,13 +299,15 @@ def _explode_spans(pairs: DataFrame, overlapping: bool = False) -> DataFrame:
         block_step,
         lambda acc: F.flatten(acc["blocks"]),
     )
-    return cut.select(*rest, F.explode(spans).alias("_s")).select(*rest, "_s.start", "_s.end", "_s.hit")
+    # outer: an inner explode would add a size filter that works everything out twice
+    found = cut.select(*rest, F.explode_outer(spans).alias("_s")).filter(F.col("_s").isNotNull())
+    return found.select(*rest, "_s.start", "_s.end", "_s.hit")
 
 
 def _used_tags(chosen: DataFrame) -> DataFrame:
     """One row: the kinds of anchor in use (a few dozen values at most)."""
-    tag = F.regexp_extract("anchor", r"\A(\*|[A-Z][0-9]*)", 1)
-    return chosen.select(tag.alias("tag")).agg(F.collect_set("tag").alias("tags"))
+    tag = F.regexp_extract("anchor", _KIND, 1)
+    return chosen.select(F.explode("anchors").alias("anchor")).select(tag.alias("tag")).agg(F.collect_set("tag").alias("tags"))
 
 
 def candidate_pairs(
@@ -286,23 +325,48 @@ def candidate_pairs(
     if strategy == "auto":
         small = mentions.limit(BROADCAST_MENTIONS + 1).count() <= BROADCAST_MENTIONS
         strategy = "broadcast" if small else "shuffle"
+    if strategy not in FILTER_WORDS:
+        raise ValueError(f"unknown strategy: {strategy}")
     # read three times below: kind tags, set filter, join
+    anchor_set = F.transform("anchors", _anchor_id)
     chosen = settle(
         choose_anchors(mentions, literal_persons).select(
-            "project_id", F.xxhash64("anchor").alias("anchor_id"), "anchor", *carried
+            "project_id",
+            "anchors",
+            anchor_set.alias("anchor_set"),
+            _probes(*_anchor_kind(literal_persons), F.col("mention")).alias("probes"),
+            *carried,
         )
     )
-    if strategy not in FILTER_WORDS:
-        raise ValueError(f"unknown strategy: {strategy}")
     anchored = with_unit_anchors(units, chosen, FILTER_WORDS[strategy])
-    chosen = chosen.drop("anchor")
+    wanted = chosen.withColumn("anchor_id", F.get("anchor_set", F.lit(0))).drop("anchors")
+    # every further anchor of the mention must be among those of the unit
+    meets_all = F.lit(True)
+    for i in range(1, 1 + EXTRA_ANCHORS):
+        other = F.get("anchor_set", F.lit(i))
+        meets_all = meets_all & (other.isNull() | F.array_contains("anchor_ids", other))
     if strategy == "broadcast":
-        offered = anchored.select(*units.columns, F.explode("anchor_ids").alias("anchor_id"))
-        return offered.join(F.broadcast(chosen), ["project_id", "anchor_id"]).drop("anchor_id")
+        # the text must also hold the mention's outer words, before its pattern is tried
+        holds = F.contains(F.col("_folded"), F.get("probes", F.lit(0))) & F.contains(
+            F.col("_folded"), F.coalesce(F.get("probes", F.lit(1)), F.lit(""))
+        )
+        # outer: an inner explode would add a size filter that works the anchors out twice
+        offered = anchored.select("*", F.explode_outer("anchor_ids").alias("anchor_id"))
+        return (
+            offered.join(F.broadcast(wanted), ["project_id", "anchor_id"])
+            .filter(meets_all & holds)
+            .drop("anchor_id", "anchor_ids", "anchor_set", "probes", "_folded")
+        )
     bucket = F.pmod(F.xxhash64(*UNIT), F.lit(SALT)).cast("int")
-    offered = anchored.select("project_id", *UNIT, F.explode("anchor_ids").alias("anchor_id"), bucket.alias("salt"))
-    spread = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    candidates = offered.join(spread, ["project_id", "anchor_id", "salt"]).drop("anchor_id", "salt")
+    offered = anchored.select(
+        "project_id", *UNIT, "anchor_ids", F.explode_outer("anchor_ids").alias("anchor_id"), bucket.alias("salt")
+    ).filter(F.col("anchor_id").isNotNull())
+    spread = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    candidates = (
+        offered.join(spread, ["project_id", "anchor_id", "salt"])
+        .filter(meets_all)
+        .drop("anchor_id", "anchor_ids", "anchor_set", "probes", "salt")
+    )
     return candidates.join(units, ["project_id", *UNIT])
 
 

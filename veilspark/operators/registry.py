@@ -139,7 +139,7 @@ def explode_registry(entries: DataFrame, literal_persons: bool = False) -> DataF
         other_mentions(F.col("value"), F.col("mentions"))
     )
     rows = entries.select(
-        *[c for c in entries.columns if c != "mentions"], F.posexplode(values).alias("m_pos", "mention")
+        *[c for c in entries.columns if c != "mentions"], F.posexplode_outer(values).alias("m_pos", "mention")
     ).filter(F.col("mention").isNotNull() & (F.col("mention") != ""))
     rows = mention_length_filter(rows)
     kind = F.col("kind")
