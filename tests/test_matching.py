@@ -17,7 +17,7 @@ WORDS = (
     "Иванов Ивановым Иванова И.И. З,С. Лебедев лебедева ёлка Ан Ли O'Neill О'Коннорова Smith smith, "
     "a@b.com (a@b.com) x12-34 12-34 №5 д.5 é éИванов ſmith 4111111111111111 411111 — -- [x] ул.Мира сад "
     "Customer#000000001 Customer#0000000012 Weiß WEISS дом дома straße"
-).split() + ["ул. Мира, д. 5", "улице Мира, дом 5", "д. 5 по ул. Мира", "с. Село, ул.  Мира 5"]
+).split() + ["знак \ue000 Иванов", "ул. Мира, д. 5", "улице Мира, дом 5", "д. 5 по ул. Мира", "с. Село, ул.  Мира 5"]
 VALUES = [
     ("person", None, v)
     for v in ["Иванов", "Иванов И.И.", "З.С. Лебедев", "Лебедев", "Ан", "Ли", "O'Neill", "О'Коннорова", "Smith",

@@ -242,6 +242,7 @@ def with_unit_anchors(units: DataFrame, chosen: DataFrame, words: int) -> DataFr
 
 
 _BLOCK = 256
+_SIGN = "\ue000"
 
 
 def _explode_spans(pairs: DataFrame, overlapping: bool = False) -> DataFrame:
@@ -252,16 +253,24 @@ def _explode_spans(pairs: DataFrame, overlapping: bool = False) -> DataFrame:
     block by block so that a text with very many hits stays cheap.
     ``overlapping`` tests every position instead of going on behind a hit.
     """
+    # rows by pattern: a regular expression is compiled once per run of equal ones
+    pairs = pairs.sortWithinPartitions("pattern")
+    text, pattern = F.col("text"), F.col("pattern")
+    if overlapping:
+        pattern = F.concat(F.lit("(?=("), pattern, F.lit("))"))
+    hits = F.regexp_extract_all(text, pattern, F.lit(1 if overlapping else 0))
+    # gaps: hits replaced by a sign the text does not hold, cut at that sign
+    # (cutting at the pattern itself would compile it for every row)
+    cut_at_hits = F.split(text, pattern, -1)
     if overlapping:
-        probe = F.concat(F.lit("(?=("), F.col("pattern"), F.lit("))"))
-        cuts = F.split("text", probe, -1)
-        at_start = F.rlike("text", F.concat(F.lit(r"\A"), probe))
         # a zero-width hit at the very start makes no gap of its own
-        gaps = F.when(at_start, F.concat(F.array(F.lit("")), cuts)).otherwise(cuts)
-        hits = F.regexp_extract_all("text", probe, F.lit(1))
-    else:
-        gaps = F.split("text", F.col("pattern"), -1)
-        hits = F.regexp_extract_all("text", F.col("pattern"), F.lit(0))
+        at_start = F.rlike(text, F.concat(F.lit(r"\A"), pattern))
+        cut_at_hits = F.when(at_start, F.concat(F.array(F.lit("")), cut_at_hits)).otherwise(cut_at_hits)
+    gaps = (
+        F.when(F.size(hits) == 0, F.array(text))
+        .when(F.contains(text, F.lit(_SIGN)), cut_at_hits)
+        .otherwise(F.split(F.regexp_replace(text, pattern, F.lit(_SIGN)), _SIGN, -1))
+    )
     rest = [c for c in pairs.columns if c not in ("text", "pattern")]
     cut = pairs.select(
         *rest,

@@ -1,9 +1,7 @@
-"""Table and nested types."""
+"""Table and nested types as DDL text (usable without a running session)."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 PERSON = "struct<id:string,fullName:string,role:string,category:string,mentions:array<string>,letter:string>"
 OTHER = "struct<id:string,type:string,label:string,value:string,replacement:string,mentions:array<string>>"
 AMBIGUOUS = "struct<value:string,context:string,reason:string>"
@@ -20,21 +18,21 @@ SOURCE = (
 PAGE_METADATA = f"struct<version:int,sources:array<{SOURCE}>>"
 
 # The portable one-document file.
-PORTABLE = T._parse_datatype_string(
+PORTABLE = (
     "version int, exportedAt string, id string, title string, originalFileName string, text string, "
     f"editedHtml string, personalData {PERSONAL_DATA}, anonymized map<string,boolean>, source string, "
     "pageFrom bigint, pageTo bigint, totalPages bigint, chunkIndex bigint, chunkSize bigint, "
     f"batchFileName string, pageMetadata {PAGE_METADATA}, savedAt string"
 )
 
-DOCUMENT_ROW = T._parse_datatype_string(
+DOCUMENT_ROW = (
     "id string, user_id string, project_id string, title string, original_file_name string, text string, "
     f"edited_html string, personal_data {PERSONAL_DATA}, anonymized map<string,boolean>, source string, "
     "is_project_summary boolean, page_from bigint, page_to bigint, total_pages bigint, chunk_index bigint, "
     f"chunk_size bigint, batch_file_name string, source_files array<{SOURCE_FILE}>, page_metadata {PAGE_METADATA}, "
     "saved_at timestamp, created_at timestamp, updated_at timestamp"
 )
-PROJECT_ROW = T._parse_datatype_string(
+PROJECT_ROW = (
     "id string, user_id string, title string, document_ids array<string>, "
     f"shared_pd {PERSONAL_DATA}, batch_session string, created_at timestamp, updated_at timestamp"
 )

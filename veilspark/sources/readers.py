@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import js_trim
 from ..operators.pages import normalize_metadata
@@ -102,9 +102,8 @@ def read_portable_json(spark: SparkSession, path: str, multi_line: bool = True)
     metadata. One document per file, or per line with ``multi_line=False``.
     Records without title, html and text, and what is not JSON, come back with
     ``error`` set."""
-    schema = T.StructType([*PORTABLE.fields, T.StructField("_corrupt_record", T.StringType())])
     raw = (
-        spark.read.schema(schema)
+        spark.read.schema(f"{PORTABLE}, _corrupt_record string")
         .option("multiLine", multi_line)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt_record")

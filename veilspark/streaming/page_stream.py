@@ -20,7 +20,7 @@ from ..operators.registry import assign_letters
 
 
 def read_pages(
-    spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet", files_per_step: int = 1
+    spark: SparkSession, folder: str, schema: T.StructType | str, pattern: str = "*.parquet", files_per_step: int = 1
 ) -> DataFrame:
     """Page files as they arrive, a few per step."""
     return (
@@ -48,27 +48,31 @@ def _put(df: DataFrame, log: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
 
 
-def _log(spark: SparkSession, log: str, schema: T.StructType, before: int | None = None) -> DataFrame:
+def _names(ddl: str) -> list[str]:
+    """Column names of a flat DDL list."""
+    return [item.split()[0] for item in ddl.split(",")]
+
+
+def _log(spark: SparkSession, log: str, schema: str, before: int | None = None) -> DataFrame:
     """A log table; an empty first batch makes it readable from the start."""
     spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{log}/batch=-1")
-    full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-    rows = spark.read.schema(full).parquet(log)
+    rows = spark.read.schema(f"{schema}, batch bigint").parquet(log)
     return rows if before is None else rows.filter(F.col("batch") < before)
 
 
-PAGES = T._parse_datatype_string(
+PAGES = (
     "project_id string, file_key string, page_no bigint, seq bigint, doc_id string, title string, text string, total_pages bigint"
 )
-PERSONS = T._parse_datatype_string(
+PERSONS = (
     "project_id string, pd_id string, seq bigint, kind string, category string, value string, role string, letter string"
 )
-MENTIONS = T._parse_datatype_string("project_id string, name_key string, m_key string, mention string, m_seq bigint, m_pos int")
+MENTIONS = ("project_id string, name_key string, m_key string, mention string, m_seq bigint, m_pos int")
 
 
 def page_step(log: str) -> Callable[[DataFrame, int], None]:
     """Append the batch's pages to the page log."""
     def step(batch: DataFrame, batch_id: int) -> None:
-        _put(batch.select(*PAGES.names), f"{log}/pages", batch_id)
+        _put(batch.select(*_names(PAGES)), f"{log}/pages", batch_id)
 
     return step
 
@@ -108,8 +112,8 @@ def registry_step(log: str) -> Callable[[DataFrame, int], None]:
         fresh = first_per_key(rows, [*own, "m_key"], ["m_seq", "m_pos"]).join(
             spelled.select(*own, "m_key"), [*own, "m_key"], "left_anti"
         )
-        _put(lettered.select(*PERSONS.names), f"{log}/persons", batch_id)
-        _put(fresh.select(*MENTIONS.names), f"{log}/mentions", batch_id)
+        _put(lettered.select(*_names(PERSONS)), f"{log}/persons", batch_id)
+        _put(fresh.select(*_names(MENTIONS)), f"{log}/mentions", batch_id)
 
     return step
 
@@ -146,7 +150,7 @@ def session_state(progress: DataFrame) -> DataFrame:
     )
 
 
-SESSIONS = T._parse_datatype_string(
+SESSIONS = (
     "session_id bigint, page_to bigint, total_pages bigint, next_page bigint, status string, error string"
 )
 
@@ -154,7 +158,7 @@ SESSIONS = T._parse_datatype_string(
 def session_step(log: str) -> Callable[[DataFrame, int], None]:
     """Log the sessions a batch changed (update mode)."""
     def step(batch: DataFrame, batch_id: int) -> None:
-        _put(batch.select(*SESSIONS.names), f"{log}/sessions", batch_id)
+        _put(batch.select(*_names(SESSIONS)), f"{log}/sessions", batch_id)
 
     return step
 
@@ -162,6 +166,6 @@ def session_step(log: str) -> Callable[[DataFrame, int], None]:
 def current_sessions(spark: SparkSession, log: str, keep_completed: bool = False) -> DataFrame:
     """Latest state per session; completed sessions are cleared."""
     rows = _log(spark, f"{log}/sessions", SESSIONS)
-    rest = [c for c in SESSIONS.names if c != "session_id"]
+    rest = [c for c in _names(SESSIONS) if c != "session_id"]
     latest = rows.groupBy("session_id").agg(F.max_by(F.struct(*rest), "batch").alias("s")).select("session_id", "s.*")
     return latest if keep_completed else latest.filter(F.col("status") != "completed")
