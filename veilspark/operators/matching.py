@@ -142,9 +142,9 @@ def choose_anchors(mentions: DataFrame, literal_persons: bool = False) -> DataFr
     """Mention rows with ``anchors``: first the one to join on - shared by the
     fewest mentions of the project, longer ones first among equals - then up
     to ``EXTRA_ANCHORS`` more. Each is a necessary condition for a match."""
-    kind, pd_type = _anchor_kind(literal_persons)
     ids = ["project_id", "pd_id", "mention"]
-    rows = mentions.select(*ids, F.explode_outer(mention_anchors(kind, pd_type, F.col("mention"))).alias("anchor")).distinct()
+    listed = mentions if "offered" in mentions.columns else _with_offered(mentions, literal_persons)
+    rows = listed.select(*ids, F.explode("offered").alias("anchor")).distinct()
     load = rows.groupBy("project_id", "anchor").agg(F.count("*").alias("load"))
     # a list per mention: as long as the mention has pieces
     ranked = F.array_sort(F.collect_list(F.struct("load", (-F.length("anchor")).alias("size"), "anchor")))
@@ -153,7 +153,12 @@ def choose_anchors(mentions: DataFrame, literal_persons: bool = False) -> DataFr
         .groupBy(*ids)
         .agg(F.transform(F.slice(ranked, 1, 1 + EXTRA_ANCHORS), lambda a: a["anchor"]).alias("anchors"))
     )
-    return mentions.join(best, ids)
+    return listed.drop("offered").join(best, ids)
+
+
+def _with_offered(mentions: DataFrame, literal_persons: bool) -> DataFrame:
+    kind, pd_type = _anchor_kind(literal_persons)
+    return mentions.withColumn("offered", mention_anchors(kind, pd_type, F.col("mention")))
 
 
 def _anchor_id(anchor: Column) -> Column:
@@ -331,21 +336,18 @@ def candidate_pairs(
     ``SALT`` buckets, and the texts are joined back for the final test.
     """
     carried = [c for c in ("pd_id", "kind", "mention", "pattern", "rank") if c in mentions.columns]
+    if strategy not in ("auto", *FILTER_WORDS):
+        raise ValueError(f"unknown strategy: {strategy}")
+    # the dictionary in its working shape, written once: it is read several times below
+    probes = _probes(*_anchor_kind(literal_persons), F.col("mention")).alias("probes")
+    offered = mention_anchors(*_anchor_kind(literal_persons), F.col("mention")).alias("offered")
+    listed = settle(mentions.select("project_id", *carried, offered, probes))
     if strategy == "auto":
-        small = mentions.limit(BROADCAST_MENTIONS + 1).count() <= BROADCAST_MENTIONS
+        small = listed.limit(BROADCAST_MENTIONS + 1).count() <= BROADCAST_MENTIONS
         strategy = "broadcast" if small else "shuffle"
-    if strategy not in FILTER_WORDS:
-        raise ValueError(f"unknown strategy: {strategy}")
-    # read three times below: kind tags, set filter, join
     anchor_set = F.transform("anchors", _anchor_id)
     chosen = settle(
-        choose_anchors(mentions, literal_persons).select(
-            "project_id",
-            "anchors",
-            anchor_set.alias("anchor_set"),
-            _probes(*_anchor_kind(literal_persons), F.col("mention")).alias("probes"),
-            *carried,
-        )
+        choose_anchors(listed).select("project_id", "anchors", anchor_set.alias("anchor_set"), "probes", *carried)
     )
     anchored = with_unit_anchors(units, chosen, FILTER_WORDS[strategy])
     wanted = chosen.withColumn("anchor_id", F.get("anchor_set", F.lit(0))).drop("anchors")

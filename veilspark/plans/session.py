@@ -39,13 +39,12 @@ def _checkpoint_root(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write an intermediate that several branches read, once, to the shared
-    checkpoint folder: cut lineage that survives the loss of any executor."""
-    spark = df.sparkSession
-    root = _checkpoint_root(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
-    return df.checkpoint()
+    """Write an intermediate that several branches read, once, as a table in
+    the shared checkpoint folder: lineage is cut, the loss of any executor is
+    survived, and readers still prune columns."""
+    path = scratch_dir(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
