@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,15 +27,19 @@ def build_session(app: str = "veilspark", master: str | None = None, **conf: str
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder. Only where
-    the session names none (local tests) is a temporary folder used."""
+    """A fresh folder below the cluster's shared checkpoint folder. Only a
+    local session that names none gets a temporary folder, which goes with the
+    process; any other session without a shared folder is an error."""
     return f"{_checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def _checkpoint_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="veilspark-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(root)
     return root
 
