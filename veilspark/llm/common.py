@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veilspark.plans.session import settle
@@ -39,7 +40,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 2_000_00
     for batch in batches:
         if not batch.num_rows:
             continue
-        lengths = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0))
+        lengths = np.asarray(pc.binary_length(batch.column(column)).fill_null(0))
         ends = np.cumsum(lengths)
         start = 0
         while start < batch.num_rows:
