@@ -37,9 +37,9 @@ from .common import pick, slices
 
 #: Bounds of the tables in a worker's memory; a full one is started anew.
 MAX_STATES = 100_000
-MAX_PAIRS = 400_000
-MAX_PIECES = 250_000
-MAX_HEADS = 100_000
+MAX_PAIRS = 250_000
+MAX_PIECES = 120_000
+MAX_HEADS = 50_000
 #: Bytes of a piece's head, after which the transducer's state is remembered.
 HEAD = 7
 #: Tokens a piece may hold back before the transducer looks for agreement.
@@ -318,7 +318,7 @@ def encode(docs: DataFrame, words: Vocabulary, id_col: str = "doc_id", text_col:
 
     def run(batches):
         machine = _transducer(shared)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1_000_000):
             lists = [machine.encode(t or "") for t in batch.column("text").to_pylist()]
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))
@@ -334,7 +334,7 @@ def decode(encoded: DataFrame, words: Vocabulary) -> DataFrame:
 
     def run(batches):
         tokens = shared.value.tokens
-        for batch in batches:
+        for batch in slices(batches, "ids", 500_000):
             ids = batch.column("ids")
             texts = ["".join(decode_stream(x.values if x.is_valid else (), tokens)) for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])

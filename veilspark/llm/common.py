@@ -35,13 +35,15 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each holds about ``limit`` bytes of the text column
-    (one row at least); zero-copy."""
+    """Batches cut so that each holds about ``limit`` bytes of the text column,
+    or elements of a list column (one row at least); zero-copy."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        lengths = np.asarray(pc.binary_length(batch.column(column)).fill_null(0))
-        ends = np.cumsum(lengths)
+        values = batch.column(column)
+        measure = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
+        lengths = np.asarray(measure(values).fill_null(0))
+        ends = np.cumsum(lengths, dtype=np.int64)
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
