@@ -230,3 +230,21 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST_
         "doc_id", "source", "size", "source_size", "target", F.coalesce("times", F.lit(0)).cast("long").alias("times"),
         F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("shards", F.array().cast("array<bigint>")).alias("shards"),
     )
+
+
+#: Dealt rows (about 60 bytes each) sent to every executor; more are joined by shuffle.
+SMALL_ROWS = 500_000
+
+
+def remix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST_REPEATS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: the input's columns, each row as often as it is taken,
+    shards together and shuffled inside. Rows that repeat an id in one source
+    are taken alike."""
+    dealt = deal(draw(docs, weights, most, id_col, text_col, source_col))
+    dealt = dealt.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "turn").agg(F.min("shard").alias("_shard"), F.min("position").alias("_position"))
+    dealt = settle(dealt.drop("turn"))
+    if dealt.count() <= SMALL_ROWS:
+        dealt = F.broadcast(dealt)
+    joined = docs.join(dealt, docs[id_col].eqNullSafe(dealt["_id"]) & docs[source_col].eqNullSafe(dealt["_source"]))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return joined.repartition(parts, "_shard", F.pmod("_position", F.lit(16))).sortWithinPartitions("_shard", "_position").select(docs["*"])

@@ -298,3 +298,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = sketched.select("doc_id", "node", "n_shingles").join(named, "node", "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The input's rows and columns without those whose component has a smaller
+    id. Rows are named by id, so rows with a null id all stay."""
+    gone = settle(near_dedup(docs, id_col, text_col, percent).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct())
+    if gone.count() <= SMALL_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, mixing, near_dedup, quality
+from . import bpe, embedding_dedup, exact_dedup, mixing, near_dedup, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -76,3 +76,29 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op6_mixing")
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_query(
+    "op8_embedding_near_dedup",
+    r"""
+    WITH RECURSIVE v AS (
+        SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+    ), good AS (
+        SELECT * FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND (SELECT bool_and(e IS NOT NULL AND isfinite(e)) FROM (SELECT unnest(x) AS e))
+          AND list_dot_product(x, x) > 0
+    ), links AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id
+        WHERE list_dot_product(a.x, b.x) / sqrt(list_dot_product(a.x, a.x) * list_dot_product(b.x, b.x)) >= 0.98
+    ), reach AS (
+        SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+    ), least AS (
+        SELECT a, min(b) AS component_id FROM reach GROUP BY a
+    ), n AS (
+        SELECT a, count(*) AS n FROM links GROUP BY a
+    )
+    SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept
+    FROM embeddings JOIN least ON least.a = vec_id LEFT JOIN n ON n.a = vec_id
+    """,
+)
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
