@@ -20,6 +20,9 @@ _RADIX = 0x9E3779B97F4A7C15
 _INVERSE = pow(_RADIX, -1, 1 << 64)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: White space and ASCII punctuation.
+_IS_BREAK = _IS_SPACE.copy()
+_IS_BREAK[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -67,24 +70,29 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, out=out)
 
 
-def word_hashes(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all white-space separated words of all texts, and the
-    number of words of each text. Only A-Z are lower-cased."""
+def word_hashes(texts: list[str | None], lower: bool = True, letters: bool = False, prefixes: tuple[int, ...] = ()) -> tuple:
+    """64-bit hashes of all words of all texts, and the number of words of each
+    text. Words are separated by white space, with ``letters`` by ASCII
+    punctuation as well. Only A-Z are lower-cased. For ``prefixes`` a third
+    item: per length, hashes of the words' first bytes, 0 for shorter words."""
     data = [(t or "").encode() for t in texts]
     joined = np.frombuffer(b"\n".join(data) + b"\n", np.uint8)
     if lower:
         joined = _LOWER[joined]
-    space = _IS_SPACE[joined]
+    space = (_IS_BREAK if letters else _IS_SPACE)[joined]
     edge = np.diff(np.concatenate(([True], space)).view(np.int8))
     starts = np.flatnonzero(edge == -1)
     ends = np.flatnonzero(edge == 1)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * _powers(_RADIX, len(joined)))))
     # a word's polynomial, shifted back to the start, so that equal words agree wherever they stand
-    hashes = (sums[ends] - sums[starts]) * _powers(_INVERSE, len(joined))[starts]
-    hashes = mix(hashes ^ (ends - starts).astype(np.uint64))
+    back = _powers(_INVERSE, len(joined))[starts]
+    hashes = mix((sums[ends] - sums[starts]) * back ^ (ends - starts).astype(np.uint64))
     limits = np.cumsum([len(d) + 1 for d in data])
     counts = np.diff(np.concatenate(([0], np.searchsorted(starts, limits))))
-    return hashes, counts
+    if not prefixes:
+        return hashes, counts
+    heads = [np.where(ends - starts >= k, (sums[np.minimum(starts + k, ends)] - sums[starts]) * back, np.uint64(0)) for k in prefixes]
+    return hashes, counts, heads
 
 
 def distribute(df: DataFrame, *keys: str) -> DataFrame:

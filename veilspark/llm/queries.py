@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat_format, embedding_dedup, exact_dedup, mixing, near_dedup, quality, secret_scan
+from . import bpe, chat_format, embedding_dedup, exact_dedup, mixing, near_dedup, quality, secret_scan, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -147,3 +147,16 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(_table(spark, sf_dir, "documents"))
     number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *(number(k) for k in secret_scan.KINDS[:3]), F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"))
+
+
+@_query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    graded = toxicity.severity(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    return graded.select("doc_id", quality.held_out().alias("held_out"), "expected_severity", "grade", (F.col("p_toxic") >= 0.5).alias("toxic"))
+
+
+@_query("op1_substring_dedup")
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.dedup_spans(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_sentences", "n_removed", "spans", F.sha2("text", 256).alias("text_sha256"))
