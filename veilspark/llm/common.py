@@ -37,7 +37,7 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 400_000) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each holds about ``limit`` bytes of the text column,
     or elements of a list column (one row at least); zero-copy."""
     for batch in batches:
