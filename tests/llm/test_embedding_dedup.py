@@ -62,13 +62,21 @@ def test_pairs_at_the_limit_share_filters():
     assert min(shared) > 0 and np.mean(shared) > 15
 
 
+def test_few_dimensions():
+    for d in (1, 2, 3, 5, 9):
+        x = np.random.default_rng(d).normal(size=(50, d))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        found = ProductCodes(d).filters(x)
+        assert 0 < min(map(len, found)) and max(map(len, found)) < 1000
+
+
 def test_filters_are_all_that_exceed():
-    codes = ProductCodes(10, codes=2, codewords=12, threshold=1.5)
+    codes = ProductCodes(10, codes=2, filters=9, threshold=1.5)
     x = np.random.default_rng(7).normal(size=(20, 10))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     for row, got in zip(x, codes.filters(x)):
         want = []
         for code, (first, second) in enumerate(codes.tables):
             sums = (row @ first)[:, None] + (row @ second)[None, :]
-            want += [code * 144 + a * 12 + b for a, b in np.argwhere(sums >= codes.least)]
+            want += [(code * codes.size + a) * codes.size + b for a, b in np.argwhere(sums >= codes.least)]
         assert got.tolist() == sorted(want)

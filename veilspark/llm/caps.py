@@ -7,7 +7,9 @@ of them are sums of two short tables. A vector is in the filter of every
 direction that it exceeds ``THRESHOLD`` with; sorted tables list these without
 visiting the others. Several codes even out how many filters a vector gets: at
 cosine 0.98 two vectors share 35 filters on average and none in about one case
-in 50,000.
+in 50,000. The number of codewords follows from the share of the sphere that a
+cap covers, so that a vector is in about ``FILTERS`` filters whatever its
+dimensions.
 """
 
 from __future__ import annotations
@@ -15,16 +17,25 @@ from __future__ import annotations
 import numpy as np
 
 CODES = 16
-CODEWORDS = 128
-#: In units of 1/sqrt(dimensions): how far out a cap begins.
+FILTERS = 55
+#: In units of 1/sqrt(dimensions): how far out a cap begins ...
 THRESHOLD = 3.4
+#: ... but no farther than this inner product, for vectors of few dimensions.
+FARTHEST = 0.6
+
+
+def _share(dimensions: int, least: float, rng: np.random.Generator) -> float:
+    """The share of random directions in a cap, measured."""
+    along = rng.normal(size=1 << 20)
+    length = np.sqrt(along**2 + rng.chisquare(dimensions - 1, 1 << 20)) if dimensions > 1 else np.abs(along)
+    return max(1e-6, float((along >= least * length).mean()))
 
 
 class ProductCodes:
-    def __init__(self, dimensions: int, codes: int = CODES, codewords: int = CODEWORDS, threshold: float = THRESHOLD, seed: int = 64):
+    def __init__(self, dimensions: int, codes: int = CODES, filters: float = FILTERS, threshold: float = THRESHOLD, seed: int = 64):
         rng = np.random.default_rng([seed, dimensions])
-        self.size = codewords
-        self.least = threshold / np.sqrt(dimensions)
+        self.least = min(threshold / np.sqrt(dimensions), FARTHEST)
+        codewords = self.size = max(2, round(np.sqrt(filters / (codes * _share(dimensions, self.least, rng)))))
         cut = (dimensions + 1) // 2
         self.tables = []
         for _ in range(codes):
