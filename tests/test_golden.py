@@ -73,6 +73,43 @@ def test_annotated_html(spark):
         '<div class="lr-row"><span>г. Самара</span><span><strong>12</strong> марта</span></div>'
         "<div>Слава сказал.</div>"
     )
+    # the third pass marks ambiguous values outside all other marks
+    unclear = spark.createDataFrame([("p", 0, " Слава ", 'кто "он"', None)], "project_id string, seq bigint, value string, context string, reason string")
+    again = Z.annotate_html(docs, entries, R.explode_registry(entries), flags, ambiguous=unclear).first().html
+    mark = (
+        '<mark class="ambiguous-person" data-value="Слава" data-context="кто &quot;он&quot;" data-reason="Неоднозначное упоминание лица" '
+        'data-tooltip="Неоднозначное упоминание лица" contenteditable="false">Слава</mark>'
+    )
+    assert again == html.replace("<div>Слава сказал.</div>", f"<div>{mark} сказал.</div>")
+
+
+def test_references_are_decoded_once(spark):
+    cases = {
+        "&#9999999;": "\ufffd", "&#38;lt;": "&lt;", "&#x41;&mdash;&laquo;": "A—«", "&#0;": "\ufffd", "&#128;&#x99;": "€™",
+        "a &amp;amp; &lt;x&gt; &unknown; &#xD800; &#99999999999999;": "a &amp; <x> &unknown; \ufffd \ufffd",
+    }
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()], "t string, want string")
+    assert df.filter(X.html_to_text("t") != F.col("want")).count() == 0
+
+
+def test_registry_stream_equals_batch_in_any_order(spark):
+    from veilspark.plans.session import scratch_dir
+    from veilspark.streaming import page_stream as S
+
+    rows = [("p", "a", 1, "person", "private", None, "Ян И.", "", None, None, ["Ян"]), ("p", "b", 2, "person", "private", None, "ян и.", "свидетель", None, None, ["Яну"]),
+            ("p", "c", 3, "person", "private", None, "Пётр", None, None, None, []), ("p", "o", 4, "other", None, "phone", "8-900", None, None, None, None)]
+    both = R.merge_persons(spark.createDataFrame(rows[:3], S.ENTRIES))
+    want = sorted((r.pd_id, r.role, r.value) for r in both[0].collect()), sorted((r.pd_id, r.mention) for r in both[1].collect())
+    for order in ([0, 1, 2, 3], [3, 2, 1, 0]):
+        log = scratch_dir(spark, "entries")
+        for i, k in enumerate(order):
+            S.registry_step(log)(spark.createDataFrame([rows[k]], S.ENTRIES), i)
+        S.compact(spark, f"{log}/entries", S.ENTRIES, 1)
+        people, others, mentions = S.current_registry(spark, log)
+        assert sorted((r.pd_id, r.role, r.value) for r in people.collect()) == want[0]
+        assert {r.pd_id: r.letter for r in people.collect()} == {"a": "А.", "c": "Б."}
+        assert sorted((r.pd_id, r.mention) for r in mentions.filter("pd_id <> 'o'").collect()) == want[1]
+        assert [r.value for r in others.collect()] == ["8-900"]
 
 
 def test_ambiguous_outside_marks(spark):

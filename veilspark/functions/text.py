@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
@@ -41,6 +43,13 @@ ENTITIES = {
 # ---- end of fixed values ----------------------------------------------------
 
 
+# Names of character references beyond the common ones, and what numbers 128 to
+# 159 stand for: both from the standard library's tables.
+_NAMED = json.dumps({name: char for name, char in html5.items() if name.endswith(";")})
+_C1 = "".join(map(chr, range(0x80, 0xA0)))
+_C1_SHOWN = "".join(bytes([b]).decode("cp1252", "replace").replace("\ufffd", chr(b)) for b in range(0x80, 0xA0))
+
+
 def as_col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
@@ -307,17 +316,30 @@ def html_to_text(s: Column | str, skip_marks: bool = False) -> Column:
     for tag in tags:
         out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}{WS}*>", "")
     out = F.regexp_replace(out, r"(?s)<[!/?A-Za-z][^>]*>", "")
-    number = r"&#([0-9]{1,7});"
-    out = rewrite_hits(
-        out,
-        number,
-        lambda h: F.decode(
-            F.unhex(F.lpad(F.hex(F.regexp_extract(h, number, 1).cast("bigint")), 8, "0")), "UTF-32"
-        ),
-    )
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+    return decode_references(out)
+
+
+def decode_references(s: Column | str) -> Column:
+    """Character references (named, decimal, hexadecimal; closed by a
+    semicolon) decoded in one pass, so that what a reference yields is not read
+    again. Numbers that are no character give U+FFFD, numbers 128 to 159 what
+    Windows-1252 has there; unknown names stay as they are."""
+    def decoded(hit: Column) -> Column:
+        digits = F.regexp_extract(hit, "^&#0*([0-9]*);$", 1)
+        hexes = F.regexp_extract(hit, "^&#[xX]0*([0-9a-fA-F]*);$", 1)
+        is_hex = hit.rlike("^&#[xX]")
+        code = F.when(is_hex & (F.length(hexes) <= 6), F.conv(F.concat(F.lit("0"), hexes), 16, 10).cast("bigint")).when(
+            ~is_hex & (F.length(digits) <= 7), F.concat(F.lit("0"), digits).cast("bigint")
+        )
+        sound = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(F.coalesce(sound, F.lit(False)), code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+        named = F.lit(None).cast("string")
+        for name, value in ENTITIES.items():
+            named = F.when(hit == name, F.lit(value)).otherwise(named)
+        further = F.element_at(F.from_json(F.lit(_NAMED), "map<string,string>"), F.substring(hit, 2, F.length(hit)))
+        return F.when(hit.startswith("&#"), F.translate(char, _C1, _C1_SHOWN)).otherwise(F.coalesce(named, further, hit))
+
+    return rewrite_hits(as_col(s), r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);", decoded)
 
 
 def extract_pd_ids(html: Column | str) -> Column:

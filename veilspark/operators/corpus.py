@@ -224,6 +224,15 @@ def latest_projects(projects: DataFrame, k: int = MAX_PROJECTS, **how) -> DataFr
     return latest(projects, k, how.get("stamp", "updated_at"), how.get("tie", "project_id"), how.get("per"))
 
 
+def document_texts(facts: DataFrame, segments: DataFrame, file: tuple[str, ...] = ("project_id", "file_key"), segment: int = 1000) -> DataFrame:
+    """Facts next to their texts: one row per document and run of ``segment``
+    page numbers at every size, ``segment_no`` giving the order; a document
+    whose pages are all blank has one row with an empty text."""
+    first = F.floor((F.col("page_from") - 1) / segment).cast("bigint")
+    joined = facts.join(segments, list(file), "left")
+    return joined.withColumn("segment_no", F.coalesce("segment_no", first)).withColumn("text", F.coalesce("text", F.lit("")))
+
+
 def append_pages(pages: DataFrame, file: tuple[str, ...] = ("project_id", "file_key"), segment: int = 1000) -> tuple[DataFrame, DataFrame]:
     """Growing document per file from its pages, whatever their arrival order.
 

@@ -37,8 +37,8 @@ EXTRA_ANCHORS = 3
 # 64-bit words of the set filter over all anchors of a dictionary.
 FILTER_WORDS = {"broadcast": 2**14, "shuffle": 2**17}
 RANK_FIELDS = (("by_length", "int"), ("by_kind", "int"), ("by_seq", "bigint"), ("by_pos", "bigint"))
-# A dictionary up to this many mention rows is sent to every executor.
-BROADCAST_MENTIONS = 20_000
+# A dictionary up to this many bytes is sent to every executor.
+BROADCAST_BYTES = 16_000_000
 # Buckets over which the units behind one anchor are spread otherwise.
 SALT = 16
 
@@ -330,10 +330,11 @@ def candidate_pairs(
     """Unit rows next to the mention rows of their project whose anchor they
     offer: a small superset of the pairs that match.
 
-    ``strategy='auto'`` counts the dictionary: a small one is sent to all
-    executors and the texts do not move at all; a larger one is shuffled by
-    anchor with the (text-free) anchors of the units, hot anchors spread over
-    ``SALT`` buckets, and the texts are joined back for the final test.
+    ``strategy='auto'`` measures the dictionary: up to ``BROADCAST_BYTES`` it
+    is sent to all executors and the texts do not move at all; a larger one is
+    shuffled by anchor with the (text-free) anchors of the units, hot anchors
+    spread over ``SALT`` buckets, and the texts are joined back for the final
+    test. Both ways test the same.
     """
     carried = [c for c in ("pd_id", "kind", "mention", "pattern", "rank") if c in mentions.columns]
     if strategy not in ("auto", *FILTER_WORDS):
@@ -343,8 +344,9 @@ def candidate_pairs(
     offered = mention_anchors(*_anchor_kind(literal_persons), F.col("mention")).alias("offered")
     listed = settle(mentions.select("project_id", *carried, offered, probes))
     if strategy == "auto":
-        small = listed.limit(BROADCAST_MENTIONS + 1).count() <= BROADCAST_MENTIONS
-        strategy = "broadcast" if small else "shuffle"
+        width = sum((F.length(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in carried if c in ("pd_id", "mention", "pattern")), F.lit(128))
+        size = listed.agg(F.sum(2 * width)).first()[0] or 0
+        strategy = "broadcast" if size <= BROADCAST_BYTES else "shuffle"
     anchor_set = F.transform("anchors", _anchor_id)
     chosen = settle(
         choose_anchors(listed).select("project_id", "anchors", anchor_set.alias("anchor_set"), "probes", *carried)
@@ -356,16 +358,16 @@ def candidate_pairs(
     for i in range(1, 1 + EXTRA_ANCHORS):
         other = F.get("anchor_set", F.lit(i))
         meets_all = meets_all & (other.isNull() | F.array_contains("anchor_ids", other))
+    # the text must also hold the mention's outer words, before its pattern is tried
+    holds = lambda text: F.contains(text, F.get("probes", F.lit(0))) & F.contains(
+        text, F.coalesce(F.get("probes", F.lit(1)), F.lit(""))
+    )
     if strategy == "broadcast":
-        # the text must also hold the mention's outer words, before its pattern is tried
-        holds = F.contains(F.col("_folded"), F.get("probes", F.lit(0))) & F.contains(
-            F.col("_folded"), F.coalesce(F.get("probes", F.lit(1)), F.lit(""))
-        )
         # outer: an inner explode would add a size filter that works the anchors out twice
         offered = anchored.select("*", F.explode_outer("anchor_ids").alias("anchor_id"))
         return (
             offered.join(F.broadcast(wanted), ["project_id", "anchor_id"])
-            .filter(meets_all & holds)
+            .filter(meets_all & holds(F.col("_folded")))
             .drop("anchor_id", "anchor_ids", "anchor_set", "probes", "_folded")
         )
     bucket = F.pmod(F.xxhash64(*UNIT), F.lit(SALT)).cast("int")
@@ -376,9 +378,9 @@ def candidate_pairs(
     candidates = (
         offered.join(spread, ["project_id", "anchor_id", "salt"])
         .filter(meets_all)
-        .drop("anchor_id", "anchor_ids", "anchor_set", "probes", "salt")
+        .drop("anchor_id", "anchor_ids", "anchor_set", "salt")
     )
-    return candidates.join(units, ["project_id", *UNIT])
+    return candidates.join(units, ["project_id", *UNIT]).filter(holds(fold_case("text"))).drop("probes")
 
 
 def match_dictionary(
@@ -387,8 +389,10 @@ def match_dictionary(
     strategy: str = "auto",
     literal_persons: bool = False,
     overlapping: bool = False,
+    except_marked: DataFrame | None = None,
 ) -> DataFrame:
-    """All hits of all mentions in all units of the same project.
+    """All hits of all mentions in all units of the same project, without the
+    pairs (doc_id, pd_id) of ``except_marked``, which are not matched at all.
 
     ``units(project_id, doc_id, unit_no, text)``;
     ``mentions(project_id, pd_id, kind, mention, pattern, rank, ...)``.
@@ -397,6 +401,8 @@ def match_dictionary(
     """
     slim = units.select("project_id", *UNIT, "text")
     pairs = candidate_pairs(slim, mentions, strategy, literal_persons)
+    if except_marked is not None:
+        pairs = pairs.join(except_marked.select("doc_id", "pd_id").distinct(), ["doc_id", "pd_id"], "left_anti")
     return _explode_spans(pairs, overlapping).select(
         "project_id", *UNIT, "start", "end", "hit", "pd_id", "kind", "mention", "rank"
     )
@@ -514,11 +520,9 @@ def resolve_overlaps(matches: DataFrame, policy: str = "registry") -> DataFrame:
 
 def match_unmarked(units: DataFrame, mentions: DataFrame, marked: DataFrame, strategy: str = "auto", **how) -> DataFrame:
     """Second pass: hits of the entries a document has no mark of yet. The
-    entry list per document is never built; hits of marked entries are taken
-    out of the result instead."""
-    hits = match_dictionary(units, mentions, strategy, **how)
-    done = marked.select("doc_id", "pd_id").distinct()
-    return hits.join(done, ["doc_id", "pd_id"], "left_anti")
+    entry list per document is never built; marked entries leave the candidate
+    pairs before any pattern is tried."""
+    return match_dictionary(units, mentions, strategy, except_marked=marked, **how)
 
 
 def pd_presence(entries: DataFrame, matches: DataFrame) -> DataFrame:

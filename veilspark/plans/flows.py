@@ -43,8 +43,7 @@ def detect_and_redact(docs: DataFrame, rules, strategy: str = "auto") -> DataFra
 
 def redact_documents(docs: DataFrame, rules, strategy: str = "auto") -> DataFrame:
     units = detect_and_redact(docs, rules, strategy)
-    counts = units.groupBy("project_id", "doc_id").agg(F.sum("n_hidden").alias("n_hidden"))
-    return units_to_documents(units).join(counts, ["project_id", "doc_id"])
+    return units_to_documents(units, totals=("n_hidden",))
 
 
 def recognize(

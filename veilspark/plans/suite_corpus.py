@@ -417,10 +417,12 @@ def _(spark, sf):
 
 @query(
     "m9_append_page",
-    """WITH s AS (SELECT conv_id, turn // 3 AS segment_no, string_agg(text, chr(10) ORDER BY turn) FILTER (turn <> 2) AS text FROM conversations GROUP BY ALL),
+    """WITH s AS (SELECT conv_id, turn // 3 AS segment_no, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations
+        WHERE turn <> 2 AND conv_id % 10 <> 3 GROUP BY ALL),
     f AS (SELECT conv_id, arg_min('d' || conv_id || '-' || turn, turn) AS doc_id, min(turn) + 1 AS page_from, max(turn) + 1 AS page_to,
         arg_max(nullif(turn % 4, 0), turn) AS total_pages FROM conversations GROUP BY ALL)
-    SELECT conv_id AS file_key, doc_id, page_from, page_to, total_pages, segment_no, text FROM f JOIN s USING (conv_id) WHERE text IS NOT NULL""",
+    SELECT conv_id AS file_key, doc_id, page_from, page_to, total_pages, coalesce(segment_no, (page_from - 1) // 3) AS segment_no, coalesce(text, '') AS text
+    FROM f LEFT JOIN s USING (conv_id)""",
 )
 def _(spark, sf):
     pages = table(spark, sf, "conversations").select(
@@ -430,11 +432,13 @@ def _(spark, sf):
         F.col("turn").alias("seq"),
         F.concat(F.lit("d"), "conv_id", F.lit("-"), "turn").alias("doc_id"),
         F.lit("t").alias("title"),
-        F.when(F.col("turn") == 2, "").otherwise(F.col("text")).alias("text"),
+        # some pages, and all pages of some files, are blank
+        F.when((F.col("turn") == 2) | (F.col("conv_id") % 10 == 3), "").otherwise(F.col("text")).alias("text"),
         (F.col("turn") % 4).alias("total_pages"),
     )
     facts, segments = C.append_pages(pages, segment=3)
-    return facts.join(segments, ["project_id", "file_key"]).select("file_key", "doc_id", "page_from", "page_to", "total_pages", "segment_no", "text")
+    whole = C.document_texts(facts, segments, segment=3)
+    return whole.select("file_key", "doc_id", "page_from", "page_to", "total_pages", "segment_no", "text")
 
 
 LINES_EXTRA = """CASE (doc_id + line_no) % 11 WHEN 0 THEN '' WHEN 1 THEN '## ' || line WHEN 2 THEN '   ' || line WHEN 3 THEN '[PAGE:' || (line_no + 1) || ']' WHEN 4 THEN line || '  ' ELSE line END"""

@@ -4,16 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.corpus import document_texts
 from ..streaming import page_stream as S
 from .session import scratch_dir
 from .suite import query
 from .suite_text import PERSONS, table
 from .suite_registry import sql_norm
-from .suite_text import persons
+
+
+#: Files that a table arrives in, one per micro-batch.
+ARRIVALS = 5
 
 
 def stream_of(spark, sf, name: str) -> DataFrame:
-    return S.read_pages(spark, sf, table(spark, sf, name).schema, pattern=f"{name}.parquet")
+    """The table's rows in shuffled order, a few micro-batches of them."""
+    rows = table(spark, sf, name)
+    folder = scratch_dir(spark, f"arriving-{name}")
+    rows.repartition(ARRIVALS, F.xxhash64(*rows.columns)).write.parquet(folder)
+    return S.read_pages(spark, folder, rows.schema)
 
 
 def page_rows(stream: DataFrame) -> DataFrame:
@@ -41,41 +49,51 @@ def _(spark, sf):
 
 @query(
     "r3_document_stream",
-    """SELECT CAST(conv_id AS VARCHAR) AS file_key, 'd' || conv_id || '-0' AS doc_id, min(turn) + 1 AS page_from, max(turn) + 1 AS page_to,
-      string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id""",
+    """WITH p AS (SELECT conv_id, CASE WHEN conv_id % 7 = 2 THEN turn * 400 ELSE turn END AS turn, CASE WHEN conv_id % 10 = 3 THEN '' ELSE text END AS text FROM conversations),
+    f AS (SELECT conv_id, min(turn) + 1 AS page_from, max(turn) + 1 AS page_to FROM p GROUP BY ALL),
+    s AS (SELECT conv_id, turn // 1000 AS segment_no, string_agg(text, chr(10) ORDER BY turn) AS text FROM p WHERE text <> '' GROUP BY ALL)
+    SELECT CAST(conv_id AS VARCHAR) AS file_key, 'd' || conv_id || '-0' AS doc_id, page_from, page_to, coalesce(segment_no, 0) AS segment_no, coalesce(text, '') AS text
+    FROM f LEFT JOIN s USING (conv_id)""",
 )
 def _(spark, sf):
     log = scratch_dir(spark, "documents")
-    S.run_available(page_rows(stream_of(spark, sf, "conversations")), S.page_step(log), f"{log}/checkpoint")
-    facts, segments = S.current_documents(spark, log)
-    return facts.join(segments, ["project_id", "file_key"]).select("file_key", "doc_id", "page_from", "page_to", "text")
+    stream = page_rows(stream_of(spark, sf, "conversations"))
+    # some files reach over 1,000 pages, some have blank pages only
+    far = F.when(F.col("file_key").cast("bigint") % 7 == 2, (F.col("page_no") - 1) * 400 + 1).otherwise(F.col("page_no"))
+    stream = stream.withColumn("page_no", far).withColumn("text", F.when(F.col("file_key").cast("bigint") % 10 == 3, "").otherwise(F.col("text")))
+    S.run_available(stream, S.page_step(log), f"{log}/checkpoint")
+    whole = document_texts(*S.current_documents(spark, log))
+    return whole.select("file_key", "doc_id", "page_from", "page_to", "segment_no", "text")
 
 
 @query(
     "r2_registry_stream",
-    f"""WITH {PERSONS}, k AS (SELECT *, lower(value) AS nk, CASE WHEN category = 'private' THEN 'private' ELSE 'professional' END AS series FROM persons),
-    b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY project_id, nk ORDER BY seq) = 1),
-    l AS (SELECT project_id, nk, pd_id, series, row_number() OVER (PARTITION BY project_id, series ORDER BY seq) AS n FROM b),
-    m AS (SELECT project_id, nk, lower({sql_norm("unnest(list_concat([value], mentions))")}) AS mk FROM k),
-    c AS (SELECT project_id, nk, count(DISTINCT mk) AS n_mentions FROM m WHERE mk <> '' GROUP BY ALL)
-    SELECT pd_id, CASE WHEN series <> 'private' THEN '[ФИО ' || n || ']' WHEN n <= 29 THEN substr('АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЭЮЯ', CAST(n AS INT), 1) || '.' ELSE 'Л-' || n END AS letter,
-      n_mentions FROM l JOIN c USING (project_id, nk)""",
+    f"""WITH {PERSONS},
+    k AS (SELECT *, lower(value) AS nk, min(seq) OVER (PARTITION BY project_id, lower(value)) AS bseq FROM persons),
+    base AS (SELECT * FROM k WHERE seq = bseq),
+    role AS (SELECT project_id, nk, arg_min(role, seq) AS r FROM k WHERE role <> '' GROUP BY ALL),
+    m AS (SELECT project_id, nk, seq, bseq, unnest(mentions) AS raw, unnest(range(len(mentions))) AS pos FROM k),
+    n AS (SELECT m.project_id, m.nk, m.seq, m.bseq, pos, {sql_norm("raw")} AS mention, lower({sql_norm("base.value")}) AS bv
+        FROM m JOIN base USING (project_id, nk)),
+    d AS (SELECT project_id, nk, arg_min(mention, seq * 100 + pos) AS mention, min(seq) AS fs, min(bseq) AS bseq
+        FROM n WHERE mention <> '' AND (seq = bseq OR lower(mention) <> bv) GROUP BY project_id, nk, lower(mention)),
+    added AS (SELECT DISTINCT project_id, nk FROM d WHERE fs > bseq),
+    l AS (SELECT project_id, nk, mention FROM d SEMI JOIN added USING (project_id, nk)
+        UNION ALL SELECT project_id, nk, unnest(mentions) FROM base ANTI JOIN added USING (project_id, nk)),
+    s AS (SELECT *, CASE WHEN category = 'private' THEN 'private' ELSE 'professional' END AS series FROM base),
+    a AS (SELECT *, row_number() OVER (PARTITION BY project_id, series ORDER BY seq) AS no FROM s)
+    SELECT a.project_id, a.pd_id, coalesce(role.r, a.role) AS role, l.mention,
+      CASE WHEN series <> 'private' THEN '[ФИО ' || no || ']' WHEN no <= 29 THEN substr('АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЭЮЯ', CAST(no AS INT), 1) || '.' ELSE 'Л-' || no END AS letter
+    FROM a JOIN l USING (project_id, nk) LEFT JOIN role USING (project_id, nk)""",
 )
 def _(spark, sf):
     log = scratch_dir(spark, "registry")
-    schema = table(spark, sf, "customer").schema
-    raw = S.read_pages(spark, sf, schema, pattern="customer.parquet")
-    shape = persons(spark, sf)
     # the same select list on the stream
-    stream = raw.selectExpr(*_person_select())
-    S.run_available(stream.select(*shape.columns), S.registry_step(log), f"{log}/checkpoint")
-    people, mentions = S.current_registry(spark, log)
-    counts = mentions.groupBy("project_id", "name_key").agg(F.count("*").alias("n_mentions"))
-    return (
-        people.withColumn("name_key", F.lower("value"))
-        .join(counts, ["project_id", "name_key"])
-        .select("pd_id", "letter", "n_mentions")
-    )
+    stream = stream_of(spark, sf, "customer").selectExpr(*_person_select())
+    S.run_available(stream, S.registry_step(log), f"{log}/checkpoint")
+    S.compact(spark, f"{log}/entries", S.ENTRIES, ARRIVALS // 2)
+    people, _others, mentions = S.current_registry(spark, log)
+    return people.select("project_id", "pd_id", "role", "letter").join(mentions.select("project_id", "pd_id", "mention"), ["project_id", "pd_id"])
 
 
 def _person_select() -> list[str]:

@@ -335,7 +335,17 @@ def _(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", P.ws_flexible_pattern("text").alias("pattern"))
 
 
-@query("x12_person_pattern")
+# the patterns as strings, put together from the fixed parts
+def sql_escape(value: str) -> str:
+    return f"regexp_replace({value}, '([.*+?^${{}}()|\\[\\]\\\\])', '\\\\\\1', 'g')"
+
+
+@query(
+    "x12_person_pattern",
+    f"""WITH w AS (SELECT c_custkey, generate_subscripts(l, 1) AS i, unnest(l) AS w FROM (SELECT c_custkey, string_split(c_mktsegment || ' ' || c_name, ' ') AS l FROM customer)),
+    p AS (SELECT c_custkey, i, CASE WHEN upper(w[1]) <> lower(w[1]) THEN '[' || upper(w[1]) || lower(w[1]) || ']' ELSE {sql_escape("w[1]")} END || {sql_escape("w[2:]")} AS p FROM w)
+    SELECT c_custkey, '{P.LEFT_EDGE}' || string_agg(p, '{WS}+' ORDER BY i) || '{P.INITIALS_AFTER}' AS pattern FROM p GROUP BY c_custkey""",
+)
 def _(spark, sf):
     c = table(spark, sf, "customer")
     name = F.concat_ws(" ", "c_mktsegment", "c_name")
@@ -374,7 +384,10 @@ def _(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", P.address_pattern(F.expr(ADDRESS)).alias("pattern"))
 
 
-@query("x15_ambiguous_pattern")
+@query(
+    "x15_ambiguous_pattern",
+    f"""SELECT item_id, '{P.LEFT_EDGE}' || array_to_string(list_filter(string_split_regex({sql_escape("text")}, '{WS}+'), lambda w: w <> ''), '{WS}+') || '{P.RIGHT_EDGE}' AS pattern FROM benchmark""",
+)
 def _(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", P.ambiguous_pattern("text").alias("pattern"))
 
@@ -472,10 +485,16 @@ def _(spark, sf):
     b AS (SELECT page_id, regexp_replace(t, '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g') AS t FROM a),
     c AS (SELECT page_id, regexp_replace(t, '(?is)<style\b[^>]*>.*?</style\s*>', '', 'g') AS t FROM b),
     d AS (SELECT page_id, regexp_replace(t, '(?s)<[!/?A-Za-z][^>]*>', '', 'g') AS t FROM c),
-    s AS (SELECT page_id, regexp_extract_all(t, '&#([0-9]{1,7});', 1) AS ns, string_split_regex(t, '&#[0-9]{1,7};') AS ts FROM d),
-    e AS (SELECT page_id, array_to_string(list_transform(range(1, len(ts) + 1), lambda i: ts[i] || coalesce(chr(CAST(ns[i] AS INT)), '')), '') AS t FROM s)
-    SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''),
-      '&nbsp;', chr(160)), '&amp;', '&') AS text FROM e""",
+    p AS (SELECT page_id, i, part FROM (SELECT page_id, unnest(string_split(t, '&')) AS part, unnest(range(len(string_split(t, '&')))) AS i FROM d)),
+    q AS (SELECT *, CASE WHEN i > 0 THEN regexp_extract(part, '^(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);', 1) ELSE '' END AS r FROM p),
+    n AS (SELECT *, CASE WHEN regexp_matches(r, '^#[0-9]') THEN TRY_CAST(r[2:] AS BIGINT) WHEN regexp_matches(r, '^#[xX]') THEN TRY_CAST('0x' || r[3:] AS BIGINT) END AS code FROM q),
+    k AS (SELECT page_id, i, CASE
+        WHEN r = '' THEN CASE WHEN i > 0 THEN '&' ELSE '' END || part
+        WHEN starts_with(r, '#') THEN CASE WHEN code IS NULL OR code = 0 OR code > 1114111 OR code BETWEEN 55296 AND 57343 THEN chr(65533) ELSE chr(CAST(code AS INT)) END || part[length(r) + 2:]
+        WHEN names.c IS NOT NULL THEN names.c || part[length(r) + 2:] ELSE '&' || part END AS t
+      FROM n LEFT JOIN (VALUES ('lt', '<'), ('gt', '>'), ('quot', '"'), ('apos', ''''), ('nbsp', chr(160)), ('amp', '&'), ('mdash', '—'), ('ndash', '–'), ('laquo', '«'),
+        ('raquo', '»'), ('hellip', '…'), ('copy', '©'), ('eacute', 'é'), ('uuml', 'ü'), ('middot', '·')) AS names(name, c) ON names.name = r)
+    SELECT page_id, string_agg(t, '' ORDER BY i) AS text FROM k GROUP BY page_id""",
 )
 def _(spark, sf):
     return spread(table(spark, sf, "pages"), "page_id").select("page_id", X.html_to_text("html").alias("text"))

@@ -13,10 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.arrays import person_mentions
 from ..operators.corpus import append_pages
-from ..operators.ordinal import first_per_key
-from ..operators.registry import assign_letters
+from ..operators.registry import assign_letters, merge_others, merge_persons
 
 
 def read_pages(
@@ -53,20 +51,33 @@ def _names(ddl: str) -> list[str]:
     return [item.split()[0] for item in ddl.split(",")]
 
 
-def _log(spark: SparkSession, log: str, schema: str, before: int | None = None) -> DataFrame:
-    """A log table; an empty first batch makes it readable from the start."""
+def _log(spark: SparkSession, log: str, schema: str) -> DataFrame:
+    """A log table: the newest compaction and the batches behind it. Empty
+    first parts make both readable from the start."""
     spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{log}/batch=-1")
-    rows = spark.read.schema(f"{schema}, batch bigint").parquet(log)
-    return rows if before is None else rows.filter(F.col("batch") < before)
+    spark.createDataFrame([], f"{schema}, batch bigint").write.mode("ignore").parquet(f"{log}-compact/upto=-1")
+    parts = spark.read.schema(f"{schema}, batch bigint, upto bigint").parquet(f"{log}-compact")
+    upto = parts.agg(F.max("upto")).first()[0]
+    upto = -1 if upto is None else upto
+    rows = spark.read.schema(f"{schema}, batch bigint").parquet(log).filter(F.col("batch") > upto)
+    return rows.unionByName(parts.filter(F.col("upto") == upto).drop("upto"))
+
+
+def compact(spark: SparkSession, log: str, schema: str, upto: int) -> None:
+    """Gather all batches up to ``upto`` (one that is complete) into one part,
+    which readers use from then on. The parts it replaces can be deleted once
+    no reader is left that began before."""
+    rows = _log(spark, log, schema).filter(F.col("batch") <= upto)
+    rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).write.mode("overwrite").parquet(f"{log}-compact/upto={upto}")
 
 
 PAGES = (
     "project_id string, file_key string, page_no bigint, seq bigint, doc_id string, title string, text string, total_pages bigint"
 )
-PERSONS = (
-    "project_id string, pd_id string, seq bigint, kind string, category string, value string, role string, letter string"
+ENTRIES = (
+    "project_id string, pd_id string, seq bigint, kind string, category string, pd_type string, value string, role string, "
+    "letter string, replacement string, mentions array<string>"
 )
-MENTIONS = ("project_id string, name_key string, m_key string, mention string, m_seq bigint, m_pos int")
 
 
 def page_step(log: str) -> Callable[[DataFrame, int], None]:
@@ -85,41 +96,24 @@ def current_documents(spark: SparkSession, log: str) -> tuple[DataFrame, DataFra
 
 
 def registry_step(log: str) -> Callable[[DataFrame, int], None]:
-    """Carry the person registry from batch to batch.
-
-    A batch of person rows ``(project_id, pd_id, seq, category, value, role,
-    mentions)`` adds the names not known yet, with their letters, and the
-    spellings not known yet. Both logs only ever grow by what is new.
-    """
+    """Append the batch's registry rows, persons and other values, as they
+    are: merging is left to the view, so that later roles and spellings count."""
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = _log(spark, f"{log}/persons", PERSONS, batch_id).drop("batch")
-        spelled = _log(spark, f"{log}/mentions", MENTIONS, batch_id)
-        keyed = batch.withColumn("name_key", F.lower("value"))
-        own = ["project_id", "name_key"]
-        names = known.select("project_id", F.lower("value").alias("name_key"))
-        new = first_per_key(keyed.drop("mentions"), own, ["seq"]).join(names, own, "left_anti")
-        lettered = assign_letters(
-            new.select(
-                "project_id", "pd_id", "seq", F.lit("person").alias("kind"), "category", "value", "role",
-                F.lit(None).cast("string").alias("letter"),
-            ),
-            known,
-        )
-        rows = keyed.select(
-            *own, F.col("seq").alias("m_seq"), F.posexplode(person_mentions(F.col("value"), F.col("mentions"))).alias("m_pos", "mention")
-        ).withColumn("m_key", F.lower("mention"))
-        fresh = first_per_key(rows, [*own, "m_key"], ["m_seq", "m_pos"]).join(
-            spelled.select(*own, "m_key"), [*own, "m_key"], "left_anti"
-        )
-        _put(lettered.select(*_names(PERSONS)), f"{log}/persons", batch_id)
-        _put(fresh.select(*_names(MENTIONS)), f"{log}/mentions", batch_id)
+        _put(batch.select(*_names(ENTRIES)), f"{log}/entries", batch_id)
 
     return step
 
 
-def current_registry(spark: SparkSession, log: str) -> tuple[DataFrame, DataFrame]:
-    return _log(spark, f"{log}/persons", PERSONS), _log(spark, f"{log}/mentions", MENTIONS)
+def current_registry(spark: SparkSession, log: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(persons with letters, other values, mention rows) as far as rows have
+    arrived: the batch merge of the log, whatever the order of arrival. Stored
+    letters stay; the other persons are numbered by ``seq``."""
+    entries = _log(spark, f"{log}/entries", ENTRIES).drop("batch")
+    persons, person_rows = merge_persons(entries.filter(F.col("kind") == "person"))
+    others, other_rows = merge_others(entries.filter(F.col("kind") != "person"))
+    known = persons.filter(F.coalesce("letter", F.lit("")) != "")
+    cols = ["project_id", "pd_id", "mention", "m_seq", "m_pos"]
+    return assign_letters(persons, known), others, person_rows.select(*cols).unionByName(other_rows.select(*cols))
 
 
 def stream_dedupe(stream: DataFrame, keys: list[str], stamp: str | None = None, delay: str = "10 minutes") -> DataFrame:
