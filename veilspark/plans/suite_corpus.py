@@ -16,7 +16,7 @@ from .suite_text import LINES_CTE, docs, lines_of, sql_trim, table
 # --- sources and sinks ------------------------------------------------------
 
 ROW = """CAST(doc_id AS string) AS id, 'u' || (doc_id % 7) AS user_id, nullif(source, 'src0') AS project_id, 'T' || doc_id AS title,
- CASE WHEN doc_id % 3 = 0 THEN text ELSE CAST(NULL AS string) END AS text, nullif(lang, 'en') AS source, doc_id % 10 = 0 AS is_project_summary,
+ text, nullif(lang, 'en') AS source, doc_id % 10 = 0 AS is_project_summary,
  CASE WHEN doc_id % 4 = 0 THEN doc_id % 5 ELSE CAST(NULL AS bigint) END AS page_from, doc_id % 11 AS page_to, doc_id % 6 AS total_pages,
  TIMESTAMP '2024-01-01 00:00:00' + CAST(doc_id AS int) * INTERVAL '1' SECOND AS saved_at"""
 
@@ -29,7 +29,7 @@ def document_rows(spark, sf) -> DataFrame:
     )
     return t.selectExpr(
         "CAST(doc_id AS string) AS id", "'u' || (doc_id % 7) AS user_id", "nullif(source, 'src0') AS project_id", "'T' || doc_id AS title",
-        "CASE WHEN doc_id % 3 = 0 THEN text END AS text", "nullif(lang, 'en') AS source", "doc_id % 10 = 0 AS is_project_summary",
+        "text", "nullif(lang, 'en') AS source", "doc_id % 10 = 0 AS is_project_summary",
         "CASE WHEN doc_id % 4 = 0 THEN doc_id % 5 END AS page_from", "doc_id % 11 AS page_to", "doc_id % 6 AS total_pages",
         "TIMESTAMP '2024-01-01 00:00:00' + CAST(doc_id AS int) * INTERVAL '1' SECOND AS saved_at", "doc_id AS n",
     ).join(t.select(F.col("doc_id").alias("n"), F.when(F.col("doc_id") % 2 == 0, meta).alias("page_metadata")), "n").drop("n")
@@ -71,7 +71,7 @@ def _(spark, sf):
 
 
 # written by s4 and read back by s3: one document per line
-ROUND_TRIP = """SELECT 'T' || doc_id AS title, CASE WHEN doc_id % 3 = 0 THEN text ELSE '' END AS text, coalesce(nullif(lang, 'en'), 'ocr') AS source,
+ROUND_TRIP = """SELECT 'T' || doc_id AS title, text, coalesce(nullif(lang, 'en'), 'ocr') AS source,
   nullif(doc_id % 11, 0) AS page_to FROM documents"""
 
 
@@ -190,7 +190,7 @@ def _(spark, sf):
 
 @query(
     "u4_project_membership",
-    """WITH m AS (SELECT source AS project_id, doc_id AS pos, doc_id FROM documents WHERE doc_id % 3 > 0),
+    """WITH m AS (SELECT source AS project_id, doc_id AS pos, doc_id FROM documents),
     a AS (SELECT 'src' || (doc_id % 25) AS project_id, doc_id, min(event_id) AS s FROM (SELECT event_id, user_id AS doc_id FROM events) GROUP BY ALL),
     f AS (SELECT a.project_id, a.doc_id, row_number() OVER (PARTITION BY a.project_id ORDER BY s) + coalesce(max(e.pos), -1) AS pos
         FROM a ANTI JOIN m USING (project_id, doc_id) LEFT JOIN (SELECT project_id, max(pos) AS pos FROM m GROUP BY ALL) e ON e.project_id = a.project_id GROUP BY a.project_id, a.doc_id, s)
@@ -198,7 +198,7 @@ def _(spark, sf):
     UNION ALL SELECT project_id, pos, doc_id FROM f WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
 )
 def _(spark, sf):
-    m = members_of(spark, sf).filter("doc_id % 3 > 0")
+    m = members_of(spark, sf)
     added = table(spark, sf, "events").select(
         F.concat(F.lit("src"), (F.col("user_id") % 25).cast("string")).alias("project_id"), F.col("user_id").alias("doc_id"), F.col("event_id").alias("a_seq")
     )
@@ -226,21 +226,21 @@ def _(spark, sf):
 @query(
     "j7_manifest_diff",
     """WITH s AS (SELECT event_id AS session_id, CASE WHEN event_id % 9 = 0 THEN 'image' WHEN event_id % 2 = 0 THEN 'pdf' END AS source_kind, nullif('f' || user_id, 'f3') AS file_name,
-        event_id % 5 AS file_size, nullif(event_id % 2, 0) AS modified, event_id % 50 AS next_page FROM events WHERE event_type = 'signup'),
+        event_id % 5 AS file_size, nullif(event_id % 2, 0) AS modified, event_id % 50 AS next_page FROM events),
     k AS (SELECT coalesce(file_name, '') AS n, file_size AS z, coalesce(modified, 0) AS t, max(session_id) AS session_id, arg_max(next_page, session_id) AS next_page
         FROM s WHERE coalesce(source_kind, 'pdf') = 'pdf' GROUP BY ALL),
-    f AS (SELECT event_id AS file_id, nullif('f' || user_id, 'f3') AS file_name, event_id % 5 AS file_size, nullif(event_id % 2, 0) AS modified FROM events WHERE event_type = 'purchase')
+    f AS (SELECT event_id AS file_id, nullif('f' || user_id, 'f3') AS file_name, event_id % 5 AS file_size, nullif(event_id % 2, 0) AS modified FROM events)
     SELECT file_id, k.session_id, k.next_page FROM f LEFT JOIN k ON n = coalesce(file_name, '') AND z = file_size AND t = coalesce(modified, 0)""",
 )
 def _(spark, sf):
     e = table(spark, sf, "events").selectExpr(
         "event_id", "event_type", "nullif('f' || user_id, 'f3') AS file_name", "event_id % 5 AS file_size", "nullif(event_id % 2, 0) AS modified"
     )
-    sessions = e.filter("event_type = 'signup'").selectExpr(
+    sessions = e.selectExpr(
         "event_id AS session_id", "CASE WHEN event_id % 9 = 0 THEN 'image' WHEN event_id % 2 = 0 THEN 'pdf' END AS source_kind",
         "file_name", "file_size", "modified", "event_id % 50 AS next_page",
     )
-    files = e.filter("event_type = 'purchase'").selectExpr("event_id AS file_id", "file_name", "file_size", "modified")
+    files = e.selectExpr("event_id AS file_id", "file_name", "file_size", "modified")
     return C.manifest_diff(sessions, files).select("file_id", "session_id", "next_page")
 
 
@@ -361,10 +361,10 @@ def _(spark, sf):
 
 @query(
     "j9_apply_revision",
-    f"""WITH p AS (SELECT conv_id, turn + 1 AS page_no, CASE WHEN conv_id % 5 = 0 AND turn = 0 THEN NULL ELSE '[PAGE:' || (turn + 1) || ']' END AS marker,
+    f"""WITH c AS (SELECT CASE WHEN conv_id % 4 = 0 THEN -1000 * conv_id - turn - 1 ELSE conv_id END AS conv_id, turn, role, text FROM conversations),
+    p AS (SELECT conv_id, turn + 1 AS page_no, CASE WHEN conv_id % 5 = 0 AND turn = 0 THEN NULL ELSE '[PAGE:' || (turn + 1) || ']' END AS marker,
         CASE WHEN turn = 3 THEN ' ' || chr(10) ELSE chr(10) || {PAGE_TEXT} END AS text, count(*) OVER (PARTITION BY conv_id) AS n,
-        CASE WHEN role = 'assistant' THEN CASE WHEN turn % 3 = 0 THEN left(text, 20) ELSE left(replace(text, 'e', 'E'), 45) || '-' || chr(10) || 'x' END END AS rev
-        FROM (SELECT * FROM conversations WHERE conv_id % 4 > 0 OR turn = 1)),
+        CASE WHEN role = 'assistant' THEN CASE WHEN turn % 3 = 0 THEN role ELSE replace(text, 'e', 'E') || '-' || chr(10) || 'x' END END AS rev FROM c),
     r AS (SELECT *, coalesce(length(rev) > CASE WHEN n = 1 THEN 50 ELSE 30 END, false) AS ok FROM p),
     t AS (SELECT conv_id, page_no, n, marker, text, ok, CASE WHEN ok THEN rev ELSE {sql_trim("text")} END AS b FROM r),
     d AS (SELECT *, regexp_replace(regexp_replace(b, '([А-яЁёa-zA-Z])-\\r?\\n([а-яёa-z])', '\\1\\2', 'g'), '([А-яЁёa-zA-Z])- ([а-яёa-z])', '\\1\\2', 'g') AS j FROM t),
@@ -373,7 +373,9 @@ def _(spark, sf):
       WHEN marker IS NULL THEN body ELSE chr(10) || marker || chr(10) || body END AS text FROM f""",
 )
 def _(spark, sf):
-    c = table(spark, sf, "conversations").filter("conv_id % 4 > 0 OR turn = 1")
+    # every page of a quarter of the files is a file of its own
+    lone = F.when(F.col("conv_id") % 4 == 0, -1000 * F.col("conv_id") - F.col("turn") - 1).otherwise(F.col("conv_id"))
+    c = table(spark, sf, "conversations").withColumn("conv_id", lone)
     page_no = F.col("turn") + 1
     body = F.replace(F.replace("text", F.lit(". "), F.lit("-\n")), F.lit(", "), F.lit("\n 12 \n"))
     pages = c.select(
@@ -385,7 +387,7 @@ def _(spark, sf):
     revised = c.filter("role = 'assistant'").select(
         F.col("conv_id").alias("file_key"),
         page_no.alias("page_no"),
-        F.when(F.col("turn") % 3 == 0, F.left("text", F.lit(20))).otherwise(F.concat(F.left(F.replace("text", F.lit("e"), F.lit("E")), F.lit(45)), F.lit("-\nx"))).alias("revised"),
+        F.when(F.col("turn") % 3 == 0, F.col("role")).otherwise(F.concat(F.replace("text", F.lit("e"), F.lit("E")), F.lit("-\nx"))).alias("revised"),
     )
     return G.apply_revision(pages, revised)
 

@@ -106,10 +106,15 @@ LETTERED = f"""x AS (SELECT 'q' || (c_nationkey % 5) AS project_id, 'c' || c_cus
         WHEN k <= 29 THEN substr('{ALPHABET}', CAST(k AS INT), 1) || '.' ELSE 'Л-' || k END AS letter FROM k)"""
 
 
-@query("w1_assign_letters", f"WITH {LETTERED} SELECT project_id, pd_id, letter FROM lettered")
+@query(
+    "w1_assign_letters",
+    f"""WITH {LETTERED} SELECT project_id, pd_id, letter FROM lettered
+    UNION ALL SELECT 'q' || (c_nationkey % 5), 'c' || c_custkey, NULL FROM customer WHERE c_custkey % 5 = 0""",
+)
 def _(spark, sf):
     p = five_projects(persons(spark, sf))
-    return R.assign_letters(p.filter("seq % 5 <> 0"), p.filter("seq % 5 = 0")).select("project_id", "pd_id", "letter")
+    known = p.filter("seq % 5 = 0")
+    return R.assign_letters(p.filter("seq % 5 <> 0"), known).unionByName(known).select("project_id", "pd_id", "letter")
 
 
 @query(
@@ -183,14 +188,14 @@ def _(spark, sf):
 @query(
     "j11_effective_registry",
     f"""WITH {PERSONS}, shared AS (SELECT * FROM persons WHERE seq % 3 = 0 AND length(project_id) = 2),
-    d AS (SELECT *, seq % 10 AS doc_id FROM persons WHERE seq % 3 <> 0), last AS (SELECT project_id, max(doc_id) AS doc_id FROM d GROUP BY ALL)
+    d AS (SELECT *, seq % 10 AS doc_id FROM persons WHERE NOT (seq % 3 = 0 AND length(project_id) = 2)), last AS (SELECT project_id, max(doc_id) AS doc_id FROM d GROUP BY ALL)
     SELECT project_id, pd_id, 'shared' AS origin FROM shared
     UNION ALL SELECT project_id, pd_id, 'last_document' FROM d SEMI JOIN last USING (project_id, doc_id) ANTI JOIN shared USING (project_id)""",
 )
 def _(spark, sf):
     p = persons(spark, sf)
     shared = p.filter("seq % 3 = 0 AND length(project_id) = 2")
-    of_docs = p.filter("seq % 3 <> 0").withColumn("doc_id", F.col("seq") % 10)
+    of_docs = p.filter("NOT (seq % 3 = 0 AND length(project_id) = 2)").withColumn("doc_id", F.col("seq") % 10)
     last = corpus.last_document(of_docs.select("project_id", "doc_id", F.col("doc_id").alias("pos")))
     return R.effective_registry(shared, of_docs, last).select("project_id", "pd_id", "origin")
 
@@ -303,7 +308,7 @@ def _(spark, sf):
 
 
 ATTACHED = """SELECT 'n' || c_nationkey AS project_id, 'c' || o_custkey AS pd_id, ' ' || o_orderpriority AS fragment, o_orderkey AS a_seq,
-  o_orderpriority AS amb_value, o_orderstatus AS amb_context, 'c' || (o_custkey % 10) AS amb_reason FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 3 = 0"""
+  o_orderpriority AS amb_value, o_orderstatus AS amb_context, 'c' || (o_custkey % 10) AS amb_reason FROM orders JOIN customer ON o_custkey = c_custkey"""
 
 
 @query(
@@ -323,7 +328,7 @@ def _(spark, sf):
 
 
 def _attached(spark, sf) -> DataFrame:
-    o, c = table(spark, sf, "orders").filter("o_orderkey % 3 = 0"), table(spark, sf, "customer")
+    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
     return o.join(c, o["o_custkey"] == c["c_custkey"]).selectExpr(
         "'n' || c_nationkey AS project_id", "'c' || o_custkey AS pd_id", "' ' || o_orderpriority AS fragment", "o_orderkey AS a_seq",
         "o_orderpriority AS amb_value", "o_orderstatus AS amb_context", "'c' || (o_custkey % 10) AS amb_reason",
@@ -382,11 +387,11 @@ def _(spark, sf):
 
 @query(
     "u9_prune_unreferenced",
-    f"""WITH {PERSONS} SELECT pd_id FROM persons WHERE NOT (seq % 3 = 0 AND seq NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 20 = 0))""",
+    f"""WITH {PERSONS} SELECT pd_id FROM persons WHERE NOT (seq % 3 = 0 AND seq NOT IN (SELECT o_custkey FROM orders))""",
 )
 def _(spark, sf):
     p = persons(spark, sf)
-    marks = table(spark, sf, "orders").filter("o_orderkey % 20 = 0").select(F.col("o_custkey").alias("seq")).join(
+    marks = table(spark, sf, "orders").select(F.col("o_custkey").alias("seq")).join(
         p.select("project_id", "pd_id", "seq"), "seq"
     )
     return R.prune_unreferenced(p, p.filter("seq % 3 = 0"), marks).select("pd_id")

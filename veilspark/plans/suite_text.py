@@ -394,8 +394,8 @@ def _(spark, sf):
 
 LINE_KIND = """CASE (doc_id + line_no) % 13 WHEN 0 THEN '## ' || line WHEN 1 THEN '### ' || line WHEN 2 THEN '---' WHEN 3 THEN '  '
  WHEN 4 THEN '[PAGE:' || line_no || ']' WHEN 5 THEN '[INDENT]' || line WHEN 6 THEN '[RIGHT-BLOCK]' || line
- WHEN 7 THEN '[CENTER]' || line || '[/CENTER]' WHEN 8 THEN '[LEFTRIGHT: ' || left(line, 9) || ' | ' || left(line, 5) || ' ]'
- WHEN 9 THEN '**УСТАНОВИЛ:** ' || left(line, 8) WHEN 10 THEN 'решила ' || line ELSE line END"""
+ WHEN 7 THEN '[CENTER]' || line || '[/CENTER]' WHEN 8 THEN '[LEFTRIGHT: ' || line || ' | ' || line || ' ]'
+ WHEN 9 THEN '**УСТАНОВИЛ:** ' || line WHEN 10 THEN 'решила ' || line ELSE line END"""
 LINES_CTE = """lines AS (SELECT doc_id, source AS project_id, unnest(range(len(l))) AS line_no, unnest(l) AS line
   FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents))"""
 
