@@ -42,7 +42,7 @@ MARGIN = 0.14
 BLOCK = 1024
 #: Nodes whose sets one task holds, about.
 TASK_NODES = 2_000
-#: Ids (about 50 bytes each) sent to every executor to pick texts; more are joined by shuffle.
+#: Rows (ids or task numbers, about 50 bytes each) sent to every executor to pick texts; more are joined by shuffle.
 SMALL_IDS = 1_000_000
 
 _SKETCH = "node binary, n_shingles long, registers binary, bands array<long>"
@@ -77,20 +77,22 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, {_SKETCH}")
 
 
-def _node_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, members (sorted hashes, 8 bytes each) of the wanted nodes (node,
-    doc_id): the text of a row of each is read again."""
+def _task_sets(docs: DataFrame, nodes: DataFrame, where: DataFrame) -> DataFrame:
+    """task, node, members (sorted hashes, 8 bytes each): the text of a row of
+    each node is read again and its set sent to the tasks that want it."""
 
     def run(batches):
         for batch in slices(batches, "text"):
             sets = S.shingle_sets(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([S.digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "members"])
+            columns = [batch.column("tasks"), pa.array([S.digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["tasks", "node", "members"])
 
-    ids = wanted.select(F.col("doc_id").alias("wanted_id")).distinct()
-    if ids.count() <= SMALL_IDS:
-        ids = F.broadcast(ids)
-    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["wanted_id"]), "left_semi")
-    return texts.select("text").mapInArrow(run, "node binary, members binary")
+    wanted = settle(nodes.join(where, "node").groupBy(F.col("doc_id").alias("wanted_id")).agg(F.collect_set("task").alias("tasks")))
+    if nodes.count() <= SMALL_IDS:
+        wanted = F.broadcast(wanted)
+    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["wanted_id"])).select("text", "tasks")
+    sets = texts.mapInArrow(run, "tasks array<long>, node binary, members binary")
+    return sets.select(F.explode("tasks").alias("task"), "node", "members")
 
 
 def _matrix(column) -> np.ndarray:
@@ -160,10 +162,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, where: DataFrame, percent: int) -
     """Links (a, b) among tasks' candidate pairs. A task's nodes bring their
     sets to it once, however many pairs they are in."""
     nodes = settle(pairs.select("task", F.explode(F.array_distinct(F.concat("firsts", "seconds"))).alias("node")))
-    wanted = nodes.select("node").distinct().join(where, "node")
-    sets = settle(_node_sets(docs, wanted))
     none = F.lit(None)
-    rows = nodes.join(sets, "node").select("task", "node", "members", none.cast("array<binary>").alias("firsts"), none.cast("array<binary>").alias("seconds"))
+    rows = _task_sets(docs, nodes, where).select("task", "node", "members", none.cast("array<binary>").alias("firsts"), none.cast("array<binary>").alias("seconds"))
     rows = rows.unionByName(pairs.select("task", none.cast("binary").alias("node"), none.cast("binary").alias("members"), "firsts", "seconds"))
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
