@@ -5,9 +5,9 @@ random codewords. Its filter directions are all pairs of codewords, so s
 codewords a half give s * s directions, but a vector's inner products with all
 of them are sums of two short tables. A vector is in the filter of every
 direction that it exceeds ``THRESHOLD`` with; sorted tables list these without
-visiting the others. Several codes even out how many filters a vector gets: at
-cosine 0.98 two vectors share 35 filters on average and none in about one case
-in 50,000. The number of codewords follows from the share of the sphere that a
+visiting the others. Several codes even out how many filters a vector gets: of
+30,000 random pairs of 64 dimensions at cosine 0.98, all shared a filter, 35 on
+average. The number of codewords follows from the share of the sphere that a
 cap covers, so that a vector is in about ``FILTERS`` filters whatever its
 dimensions.
 """
