@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilspark.functions import arrays as A, patterns as P, text as X
-from veilspark.operators import corpus as C, matching as M, pages as G, redaction as Z, registry as R
+from veilspark.operators import corpus as C, detection, matching as M, pages as G, redaction as Z, registry as R
 from veilspark.sources import readers
 from veilspark.schemas import PAGE_METADATA
 
@@ -83,6 +83,32 @@ def test_annotated_html(spark):
     assert again == html.replace("<div>Слава сказал.</div>", f"<div>{mark} сказал.</div>")
 
 
+def test_rules_that_no_table_has(spark):
+    cases = {
+        "zagranpassport": ("паспорт 71 № 1234567 выдан", "71 № 1234567"),
+        "military_id": ("билет АБ № 1234567.", "АБ № 1234567"),
+        "birth_certificate": ("св-во IV-ЕР № 123456,", "IV-ЕР № 123456"),
+        "oms_policy": ("полис ОМС № 1234567890123456", "1234567890123456"),
+        "vehicle_plate": ("авто А 123 ВС 163 синее", "А 123 ВС 163"),
+        "dob": ("Петров, 01.02.1990 г.р., житель", "01.02.1990 г.р."),
+    }
+    units = spark.createDataFrame([("p", i, 0, text) for i, (text, _) in enumerate(cases.values())], "project_id string, doc_id bigint, unit_no int, text string")
+    found = {(r.pd_type, r.value) for r in detection.detect_pd(units).collect()}
+    assert {(t, v) for t, (_, v) in cases.items()} <= found
+
+
+def test_shared_folder_is_required_beyond_local_sessions():
+    from types import SimpleNamespace
+
+    from veilspark.plans.session import scratch_dir
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        scratch_dir(far, "x")
+    near = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: "/shared"), sparkContext=far.sparkContext)
+    assert scratch_dir(near, "x").startswith("/shared/x-")
+
+
 def test_references_are_decoded_once(spark):
     cases = {
         "&#9999999;": "\ufffd", "&#38;lt;": "&lt;", "&#x41;&mdash;&laquo;": "A—«", "&#0;": "\ufffd", "&#128;&#x99;": "€™",

@@ -255,21 +255,15 @@ def read_pd_responses(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
         ),
         lambda v: v != "",
     )
-    entries, ambiguous = explode_personal_data(parsed.withColumn("unclear", unclear))
-    values = parsed.select("doc_id", unclear.alias("unclear"))
+    def without(mentions):
+        known = F.coalesce(mentions, F.array().cast("array<string>"))
+        return F.filter(known, lambda m: m.isNotNull() & ~F.coalesce(F.array_contains("unclear", F.lower(js_trim(m))), F.lit(False)))
+
+    # the answer's own list cleans its persons in the row, before they are spread
+    persons = F.transform("personal_data.persons", lambda p: F.when(F.size("unclear") > 0, p.withField("mentions", without(p["mentions"]))).otherwise(p))
+    cleaned_answers = parsed.withColumn("unclear", unclear).withColumn("personal_data", F.col("personal_data").withField("persons", persons))
+    cleaned, ambiguous = explode_personal_data(cleaned_answers.drop("unclear"))
     person = F.col("kind") == "person"
-    cleaned = entries.join(values, "doc_id").withColumn(
-        "mentions",
-        F.when(
-            person & (F.size("unclear") > 0),
-            F.array_compact(
-                F.transform(
-                    F.coalesce("mentions", F.array().cast("array<string>")),
-                    lambda m: F.when(~F.array_contains(F.col("unclear"), F.lower(js_trim(m))), m),
-                )
-            ),
-        ).otherwise(F.col("mentions")),
-    ).drop("unclear")
     return filter_generic_birthplace(filter_address_detail(cleaned.filter("kind = 'other'"))).unionByName(
         cleaned.filter(person)
     ), ambiguous

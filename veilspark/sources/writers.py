@@ -51,12 +51,18 @@ def write_portable_json(docs: DataFrame, path: str) -> None:
     docs.select(portable_json(docs).alias("value")).write.mode("errorifexists").text(path)
 
 
+#: Files of one project at most.
+EXPORT_FILES = 64
+
+
 def export_redacted(docs: DataFrame, path: str, fmt: str = "html", column: str = "html") -> None:
     """Redacted texts or HTML by project, one document per record."""
     if fmt not in ("html", "text"):
         raise ValueError(f"unknown format: {fmt}")
     body = export_spans(column) if fmt == "html" else F.col(column)
-    docs.select("project_id", "doc_id", body.alias("content")).write.mode("errorifexists").partitionBy(
+    # a project's documents meet in a few tasks, so that it gets few files; a large one still spreads over EXPORT_FILES
+    dealt = docs.repartition("project_id", F.pmod(F.xxhash64("doc_id"), F.lit(EXPORT_FILES)))
+    dealt.select("project_id", "doc_id", body.alias("content")).write.mode("errorifexists").partitionBy(
         "project_id"
     ).json(path)
 
