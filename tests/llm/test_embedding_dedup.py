@@ -1,7 +1,8 @@
 import numpy as np
+import pytest
 
 from veilspark.llm import embedding_dedup as E
-from veilspark.llm.caps import ProductCodes
+from veilspark.llm.caps import ProductCodes, share_for
 
 SCHEMA = "vec_id long, embedding array<float>, label int, node string, links long"
 
@@ -49,7 +50,8 @@ def test_empty_table(spark):
     assert E.near_vectors(table(spark, [])).count() == 0
 
 
-def test_pairs_at_the_limit_share_filters():
+@pytest.mark.parametrize("vectors", [100, 50_000, 10**6])
+def test_pairs_at_the_limit_share_filters(vectors):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(400, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -57,7 +59,7 @@ def test_pairs_at_the_limit_share_filters():
     side -= (side * x).sum(axis=1, keepdims=True) * x
     side /= np.linalg.norm(side, axis=1, keepdims=True)
     y = 0.98 * x + np.sqrt(1 - 0.98**2) * side
-    codes = ProductCodes(64)
+    codes = ProductCodes(64, share_for(vectors))
     shared = [len(np.intersect1d(a, b)) for a, b in zip(codes.filters(x), codes.filters(y))]
     assert min(shared) > 0 and np.mean(shared) > 15
 
@@ -71,7 +73,7 @@ def test_few_dimensions():
 
 
 def test_filters_are_all_that_exceed():
-    codes = ProductCodes(10, codes=2, filters=9, threshold=1.5)
+    codes = ProductCodes(10, 2.0**-4, codes=2, filters=9)
     x = np.random.default_rng(7).normal(size=(20, 10))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     for row, got in zip(x, codes.filters(x)):

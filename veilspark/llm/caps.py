@@ -4,45 +4,62 @@ A code is a random rotation and, for each half of the coordinates, a list of
 random codewords. Its filter directions are all pairs of codewords, so s
 codewords a half give s * s directions, but a vector's inner products with all
 of them are sums of two short tables. A vector is in the filter of every
-direction that it exceeds ``THRESHOLD`` with; sorted tables list these without
-visiting the others. Several codes even out how many filters a vector gets: of
-30,000 random pairs of 64 dimensions at cosine 0.98, all shared a filter, 35 on
-average. The number of codewords follows from the share of the sphere that a
-cap covers, so that a vector is in about ``FILTERS`` filters whatever its
-dimensions.
+direction whose cap holds it; the entries of either table that can still reach
+the cap with the other's best are few, and only those are paired.
+
+Caps cover a share of the sphere that falls with the number of vectors, so
+that unrelated vectors seldom meet in a filter, and the number of codewords
+rises so that a vector is in about ``FILTERS`` filters. Several codes even out
+how many filters a vector gets.
 """
 
 from __future__ import annotations
 
+from math import ceil, log2
+
 import numpy as np
 
 CODES = 16
 FILTERS = 55
-#: In units of 1/sqrt(dimensions): how far out a cap begins ...
-THRESHOLD = 3.4
-#: ... but no farther than this inner product, for vectors of few dimensions.
-FARTHEST = 0.6
+#: Unrelated vectors in a filter on average, unless the share ends first.
+CROWD = 0.25
+#: Largest and smallest share of a cap (2 to this power). Below the smallest,
+#: tables of codewords would cost more than meeting by chance.
+SHARES = (-12, -23)
+#: A cap begins at this inner product at the farthest.
+FARTHEST = 0.7
+
+
+def share_for(vectors: int) -> float:
+    """The share of the sphere a cap should cover: a power of two."""
+    return 2.0 ** min(SHARES[0], max(SHARES[1], -ceil(log2(max(1, vectors) / CROWD))))
 
 
-def _share(dimensions: int, least: float, rng: np.random.Generator) -> float:
-    """The share of random directions in a cap, measured."""
-    along = rng.normal(size=1 << 20)
-    length = np.sqrt(along**2 + rng.chisquare(dimensions - 1, 1 << 20)) if dimensions > 1 else np.abs(along)
-    return max(1e-6, float((along >= least * length).mean()))
+def _tail(dimensions: int) -> tuple[np.ndarray, np.ndarray]:
+    """Inner products t in rising order and the shares of the caps from t on."""
+    if dimensions < 2:
+        return np.array([-1.0, 1.0]), np.array([1.0, 0.5])
+    # in the angle, the density is a power of its sine
+    angle = np.linspace(0, np.pi, 200_001)
+    density = np.sin(angle) ** (dimensions - 2)
+    inside = np.cumsum(density)
+    return np.cos(angle)[::-1], (inside / inside[-1])[::-1]
 
 
 class ProductCodes:
-    def __init__(self, dimensions: int, codes: int = CODES, filters: float = FILTERS, threshold: float = THRESHOLD, seed: int = 64):
+    def __init__(self, dimensions: int, share: float = 2.0 ** SHARES[0], codes: int = CODES, filters: float = FILTERS, seed: int = 64):
         rng = np.random.default_rng([seed, dimensions])
-        self.least = min(threshold / np.sqrt(dimensions), FARTHEST)
-        codewords = self.size = max(2, round(np.sqrt(filters / (codes * _share(dimensions, self.least, rng)))))
+        at, shares = _tail(dimensions)
+        self.least = min(FARTHEST, float(at[np.flatnonzero(shares >= share)[-1]]))
+        share = max(share, float(shares[np.searchsorted(at, self.least)]))
+        self.size = max(2, round(np.sqrt(filters / (codes * share))))
         cut = (dimensions + 1) // 2
         self.tables = []
         for _ in range(codes):
             rotation, _ = np.linalg.qr(rng.normal(size=(dimensions, dimensions)))
             halves = []
             for part in (rotation[:, :cut], rotation[:, cut:]):
-                words = rng.normal(size=(codewords, part.shape[1]))
+                words = rng.normal(size=(self.size, part.shape[1]))
                 if words.size:
                     words *= np.sqrt(part.shape[1] / dimensions) / np.linalg.norm(words, axis=1, keepdims=True)
                 halves.append(part @ words.T)
@@ -53,11 +70,10 @@ class ProductCodes:
         found: list[list[np.ndarray]] = [[] for _ in unit]
         for code, (first, second) in enumerate(self.tables):
             left, right = unit @ first, unit @ second
-            # codewords of a half whose best partner reaches the cap
-            order = np.argsort(-right, axis=1)
-            falling = -np.take_along_axis(right, order, axis=1)
-            rows, heads = np.nonzero(left - falling[:, :1] >= self.least)
-            for row, head in zip(rows.tolist(), heads.tolist()):
-                n = np.searchsorted(falling[row], left[row, head] - self.least, side="right")
-                found[row].append((code * self.size + head) * self.size + order[row, :n])
-        return [np.sort(np.concatenate(f)).astype(np.int32) if f else np.empty(0, np.int32) for f in found]
+            heads = left >= self.least - right.max(axis=1, keepdims=True)
+            tails = right >= self.least - left.max(axis=1, keepdims=True)
+            for row in np.flatnonzero(heads.any(axis=1)).tolist():
+                a, b = np.flatnonzero(heads[row]), np.flatnonzero(tails[row])
+                i, j = np.nonzero(left[row, a][:, None] + right[row, b] >= self.least)
+                found[row].append((code * self.size + a[i]) * self.size + b[j])
+        return [np.sort(np.concatenate(f)) if f else np.empty(0, np.int64) for f in found]

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .caps import ProductCodes
+from .caps import ProductCodes, share_for
 from .common import pick, settle
 from .components import components
 
@@ -32,14 +32,14 @@ LIMIT = 0.98
 BLOCK = 1024
 
 _FORESTS = "a binary, b binary, links long"
-_CODES: dict[int, ProductCodes] = {}
+_CODES: dict[tuple[int, float], ProductCodes] = {}
 
 
-def _codes(dimensions: int) -> ProductCodes:
-    """Made once per worker and dimension, from the seed alone."""
-    if dimensions not in _CODES:
-        _CODES[dimensions] = ProductCodes(dimensions)
-    return _CODES[dimensions]
+def _codes(dimensions: int, share: float) -> ProductCodes:
+    """Made once per worker, from the seed alone."""
+    if (dimensions, share) not in _CODES:
+        _CODES[dimensions, share] = ProductCodes(dimensions, share)
+    return _CODES[dimensions, share]
 
 
 def _node():
@@ -56,8 +56,8 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.withColumn("node", _node())
 
 
-def filters(nodes: DataFrame) -> DataFrame:
-    """node, label, dims, vector, filters of every node."""
+def filters(nodes: DataFrame, share: float) -> DataFrame:
+    """node, label, vector, copies, filters of every node."""
 
     def run(batches):
         for batch in batches:
@@ -68,12 +68,12 @@ def filters(nodes: DataFrame) -> DataFrame:
                 for d in set(map(len, values)):
                     at = [i for i, v in enumerate(values) if len(v) == d]
                     x = np.array([values[i] for i in at])
-                    for i, f in zip(at, _codes(d).filters(_unit(x))):
+                    for i, f in zip(at, _codes(d, share).filters(_unit(x))):
                         lists[i] = f
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "label", "vector", "copies")), pa.array(lists, pa.list_(pa.int32()))], ["node", "label", "vector", "copies", "filters"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "label", "vector", "copies")), pa.array(lists, pa.list_(pa.int64()))], ["node", "label", "vector", "copies", "filters"])
 
     kind = dict(nodes.dtypes)["label"]
-    return nodes.select("node", "label", "vector", "copies").mapInArrow(run, f"node binary, label {kind}, vector array<double>, copies long, filters array<int>")
+    return nodes.select("node", "label", "vector", "copies").mapInArrow(run, f"node binary, label {kind}, vector array<double>, copies long, filters array<long>")
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -151,8 +151,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     source = source.withColumn("vector", F.col("vector").cast("array<double>"))
     marked = usable(source)
     copies = marked.groupBy("node").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.max(F.struct("label", "vector")).alias("s"))
-    nodes = settle(filters(copies.select("node", "s.*", "copies")).withColumn("dims", F.size("vector")))
-    names = settle(copies.select("node", "copies", "least"))
+    copies = settle(copies)
+    # vectors meet inside their label only, so the largest label sets the size of the caps
+    largest = copies.groupBy("s.label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    nodes = settle(filters(copies.select("node", "s.*", "copies"), share_for(largest)).withColumn("dims", F.size("vector")))
+    names = copies.select("node", "copies", "least")
 
     met = nodes.select("node", "label", "dims", F.explode("filters").alias("filter"))
     key = ["label", "filter", "dims"]
