@@ -17,6 +17,16 @@ def test_ordinal_equals_one_window(spark):
     assert got.count() == 5000
 
 
+def test_ordinal_of_far_apart_positions(spark):
+    # positions like the hashes that detected entries have; one project holds all
+    df = spark.range(4000).select(F.lit("p").alias("g"), F.shiftrightunsigned(F.xxhash64("id"), 4).alias("k"))
+    want = df.withColumn("ordinal", F.row_number().over(Window.partitionBy("g").orderBy("k")))
+    got = with_ordinal(df, ["g"], [F.col("k")], [block_of("k")], levels=2)
+    assert got.exceptAll(want).count() == 0 and got.count() == 4000
+    nulls = df.withColumn("g", F.lit(None).cast("string"))
+    assert with_ordinal(nulls, ["g"], [F.col("k")], [block_of("k")], total="n", levels=2).filter("n = 4000").count() == 4000
+
+
 def test_first_per_key_is_a_partial_aggregate(spark):
     df = spark.range(1000).selectExpr("id % 3 AS k", "id AS seq", "id * 2 AS v")
     picked = first_per_key(df, ["k"], ["seq"])

@@ -172,6 +172,7 @@ def rank_mentions(mentions: DataFrame) -> DataFrame:
         [F.col(c) for c in ("by_length", "by_kind", "by_seq", "by_pos")],
         [F.col("by_length"), F.col("by_kind"), block_of("by_seq")],
         out="mention_rank",
+        levels=2,
     ).drop("by_length", "by_kind", "by_seq", "by_pos")
 
 
@@ -318,6 +319,7 @@ def assign_letters(entries: DataFrame, existing: DataFrame | None = None, policy
         [F.col("seq")],
         [block_of("seq")],
         out="_k",
+        levels=2,
     )
     if existing is None:
         numbered = fresh.withColumn("_base", F.lit(0).cast("bigint"))

@@ -38,6 +38,7 @@ def group_other_by_type(entries: DataFrame) -> DataFrame:
         [F.col("seq")],
         [block_of("seq")],
         out="pos_in_type",
+        levels=2,
         total="n_in_type",
     )
 
