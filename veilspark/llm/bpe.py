@@ -157,11 +157,15 @@ class Transducer:
                 node = self.child[key]
             self.token_at[node] = token
         self.find = regex.compile(vocabulary.pattern).findall
+        self.forget()
+
+    def forget(self) -> None:
+        """Start all tables anew."""
         self.pairs = _Pairs(self.compatible)
         self.pieces = _Pieces(self.encode_piece)
-        self._forget()
+        self._forget_states()
 
-    def _forget(self) -> None:
+    def _forget_states(self) -> None:
         self.start = _State(self, ())
         self.states = {(): self.start}
         self.heads: dict[bytes, tuple[_State, list[int]]] = {}
@@ -219,7 +223,7 @@ class Transducer:
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         if len(self.states) > MAX_STATES:
-            self._forget()
+            self._forget_states()
         data, done = piece.encode(), []
         head = data[:HEAD]
         if head not in self.heads:
@@ -318,11 +322,15 @@ def encode(docs: DataFrame, words: Vocabulary, id_col: str = "doc_id", text_col:
 
     def run(batches):
         machine = _transducer(shared)
-        for batch in slices(batches, "text", 1_000_000):
-            lists = [machine.encode(t or "") for t in batch.column("text").to_pylist()]
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
+        try:
+            for batch in slices(batches, "text", 1_000_000):
+                lists = [machine.encode(t or "") for t in batch.column("text").to_pylist()]
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
+        finally:
+            # the worker lives on for other stages
+            machine.forget()
 
     rows = pick(docs, doc_id=id_col, text=text_col)
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, ids array<int>")
