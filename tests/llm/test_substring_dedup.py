@@ -54,3 +54,26 @@ def test_units_join_to_the_text_and_empty_table(docs):
     for text in ["", " ", "\n\n", "...", " a, b; c. d\n", "x " * 1000, ",,," * 50, "w" * 100_000]:
         assert "".join(D.units(text)) == text
     assert D.dedup_spans(docs()).count() == 0
+
+
+def test_cuts_do_not_depend_on_the_lead_in(docs):
+    rng = random.Random(19)
+    words = lambda n: [f"q{rng.randrange(10_000)}" for _ in range(n)]
+    shared = lambda a, b: set(zip(*(x.tolist() for x in D.spans(a)[2:]))) & set(zip(*(x.tolist() for x in D.spans(b)[2:])))
+    for length in range(51, 61):
+        body = words(length)
+        middle = length // 2
+        for passage in (" ".join(body), " ".join(body[:middle]) + ". " + " ".join(body[middle:])):
+            for lead in range(41):
+                assert shared(passage, " ".join(words(lead) + [passage, *words(5)])), (length, lead)
+    body = " ".join(words(60))
+    rows = [(lead, " ".join(words(lead) + [body]), "s") for lead in range(20)]
+    got = {r.doc_id: r.n_removed for r in D.dedup_spans(docs(*rows)).collect()}
+    assert got[0] == 0 and all(got[lead] >= D.RUN for lead in range(1, 20))
+
+
+def test_periodic_text_is_cut_at_a_maximum_length():
+    for period in (["x"], ["x", "y"], ["x", "y", "z"], ["a", "b", "a", "c"]):
+        text = "  " + " ".join(period * 500)
+        parts = list(D.units(text))
+        assert "".join(parts) == text and all(len(p.split()) <= D.MOST for p in parts)

@@ -1,8 +1,11 @@
 """Substring dedup: sliding sentence spans, hashed and joined over all texts.
 
 A text is cut into sentences; a sentence of more than ``LONG`` words is cut
-behind its commas, and what is longer still every ``LONG`` words, so that long
-passages always hold several units. Every run of ``RUN`` consecutive units with
+behind its commas, and what is longer still before words whose hash, with the
+next word's, is the least among ``NEAR`` words on either side. Such a cut
+depends on those words only, so a passage is cut alike behind any lead-in, but
+for its edges. Stretches without such a word (periodic text) are cut every
+``MOST`` words. Every run of ``RUN`` consecutive units with
 at least ``LEAST_WORDS`` words is a span; spans with equal words (white space
 apart) are equal. Of all equal spans, the one with the smallest (id, place)
 is the first; the units that any other one covers are removed.
@@ -32,6 +35,10 @@ from .common import mix, pick, settle, slices, text_or_empty
 RUN = 3
 LEAST_WORDS = 12
 LONG = 16
+#: Words on either side that a cut inside a clause depends on; three units of
+#: NEAR + 1 words, the shortest between two such cuts, have LEAST_WORDS.
+NEAR = 3
+MOST = 60
 
 _SENTENCES = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+")
 _CLAUSES = re.compile(r"[^,;:]*[,;:]+\s*|[^,;:]+")
@@ -40,6 +47,24 @@ _A = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.u
 _B = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
+def _cuts(words: list[str]) -> list[int]:
+    """Where a long clause is cut: places of the words that begin a unit."""
+    own = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    pair = own[:-1] * _A[0] + own[1:] * _A[1]
+    pair ^= pair >> np.uint64(32)
+    n = len(pair) - 2 * NEAR
+    middle = pair[NEAR : NEAR + n]
+    least = np.ones(n, bool)
+    for k in range(1, NEAR + 1):
+        # of equal ones the first
+        least &= (middle < pair[NEAR - k : NEAR - k + n]) & (middle <= pair[NEAR + k : NEAR + k + n])
+    out = [0]
+    for place in [*(np.flatnonzero(least) + NEAR).tolist(), len(words)]:
+        out += range(out[-1] + MOST, place, MOST)
+        out.append(place)
+    return out
+
+
 def units(text: str) -> Iterator[str]:
     """The text's units; joined together they are the text."""
     for sentence in _SENTENCES.findall(text):
@@ -47,9 +72,16 @@ def units(text: str) -> Iterator[str]:
             yield sentence
             continue
         for clause in _CLAUSES.findall(sentence):
-            words = _WORD.findall(clause)
-            for start in range(0, len(words), LONG):
-                yield "".join(words[start : start + LONG])
+            words = clause.split()
+            if len(words) <= LONG:
+                yield clause
+                continue
+            pieces = _WORD.findall(clause)
+            if len(pieces) > len(words):  # leading space
+                pieces[:2] = [pieces[0] + pieces[1]]
+            cuts = _cuts(words)
+            for start, stop in zip(cuts, cuts[1:]):
+                yield "".join(pieces[start:stop])
 
 
 def spans(text: str) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
