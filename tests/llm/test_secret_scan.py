@@ -67,3 +67,21 @@ def test_only_sql_expressions_and_empty_table(docs):
     assert S.scan(docs()).count() == 0
     plan = S.scanned(docs((1, "a", "s")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_random_keys_behind_a_name_are_found(docs):
+    rng = random.Random(17)
+    names = ["AWS_SECRET_ACCESS_KEY=", "signature=", "AccountKey=", "https://host.example/blob?sig=", "a==", "X=\"", "AccountName=some;AccountKey="]
+    keys = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n)) for n in [24, 32, 43, 64] * 14]
+    keys = [k for k in keys if re.search("[0-9]", k) and re.search("[a-z]", k)]
+    rows, places = [], []
+    for i, k in enumerate(keys):
+        name, padding, tail = names[i % len(names)], "=" * (0, 1, 2, 6)[i % 4], (" here", "&x=1", ";EndpointSuffix=core", "\"")[i // 4 % 4]
+        rows.append((i, f"see {name}{k}{padding}{tail}", "s"))
+        places.append((4 + len(name), 4 + len(name) + len(k + padding)))
+    plain = [f"{n}the-{a}-of-2-chapters-and-the-matter" for n in names for a in ("end", "start")] + [f"see AWS_SECRET_ACCESS_KEY_{i}= here" for i in range(9)]
+    rows += [(len(keys) + i, t, "s") for i, t in enumerate(plain)]
+    got = {r.doc_id: [(s.start, s.stop) for s in r.spans if s.kind == "random"] for r in S.scan(docs(*rows)).collect()}
+    hits = [i for i, s in got.items() if s]
+    assert all(i < len(keys) for i in hits) and len(hits) >= 0.9 * len(keys)
+    assert all(got[i] == [places[i]] for i in hits)

@@ -1,8 +1,9 @@
 """Secret scan by fixed patterns and a battery of randomness tests, in SQL
 expressions only.
 
-Candidates are long runs of key characters that mix character classes. The
-encoding is inferred from the characters (decimal, hexadecimal, base 32, base
+Candidates are long runs of key characters that mix character classes, also
+behind a name and ``=``; of ``=`` itself only trailing padding belongs to a run.
+The encoding is inferred from the characters (decimal, hexadecimal, base 32, base
 36, base 62, base 64), which gives an alphabet. Under the hypothesis that the
 symbols are independent and uniform over it, three tests are made:
 chi-squared of the symbol counts, the number of runs above and below the
@@ -31,7 +32,8 @@ ASSIGN_VALUE = 6
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+#: Base 32 pads with up to six characters.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,6}"
 
 FALSE_RATE = 0.05
 #: Bits of a uniform string from which on text would be told apart.
