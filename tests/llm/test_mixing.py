@@ -80,3 +80,18 @@ def test_remix_returns_documents(docs):
     for r in out.collect():
         got[r.doc_id] = got.get(r.doc_id, 0) + 1
     assert got == {i: n for i, n in times.items() if n}
+
+
+def test_long_documents_leave_no_gap_that_others_could_fill(docs):
+    rng = np.random.default_rng(11)
+    sizes = {s: [*rng.integers(20, 60, 400).tolist(), 15_000, 20_000, 25_000] for s in "abcdefghijklmnopqr"}
+    rows = [(1000 * k + i, " ".join(["w"] * n), s) for k, (s, of) in enumerate(sizes.items()) for i, n in enumerate(of)]
+    out = M.mix(docs(*rows)).collect()
+    for s, of in sizes.items():
+        mine = [r for r in out if r.source == s]
+        gap = mine[0].target - sum(r.taken for r in mine)
+        passes = int(mine[0].target // sum(of))
+        left = [r["size"] for r in mine if r.times == passes]
+        assert gap >= 0 and {r.times for r in mine} <= {passes, passes + 1}
+        assert all(size > gap for size in left), (s, gap, min(left))
+        assert all(len(r.shards) == r.times for r in mine)

@@ -3,8 +3,10 @@
 Every source's documents are hashed into blocks of a few documents. A source
 whose target is r times its size passes its blocks floor(r) times whole, and
 once more in part; each pass permutes the blocks anew. The part ends at the
-block where its words reach the target, found by two rounds of bin sums, and a
-last block of single documents, largest first, closes the gap.
+block where its words reach the target, found by two rounds of bin sums. The
+gap is closed by single documents: those that fit are taken along the
+permutation in the same way, the next ones largest first, and again from what
+remains, until no document of the source that was not taken fits the gap.
 
 The number of blocks each source gives is then exact. A binary tree deals
 these quotas to the output shards: a node draws how many blocks of each source
@@ -38,7 +40,7 @@ BLOCK_DOCS = 8
 SHARD_WORDS = 4_000_000
 #: Bins of a source's permuted blocks in each of two rounds.
 BINS = 1024
-#: Blocks behind the boundary whose documents may close the gap.
+#: Blocks behind a boundary whose documents are tried largest first.
 CLOSING = 8
 SEED = 20_240_607
 
@@ -116,6 +118,44 @@ def _boundary(binned: DataFrame, bin_col: str, start: str) -> DataFrame:
     return before.where("before <= part").groupBy("number").agg(F.max(bin_col).alias("edge"), F.max("before").alias("before"))
 
 
+def _edges(rows: DataFrame) -> DataFrame:
+    """number, fine1 (the fine bin in which a source's words pass its part),
+    before2 (the words before it)."""
+    one = settle(_boundary(rows, "bin", "zero").select("number", F.col("edge").alias("bin1"), F.col("before").alias("before1")))
+    inside = rows.join(F.broadcast(one), "number").where("bin = bin1")
+    return settle(_boundary(inside, "fine", "before1").select("number", F.col("edge").alias("fine1"), F.col("before").alias("before2")))
+
+
+def _closing(rows: DataFrame) -> DataFrame:
+    """row of the documents that close the gaps. Every round takes one document
+    of a source at least, and one that it tried and left is above the new gap,
+    so those that fit halve on average."""
+
+    def close(frame: pd.DataFrame) -> pd.DataFrame:
+        gap = float(frame["part"].iloc[0] - frame["before2"].iloc[0])
+        taken = []
+        for row, size in frame.sort_values(["size", "fine", "row"], ascending=[False, True, True])[["row", "size"]].itertuples(index=False):
+            if size <= gap:
+                taken.append(int(row))
+                gap -= size
+        return frame[frame["row"].isin(taken)][["row", "number", "size"]]
+
+    rest = rows.where("part > 0 AND NOT whole AND size > 0").withColumn("part", F.col("part") - F.col("before2"))
+    rest = settle(rest.where("size <= part").select("number", "row", "size", "blocks", "fine", "bin", "zero", "part"))
+    out = rest.select("row").limit(0)
+    while not rest.isEmpty():
+        placed = rest.join(F.broadcast(_edges(rest)), "number")
+        width = F.greatest(F.lit(1.0), F.ceil(F.lit(float(BINS * BINS)) / F.col("blocks"))) * CLOSING
+        near = placed.where((F.col("fine") >= F.col("fine1")) & (F.col("fine") < F.col("fine1") + width))
+        last = near.select("number", "row", "size", "fine", "part", "before2").groupBy("number").applyInPandas(close, "row long, number int, size long")
+        taken = settle(placed.where("fine < fine1").select("row", "number", "size").unionByName(last))
+        out = out.unionByName(taken.select("row"))
+        words = taken.groupBy("number").agg(F.sum("size").alias("words"))
+        rest = rest.join(taken.select("row"), "row", "left_anti").join(F.broadcast(words), "number").withColumn("part", F.col("part") - F.col("words"))
+        rest = settle(rest.where("size <= part").drop("words"))
+    return out
+
+
 def draw(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST_REPEATS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: row, doc_id, number, source, size, source_size,
     target, block, blocks, passes, factors, shifts, whole (its block is in the
@@ -129,24 +169,9 @@ def draw(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST
     # a place among BINS * BINS fine bins of its source
     fine = F.floor(F.col("place") * F.lit(float(BINS * BINS)) / F.col("blocks")).cast("long")
     rows = rows.withColumn("fine", fine).withColumn("bin", F.floor(fine / BINS)).withColumn("zero", F.lit(0).cast("long"))
-    one = settle(_boundary(rows, "bin", "zero").select("number", F.col("edge").alias("bin1"), F.col("before").alias("before1")))
-    inside = rows.join(F.broadcast(one), "number").where("bin = bin1")
-    two = settle(_boundary(inside, "fine", "before1").select("number", F.col("edge").alias("fine1"), F.col("before").alias("before2")))
-    rows = rows.join(F.broadcast(two), "number", "left").withColumn("whole", F.coalesce(F.col("fine") < F.col("fine1"), F.lit(False)))
-
-    width = F.greatest(F.lit(1.0), F.ceil(F.lit(float(BINS * BINS)) / F.col("blocks"))) * CLOSING
-    near = rows.where((F.col("part") > 0) & ~F.col("whole") & (F.col("fine") < F.col("fine1") + width))
-
-    def close(frame: pd.DataFrame) -> pd.DataFrame:
-        gap = float(frame["part"].iloc[0] - frame["before2"].iloc[0])
-        taken = []
-        for row, size in frame.sort_values(["size", "fine", "row"], ascending=[False, True, True])[["row", "size"]].itertuples(index=False):
-            if 0 < size <= gap:
-                taken.append(int(row))
-                gap -= size
-        return frame[frame["row"].isin(taken)][["row"]]
+    rows = rows.join(F.broadcast(_edges(rows)), "number", "left").withColumn("whole", F.coalesce(F.col("fine") < F.col("fine1"), F.lit(False)))
 
-    extra = settle(near.select("number", "row", "size", "fine", "part", "before2").groupBy("number").applyInPandas(close, "row long"))
+    extra = _closing(rows)
     rows = rows.join(extra.withColumn("extra", F.lit(True)), "row", "left").withColumn("extra", F.coalesce("extra", F.lit(False)))
     keep = ["row", "doc_id", "number", "source", "size", "source_size", "target", "block", "blocks", "passes", "factors", "shifts", "whole", "extra", "fine1"]
     return settle(rows.select(*keep))
@@ -199,7 +224,7 @@ def deal(rows: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     spark = rows.sparkSession
     per = quotas(rows).orderBy("number").collect()
     numbers, counts = [r["number"] for r in per], np.array([r["quota"] for r in per], np.int64)
-    words = rows.agg(F.sum(F.col("size") * (F.col("passes") + F.col("whole").cast("int")))).first()[0] or 0
+    words = rows.agg(F.sum(F.col("size") * (F.col("passes") + (F.col("whole") | F.col("extra")).cast("int")))).first()[0] or 0
     depth = max(0, int(np.ceil(np.log2(max(1, words / shard_words)))))
 
     def leaves(batches):
