@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat_format, embedding_dedup, exact_dedup, mixing, near_dedup, quality, secret_scan, substring_dedup, toxicity
+from . import bpe, chat_format, embedding_dedup, exact_dedup, merkle, mixing, near_dedup, quality, secret_scan, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -160,3 +160,58 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.dedup_spans(_table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_sentences", "n_removed", "spans", F.sha2("text", 256).alias("text_sha256"))
+
+
+#: CRC-32 of an ASCII text {0}, bit by bit.
+_CRC32 = """xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split({0}, ''), lambda ch: ascii(ch)::BIGINT),
+    lambda crc, byte: list_reduce([xor(crc, byte)] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)))"""
+
+
+def _leaf_sql(n_chars: str) -> str:
+    fields = ("doc_id", "source", "lang", n_chars, "text")
+    return "sha256(" + " || ".join(f"coalesce(strlen(({f})::VARCHAR)::VARCHAR || ':' || ({f})::VARCHAR, '-')" for f in fields) + ")"
+
+
+@_query(
+    "op11_merkle_manifest",
+    f"""
+    WITH RECURSIVE leaves AS (
+        SELECT doc_id, lang, {_leaf_sql("n_chars")} AS leaf,
+               CASE WHEN {_CRC32.format("doc_id::VARCHAR")} % 7 = 0 AND n_chars IS NOT NULL THEN {_leaf_sql("n_chars + 1")}
+                    ELSE {_leaf_sql("n_chars")} END AS tried
+        FROM documents
+    ), numbered AS (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n
+        FROM leaves
+    ), low AS (
+        SELECT lang, 0 AS level, pos, n, leaf AS h FROM numbered
+        UNION ALL
+        SELECT lang, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY lang, level, pos // 2, n
+    ), subroots AS (
+        SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1
+    ), high AS (
+        SELECT 0 AS level, pos, n, h FROM subroots
+        UNION ALL
+        SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY level, pos // 2, n
+    ), folded AS (
+        SELECT doc_id, lang, leaf, 0 AS level, pos, n, tried AS h, '' AS proof FROM numbered
+        UNION ALL
+        SELECT f.doc_id, f.lang, f.leaf, f.level + 1, f.pos // 2, (f.n + 1) // 2,
+               sha256(CASE WHEN f.pos % 2 = 1 THEN coalesce(s.h, '') || f.h ELSE f.h || coalesce(s.h, '') END), f.proof || coalesce(s.h, '')
+        FROM folded f LEFT JOIN low s ON s.lang IS NOT DISTINCT FROM f.lang AND s.level = f.level AND s.pos = xor(f.pos, 1)
+        WHERE f.n > 1
+    ), tops AS (
+        SELECT f.doc_id, f.leaf, s.h AS subroot, 0 AS level, s.pos, s.n, f.h, f.proof
+        FROM folded f JOIN subroots s ON s.lang IS NOT DISTINCT FROM f.lang WHERE f.n = 1
+        UNION ALL
+        SELECT f.doc_id, f.leaf, f.subroot, f.level + 1, f.pos // 2, (f.n + 1) // 2,
+               sha256(CASE WHEN f.pos % 2 = 1 THEN coalesce(s.h, '') || f.h ELSE f.h || coalesce(s.h, '') END), f.proof || coalesce(s.h, '')
+        FROM tops f LEFT JOIN high s ON s.level = f.level AND s.pos = xor(f.pos, 1)
+        WHERE f.n > 1
+    )
+    SELECT t.doc_id, t.leaf, t.subroot, r.h AS root, sha256(t.proof) AS proof_sha256, t.h AS folded_root, t.h = r.h AS verified
+    FROM tops t, high r WHERE t.n = 1 AND r.n = 1
+    """,
+)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited_documents(_table(spark, sf_dir, "documents"))
