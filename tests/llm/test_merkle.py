@@ -76,7 +76,7 @@ def answers(spark, rows):
 MIXED = [(i * 7 - 50, f"s{i % 3}", ("en", "de", None, "é", "z")[i * i % 5], i % 11 or None, f"text {i} ü" * (i % 4)) for i in range(60)]
 
 
-@pytest.mark.parametrize("height, part", [(12, 1024), (2, 4), (3, 7), (1, 1)])
+@pytest.mark.parametrize("height, part", [(12, 1024), (2, 4)])
 def test_proofs_are_those_of_the_whole_tree(spark, monkeypatch, height, part):
     monkeypatch.setattr(merkle, "HEIGHT", height)
     monkeypatch.setattr(merkle, "PART", part)
@@ -85,7 +85,7 @@ def test_proofs_are_those_of_the_whole_tree(spark, monkeypatch, height, part):
     assert {r[-1] for r in found} == {True, False}
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 5, 8])
+@pytest.mark.parametrize("n", [1, 5])
 def test_small_trees(spark, n):
     rows = [(i, "s", "en", 5, "x") for i in range(n)]
     assert answers(spark, rows) == brute(rows)
