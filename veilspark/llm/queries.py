@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat_format, embedding_dedup, exact_dedup, merkle, mixing, near_dedup, quality, secret_scan, substring_dedup, toxicity
+from . import bpe, chat_format, chat_repair, embedding_dedup, exact_dedup, merkle, mixing, near_dedup, quality, secret_scan, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -215,3 +215,72 @@ def _leaf_sql(n_chars: str) -> str:
 )
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audited_documents(_table(spark, sf_dir, "documents"))
+
+
+_TURN_KEY = "(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))"
+
+
+@_query(
+    "op12_chat_repair",
+    rf"""
+    WITH RECURSIVE given AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC32.format(_TURN_KEY)} % 20 AS fate FROM conversations
+    ), hurt AS (
+        SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role,
+               CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+        FROM given, range(2) AS copies(c) WHERE fate <> 0 AND (c = 0 OR fate = 3)
+    ), numbered AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k,
+               rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS trimmed, left(role, 1) AS initial
+        FROM hurt
+    ), kinds AS (
+        SELECT *, CASE WHEN trimmed = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'd' WHEN right(trimmed, 1) IN ('.', '!', '?') THEN '-' ELSE 't' END AS fault,
+               lag(initial) OVER (PARTITION BY conv_id ORDER BY k) AS before
+        FROM numbered
+    ), facts AS (
+        SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+               count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+               count(*) FILTER (k > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+        FROM kinds GROUP BY conv_id
+    ), steps(p, role, q) AS (
+        VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)
+    ), inserted(p, q, cost, audit) AS (
+        VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 3, 'I'), (0, 3, 6, 'II'), (1, 2, 3, 'I'), (1, 3, 6, 'II'),
+               (2, 3, 3, 'I'), (3, 2, 3, 'I')
+    ), faults(fault, extra) AS (
+        VALUES ('b', NULL), ('d', NULL), ('t', 3), ('-', 0)
+    ), moves AS (
+        SELECT fault, '' AS initial, p, p AS q, 4 AS cost, 'D' AS audit FROM faults, range(4) AS r(p)
+        UNION ALL SELECT fault, role, p, q, extra, 'K' FROM faults, steps WHERE extra IS NOT NULL
+        UNION ALL SELECT fault, '', p, q, extra + 3, 'R' FROM faults, steps WHERE extra IS NOT NULL AND role <> 's'
+    ), best AS (
+        SELECT conv_id, 0::BIGINT AS k, 0 AS state, repeat('0', 12) AS value FROM facts
+        UNION ALL
+        SELECT b.conv_id, b.k + 1, m.q, min(lpad((left(b.value, 12)::BIGINT + i.cost + m.cost)::VARCHAR, 12, '0') || substr(b.value, 13) || i.audit || m.audit)
+        FROM best b JOIN kinds r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.k = b.k + 1
+        JOIN inserted i ON i.p = b.state JOIN moves m ON m.p = i.q AND m.fault = r.fault AND m.initial IN ('', r.initial)
+        GROUP BY b.conv_id, b.k, m.q
+    ), done AS (
+        SELECT f.conv_id, min(lpad((left(b.value, 12)::BIGINT + i.cost)::VARCHAR, 12, '0') || substr(b.value, 13) || i.audit) AS value
+        FROM facts f JOIN best b ON b.conv_id IS NOT DISTINCT FROM f.conv_id AND b.k = f.n JOIN inserted i ON i.p = b.state AND i.q IN (0, 3)
+        GROUP BY f.conv_id
+    ), audits AS (
+        SELECT conv_id, left(value, 12)::BIGINT AS cost, substr(value, 13) AS audit FROM done
+    ), edits AS (
+        SELECT conv_id, i, audit[i] AS edit, length(replace(left(audit, i - 1), 'I', '')) + 1 AS k,
+               length(replace(left(audit, i - 1), 'D', '')) - length(replace(audit, 'D', '')) % 2 AS place
+        FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1))::INT AS i FROM audits)
+    ), repaired AS (
+        SELECT e.conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN r.role WHEN place % 2 = 0 THEN 'user' ELSE 'assistant' END
+                                            || ':' || CASE WHEN edit = 'I' THEN '' ELSE r.text END, chr(10) ORDER BY i)) AS repaired_sha256
+        FROM edits e LEFT JOIN kinds r ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.k = e.k WHERE edit <> 'D' GROUP BY e.conv_id
+    )
+    SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+           coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+           coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+    LEFT JOIN audits a ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM c.conv_id
+    """,
+)
+def op12_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repaired_conversations(_table(spark, sf_dir, "conversations"))
