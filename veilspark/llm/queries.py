@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat_format, chat_repair, embedding_dedup, exact_dedup, merkle, mixing, near_dedup, quality, secret_scan, substring_dedup, toxicity
+from . import bpe, chat_format, chat_repair, embedding_dedup, exact_dedup, hilbert_search, merkle, mixing, near_dedup, quality, secret_scan, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -284,3 +284,22 @@ _TURN_KEY = "(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR,
 )
 def op12_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_repair.repaired_conversations(_table(spark, sf_dir, "conversations"))
+
+
+@_query(
+    "op13_hilbert_search",
+    """
+    WITH good AS (
+        SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+        WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda e: e IS NOT NULL AND isfinite(e)))
+          AND list_bool_or(list_transform(embedding, lambda e: e <> 0))
+    ), scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id, list_reduce([0::DOUBLE] || list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i]), lambda a, b: a + b) AS score
+        FROM good q JOIN good c ON q.vec_id % 20 = 0 AND c.vec_id IS DISTINCT FROM q.vec_id AND len(c.x) = len(q.x)
+    )
+    SELECT query_id, (row_number() OVER w)::INT AS rank, vec_id, score
+    FROM scored WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 20
+    """,
+)
+def op13_hilbert_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_search.nearest(_table(spark, sf_dir, "embeddings"))
