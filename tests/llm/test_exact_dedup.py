@@ -75,3 +75,32 @@ def test_deletion_and_new_keepers(docs, rows_of):
     assert [(r.keep_id, r.live) for r in index.keys.collect()] == [(1, 2)]
     live = rows.where("doc_id = 2").unionByName(X.digests(docs((4, "a", "s"))))
     assert [(r.keep_id, r.live) for r in index.rename_keepers(live).keys.collect()] == [(2, 2)]
+
+
+BIG = 2**60
+
+
+def test_large_ids_beside_null_ids_and_three_updates(docs, rows_of):
+    rows = [(BIG + k, f"t{k % 40}", "s") for k in range(110)] + [(None, "t1", "s"), (None, "new", "s")]
+    assert rows_of(X.exact_dedup(docs(*rows)).select("doc_id", "keep_id", "group_size", "kept")) == brute(rows)
+    assert X.drop_copies(docs(*rows)).count() == 40 + 1
+    source = X.digests(docs(*rows))
+    index = X.empty_index(source.sparkSession, len(rows))
+    for third in range(3):
+        index = index.update(inserts=source.where(f"pmod(hash(doc_id, digest), 3) = {third}"))
+    assert rows_of(index.decide(source).select("doc_id", "keep_id", "group_size", "kept")) == brute(rows)
+    index = index.update(deletes=source.where(f"doc_id >= {BIG + 40}"))
+    kept = {(r.keep_id, r.live) for r in index.keys.collect()}
+    assert {(BIG + k, 1) for k in range(2, 40)} < kept and len(kept) == 41
+
+
+def test_text_ids(spark, rows_of):
+    rows = [("b", "x"), ("a", "x"), ("c", "y"), (None, "y"), ("d ü", "z")]
+    got = X.exact_dedup(spark.createDataFrame(rows, "doc_id string, text string")).select("doc_id", "keep_id", "kept")
+    assert rows_of(got) == sorted([("b", "a", False), ("a", "a", True), ("c", "c", True), (None, "c", False), ("d ü", "d ü", True)], key=repr)
+
+
+def test_clashing_names(spark):
+    rows = [(1, "x", "g", "h", 0), (2, "x", "g", "h", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone_id string, gone_digest string, shard int")
+    assert [r.doc_id for r in X.drop_copies(docs).collect()] == [1]

@@ -33,6 +33,14 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(F.col(source).alias(name) for name, source in columns.items()))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -100,4 +108,4 @@ def distribute(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-__all__ = ["SPACE", "distribute", "mix", "pick", "settle", "slices", "text_or_empty", "word_hashes"]
+__all__ = ["SPACE", "distribute", "mix", "pick", "settle", "slices", "text_or_empty", "unused", "word_hashes"]

@@ -10,19 +10,21 @@ filter that overflows is doubled and refilled from the shard's stored keys.
 
 Defined results: a null text counts as empty; rows with a null id take part,
 sort last as keepers and never replace an id; rows repeating the keeper's id
-share its decision; an empty table gives an empty index. Input columns other
-than the id and the text are never read.
+share its decision; ids are of any type that has an order; an empty table
+gives an empty index. Input columns other than the id and the text are never
+read.
 """
 
 from __future__ import annotations
 
 from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import SPACE, pick, settle, text_or_empty
+from .common import SPACE, distribute, pick, settle, text_or_empty, unused
 
 SLOTS = 4
 KICKS = 500
@@ -124,32 +126,48 @@ class Shard:
             self.filter.delete(digest)
 
 
-_STATE = "shard long, kind string, digest binary, keep_id long, live long, buckets long, cells binary"
-
-
-def _apply(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """One shard: its stored keys and filter, then the batch (deletions first)."""
-    kinds = {k: g for k, g in rows.groupby("kind", sort=False)}
-    keys, cuckoo = {}, None
-    ids = lambda g: [None if pd.isna(x) else int(x) for x in g["keep_id"]]
-    if "key" in kinds:
-        g = kinds["key"]
-        keys = {bytes(d): [i, int(n)] for d, i, n in zip(g["digest"], ids(g), g["live"])}
-    if "filter" in kinds:
-        row = kinds["filter"].iloc[0]
-        cuckoo = CuckooFilter(int(row["buckets"]), bytes(row["cells"]))
-    shard = Shard(keys, cuckoo)
-    if "delete" in kinds:
-        for d, n in zip(kinds["delete"]["digest"], kinds["delete"]["live"]):
-            shard.delete(bytes(d), int(n))
-    if "insert" in kinds:
-        g = kinds["insert"]
-        for d, i, n in zip(g["digest"], ids(g), g["live"]):
-            shard.insert(bytes(d), i, int(n))
-    out = [(int(key[0]), "key", d, i, n, None, None) for d, (i, n) in shard.keys.items()]
-    out.append((int(key[0]), "filter", None, None, None, shard.filter.buckets, shard.filter.cells.tobytes()))
-    frame = pd.DataFrame(out, columns=["shard", "kind", "digest", "keep_id", "live", "buckets", "cells"])
-    return frame.astype({"keep_id": "Int64", "live": "Int64", "buckets": "Int64"})
+#: Rows of a shard in the order in which they are taken.
+_KINDS = ("filter", "key", "delete", "insert")
+_COLUMNS = ["shard", "kind", "digest", "keep_id", "live", "buckets", "cells"]
+
+
+def _state(id_type: str) -> str:
+    return f"shard long, kind int, digest binary, keep_id {id_type}, live long, buckets long, cells binary"
+
+
+def _applied(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shard by shard of sorted rows: the stored filter and keys, then the
+    batch, deletions first. Ids are never numbers of another type on the way."""
+    number, shard, held, stored = None, None, [], None
+    for batch in batches:
+        id_type, done = batch.column("keep_id").type, []
+        for row in zip(*(batch.column(c).to_pylist() for c in _COLUMNS)):
+            if row[0] != number:
+                if number is not None:
+                    done.append((number, shard or Shard(dict(held), stored)))
+                number, shard, held, stored = row[0], None, [], None
+            kind, (digest, doc_id, live, buckets, cells) = _KINDS[row[1]], row[2:]
+            if kind == "filter":
+                stored = CuckooFilter(buckets, cells)
+            elif kind == "key":
+                held.append((digest, [doc_id, live]))
+            else:
+                shard = shard or Shard(dict(held), stored)
+                if kind == "delete":
+                    shard.delete(digest, live)
+                else:
+                    shard.insert(digest, doc_id, live)
+        for ready in done:
+            yield _rows_of(*ready, id_type)
+    if number is not None:
+        yield _rows_of(number, shard or Shard(dict(held), stored), id_type)
+
+
+def _rows_of(number: int, shard: Shard, id_type: pa.DataType) -> pa.RecordBatch:
+    rows = [(number, _KINDS.index("filter"), None, None, None, shard.filter.buckets, shard.filter.cells.tobytes())]
+    rows += [(number, _KINDS.index("key"), d, i, live, None, None) for d, (i, live) in shard.keys.items()]
+    kinds = [pa.int64(), pa.int32(), pa.binary(), id_type, pa.int64(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], _COLUMNS)
 
 
 @dataclass(frozen=True)
@@ -162,7 +180,7 @@ class ExactIndex:
     @property
     def keys(self) -> DataFrame:
         """digest, keep_id, live: one row per live digest."""
-        return self.state.where("kind = 'key'").select("digest", "keep_id", "live")
+        return self.state.where(F.col("kind") == _KINDS.index("key")).select("digest", "keep_id", "live")
 
     def update(self, inserts: DataFrame | None = None, deletes: DataFrame | None = None) -> ExactIndex:
         """A new index with the rows (doc_id, digest) of ``deletes`` taken out
@@ -176,19 +194,20 @@ class ExactIndex:
                 batch = rows.groupBy("digest", salt.alias("salt")).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("live"))
                 parts.append(
                     batch.select(
-                        F.pmod(F.xxhash64("digest"), F.lit(self.shards)).alias("shard"), F.lit(kind).alias("kind"), "digest", "keep_id", "live",
+                        F.pmod(F.xxhash64("digest"), F.lit(self.shards)).alias("shard"), F.lit(_KINDS.index(kind)).alias("kind"), "digest", "keep_id", "live",
                         F.lit(None).cast("long").alias("buckets"), F.lit(None).cast("binary").alias("cells"),
                     )
                 )
         rows = parts[0]
         for part in parts[1:]:
             rows = rows.unionByName(part)
-        return replace(self, state=settle(rows.groupBy("shard").applyInPandas(_apply, _STATE)))
+        dealt = distribute(rows, "shard").sortWithinPartitions("shard", "kind").select(_COLUMNS)
+        return replace(self, state=settle(dealt.mapInArrow(_applied, _state(dict(self.state.dtypes)["keep_id"]))))
 
     def rename_keepers(self, live: DataFrame) -> ExactIndex:
         """Keepers recomputed from the live rows (doc_id, digest)."""
         least = live.groupBy("digest").agg(F.min("doc_id").alias("least"))
-        state = self.state.join(least, "digest", "left").withColumn("keep_id", F.when(F.col("kind") == "key", F.col("least")))
+        state = self.state.join(least, "digest", "left").withColumn("keep_id", F.when(F.col("kind") == _KINDS.index("key"), F.col("least")))
         return replace(self, state=settle(state.select(*self.state.columns)))
 
     def decide(self, rows: DataFrame) -> DataFrame:
@@ -210,21 +229,23 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.select("doc_id", F.unhex(F.sha2(F.regexp_replace(text_or_empty(), SPACE, " "), 256)).alias("digest"))
 
 
-def empty_index(spark: SparkSession, expected_rows: int) -> ExactIndex:
-    return ExactIndex(spark.createDataFrame([], _STATE), max(1, -(-expected_rows // SHARD_ROWS)))
+def empty_index(spark: SparkSession, expected_rows: int, id_type: str = "bigint") -> ExactIndex:
+    return ExactIndex(spark.createDataFrame([], _state(id_type)), max(1, -(-expected_rows // SHARD_ROWS)))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, digest, keep_id, group_size, kept. Of
     equal texts the row with the smallest id stays."""
     rows = settle(digests(docs, id_col, text_col))
-    return empty_index(docs.sparkSession, rows.count()).update(inserts=rows).decide(rows)
+    index = empty_index(docs.sparkSession, rows.count(), dict(rows.dtypes)["doc_id"])
+    return index.update(inserts=rows).decide(rows)
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows and columns without exact copies."""
     verdict = exact_dedup(docs, id_col, text_col)
-    gone = settle(verdict.where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("digest").alias("_gone_digest")))
+    id_, digest_ = unused(docs, "gone_id"), unused(docs, "gone_digest")
+    gone = settle(verdict.where(~F.col("kept")).select(F.col("doc_id").alias(id_), F.col("digest").alias(digest_)))
     digest = F.unhex(F.sha2(F.regexp_replace(text_or_empty(text_col), SPACE, " "), 256))
-    same = F.col(id_col).eqNullSafe(F.col("_gone_id")) & (digest == F.col("_gone_digest"))
+    same = F.col(id_col).eqNullSafe(F.col(id_)) & (digest == F.col(digest_))
     return docs.join(gone, same, "left_anti")
