@@ -65,6 +65,34 @@ def test_round_trip_in_spark(docs, words, library):
     assert sorted((r.doc_id or 0, r.text, list(r.ids)) for r in got) == sorted((i or 0, t or "", library.encode_ordinary(t or "")) for i, t, _ in rows)
 
 
+def test_one_pass_there_and_back(docs, words, library):
+    rows = [(1, "Hello wörld", "s"), (2, None, "s"), (None, "日本" * 5000, None), (3, "a\u0000b", "s")]
+    got = bpe.round_trip(docs(*rows), words).collect()
+    assert sorted((r.doc_id or 0, r.text, list(r.ids)) for r in got) == sorted((i or 0, t or "", library.encode_ordinary(t or "")) for i, t, _ in rows)
+
+
+def small(*merged):
+    tokens = [bytes([i]) for i in range(256)] + list(merged)
+    split = [(-1, -1)] * 256 + [(m[0], m[1]) for m in merged]
+    return bpe.Vocabulary(tuple(tokens), tuple(a for a, _ in split), tuple(b for _, b in split), P.PATTERN)
+
+
+def test_a_worker_never_encodes_with_another_vocabulary():
+    for n in range(40):
+        pair = bytes((97 + n % 2, 98))
+        words = small(pair)
+        assert bpe._transducer(words).encode("abbb").tolist() == ([256, 98, 98] if n % 2 == 0 else [97, 256, 98])
+        del words
+    bpe._drop_machine()
+    assert not bpe._MACHINE
+
+
+def test_long_pieces_are_not_remembered(words):
+    machine = bpe.Transducer(words)
+    machine.encode("日本" * 200)
+    assert all(len(p) <= bpe.LONG_PIECE for p in machine.pieces)
+
+
 def test_empty_table(docs, words):
     assert bpe.decode(bpe.encode(docs(), words), words).count() == 0
 

@@ -24,8 +24,9 @@ grow along every merge; ``Vocabulary`` refuses others.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
@@ -33,13 +34,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import pick, slices
+from .common import pick, release, slices
 
 #: Bounds of the tables in a worker's memory; a full one is started anew.
 MAX_STATES = 100_000
 MAX_PAIRS = 250_000
 MAX_PIECES = 120_000
 MAX_HEADS = 50_000
+#: Longer pieces are encoded anew each time they occur.
+LONG_PIECE = 64
 #: Bytes of a piece's head, after which the transducer's state is remembered.
 HEAD = 7
 #: Tokens a piece may hold back before the transducer looks for agreement.
@@ -67,12 +70,19 @@ def _split_of(token: bytes, ranks: dict[bytes, int]) -> tuple[int, int]:
 class Vocabulary:
     """Token bytes by id, each longer token's last merge (-1, -1 for bytes),
     and the pattern that cuts texts into pieces. Fixed size, so it may travel
-    with the tasks."""
+    with the tasks. ``name`` is a digest of it all."""
 
     tokens: tuple[bytes, ...]
     lefts: tuple[int, ...]
     rights: tuple[int, ...]
     pattern: str
+    name: str = field(init=False)
+
+    def __post_init__(self) -> None:
+        digest = hashlib.sha256(self.pattern.encode())
+        for token in self.tokens:
+            digest.update(len(token).to_bytes(4, "big") + token)
+        object.__setattr__(self, "name", digest.hexdigest())
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Vocabulary:
@@ -96,6 +106,8 @@ class _Pieces(dict):
         ids = self.old.get(piece)
         if ids is None:
             ids = self.make(piece)
+        if len(piece) > LONG_PIECE:
+            return ids
         if len(self) >= MAX_PIECES:
             self.old = dict(self)
             self.clear()
@@ -290,15 +302,20 @@ def decode_stream(ids: Iterable[int], tokens: tuple[bytes, ...], chunk: int = 65
     yield machine.finish()
 
 
-_MACHINES: dict[int, Transducer] = {}
+_MACHINE: list[tuple[str, Transducer]] = []
+
+
+def _transducer(vocabulary: Vocabulary) -> Transducer:
+    """One per worker process, made anew for another vocabulary."""
+    if not _MACHINE or _MACHINE[0][0] != vocabulary.name:
+        _MACHINE[:] = [(vocabulary.name, Transducer(vocabulary))]
+    return _MACHINE[0][1]
 
 
-def _transducer(shipped) -> Transducer:
-    """One per worker process and vocabulary."""
-    vocabulary = shipped.value
-    if id(vocabulary) not in _MACHINES:
-        _MACHINES[id(vocabulary)] = Transducer(vocabulary)
-    return _MACHINES[id(vocabulary)]
+def _drop_machine() -> None:
+    """The worker lives on for other stages."""
+    _MACHINE.clear()
+    release()
 
 
 _LOADED: dict[tuple[str, str], Vocabulary] = {}
@@ -311,29 +328,53 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return _LOADED[path, pattern]
 
 
+_SHARED: dict[tuple[str, str], object] = {}
+
+
 def _share(spark: SparkSession, words: Vocabulary):
-    return spark.sparkContext.broadcast(words)
+    """Sent to the executors once per application."""
+    key = spark.sparkContext.applicationId, words.name
+    if key not in _SHARED:
+        _SHARED[key] = spark.sparkContext.broadcast(words)
+    return _SHARED[key]
+
+
+def _listed(lists: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))
 
 
 def encode(docs: DataFrame, words: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids array<int>: the BPE ids of each whole text, each pattern
     match encoded separately, no special tokens."""
+    return _encoded(docs, words, id_col, text_col, False)
+
+
+def round_trip(docs: DataFrame, words: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids, text: the ids as ``encode`` gives them and the text decoded
+    from them as ``decode`` does, in one pass over the texts."""
+    return _encoded(docs, words, id_col, text_col, True)
+
+
+def _encoded(docs: DataFrame, words: Vocabulary, id_col: str, text_col: str, decoded: bool) -> DataFrame:
     shared = _share(docs.sparkSession, words)
 
     def run(batches):
-        machine = _transducer(shared)
+        vocabulary = shared.value
+        machine = _transducer(vocabulary)
         try:
             for batch in slices(batches, "text", 1_000_000):
                 lists = [machine.encode(t or "") for t in batch.column("text").to_pylist()]
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
+                columns = {"doc_id": batch.column("doc_id"), "ids": _listed(lists)}
+                if decoded:
+                    columns["text"] = pa.array(["".join(decode_stream(ids, vocabulary.tokens)) for ids in lists], pa.string())
+                yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
         finally:
-            # the worker lives on for other stages
-            machine.forget()
+            del machine
+            _drop_machine()
 
     rows = pick(docs, doc_id=id_col, text=text_col)
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, ids array<int>")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, ids array<int>" + ", text string" * decoded)
 
 
 def decode(encoded: DataFrame, words: Vocabulary) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -103,9 +105,18 @@ def word_hashes(texts: list[str | None], lower: bool = True, letters: bool = Fal
     return hashes, counts, heads
 
 
+def release() -> None:
+    """Called at the end of a task that used much memory: its worker lives on
+    for other stages, and what it no longer needs goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def distribute(df: DataFrame, *keys: str) -> DataFrame:
     """Rows dealt by key over the session's shuffle partitions."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-__all__ = ["SPACE", "distribute", "mix", "pick", "settle", "slices", "text_or_empty", "unused", "word_hashes"]
+__all__ = ["SPACE", "distribute", "mix", "pick", "release", "settle", "slices", "text_or_empty", "unused", "word_hashes"]

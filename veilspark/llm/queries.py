@@ -30,7 +30,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @_query("op4_byte_bpe")
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = bpe.vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    decoded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), words), words)
+    decoded = bpe.round_trip(_table(spark, sf_dir, "documents"), words)
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
