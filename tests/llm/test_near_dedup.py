@@ -58,7 +58,7 @@ def test_equals_brute_force(docs, rows_of):
 def test_large_group_of_unlike_near_copies(docs, rows_of, monkeypatch):
     # more members than a block, most pairs below the limit, several components
     monkeypatch.setattr(N, "BLOCK", 16)
-    monkeypatch.setattr(N, "TASK_NODES", 20)
+    monkeypatch.setattr(N, "TASK_SHINGLES", 2_000)
     rng = random.Random(2)
     base = [rng.choice(VOCABULARY) for _ in range(120)]
     rows = [(i, varied(rng, base, 0.035), "s") for i in range(90)]
@@ -75,7 +75,30 @@ def test_drop_near_copies(docs, rows_of):
     text = " ".join(VOCABULARY[:80])
     kept = N.drop_near_copies(docs((3, text, "s"), (2, text + " more", "s"), (4, "else", "t"), (None, text, "s")))
     assert kept.columns == docs().columns
-    assert sorted(kept.select("doc_id").collect(), key=repr) == [(2,), (4,), (None,)]
+    assert sorted(kept.select("doc_id").collect(), key=repr) == [(2,), (4,)]
+
+
+def test_null_and_repeated_ids_are_decided_row_by_row(docs, rows_of):
+    one, two = " ".join(VOCABULARY[:80]), " ".join(VOCABULARY[40:130])
+    rows = [(None, one, "a"), (None, one, "b"), (None, one + " more", "c"), (None, two, "d"), (5, two + " end", "e"), (5, "else", "f"), (7, "alone", "g"), (7, "alone", "h"), (None, None, "i"), (None, None, "j")]
+    kept = rows_of(N.drop_near_copies(docs(*rows)).select("doc_id", "source"))
+    assert (5, "e") in kept and (5, "f") in kept and {(None, "i"), (None, "j")} < set(kept) and len(kept) == 6
+    assert len({(7, "g"), (7, "h")} & set(kept)) == 1 and len({(None, x) for x in "abc"} & set(kept)) == 1 and (None, "d") not in kept
+
+
+def test_sets_are_sent_once_to_each_task(spark, docs):
+    text = " ".join(VOCABULARY[:80])
+    rows = [(None, f"{text} {i % 50}", "s") for i in range(200)]
+    source = docs(*rows).select("doc_id", "text")
+    nodes = N.sketches(source).groupBy("node").agg(N.F.min("spot").alias("spot"))
+    nodes = N.settle(nodes.withColumn("task", N.F.explode(N.F.array(N.F.lit(1), N.F.crc32("node") % 3 + 2))))
+    sent = N._task_sets(source.coalesce(1), nodes.select("node", "task"), nodes.select("node", "spot").distinct())
+    assert sent.count() == nodes.count() == 100
+
+
+def test_names_may_clash(spark):
+    docs = spark.createDataFrame([(1, "a b c", 1, 2, 3), (2, "a b c", 1, 2, 3)], "doc_id long, text string, spot int, best int, component int")
+    assert [r.doc_id for r in N.drop_near_copies(docs).collect()] == [1]
 
 
 def test_registers_merge_and_estimate():

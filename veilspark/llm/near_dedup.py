@@ -13,7 +13,14 @@
    where no link has been found yet; none is dropped.
 
 A pair at the limit shares no band with probability (1 - J**ROWS)**BANDS, below
-3e-7 at J = 0.75; the estimate's margin is five standard errors or more.
+3e-7 at J = 0.75 if registers were independent; the estimate spreads by 0.034
+there (measured), so its margin of 0.2 is about six standard errors.
+
+Rows are named by a digest of id and text, so that null or repeated ids are
+told apart: a row's set is sent once to each task that wants it, and rows are
+dropped one by one. A bucket whose members hardly link (pages that share a
+template) is compared pair by pair, exactly, in blocks: its time grows with the
+square of its members.
 
 Defined results: a null, empty or blank text has an empty set, links with
 nothing, and is its own component. A row with a null id belongs to its set's
@@ -27,32 +34,40 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import setsketch as S
-from .common import pick, settle, slices
+from .common import distribute, pick, release, settle, slices, unused
 from .components import components
 
 PERCENT = 75
 #: Estimated similarities this far below the limit are not verified.
-MARGIN = 0.14
+MARGIN = 0.2
 #: Members of a bucket compared in one piece.
 BLOCK = 1024
-#: Nodes whose sets one task holds, about.
-TASK_NODES = 2_000
-#: Rows (ids or task numbers, about 50 bytes each) sent to every executor to pick texts; more are joined by shuffle.
-SMALL_IDS = 1_000_000
+#: Shingles (8 bytes each) of the sets that one task holds, about.
+TASK_SHINGLES = 1_000_000
+#: Row digests (16 bytes each, with task numbers about 50) sent to every executor to pick texts; more are joined by shuffle.
+SMALL_IDS = 500_000
+
+_SKETCH = "spot binary, node binary, n_shingles long, registers binary, bands array<long>"
+
 
-_SKETCH = "node binary, n_shingles long, registers binary, bands array<long>"
+def spot_of(doc_id: Column, text: Column) -> Column:
+    """Digest of a row's id and text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit(":"), F.coalesce(text, F.lit("")))))
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, node (digest of the shingle set), n_shingles, registers, bands;
-    the last three are null or 0 for an empty set."""
+    """doc_id, spot (digest of id and text), node (digest of the shingle set),
+    n_shingles, registers, bands; the last three are null or 0 for an empty set."""
 
     def run(batches):
+        yield from sketched(batches)
+        release()
+
+    def sketched(batches):
         for batch in slices(batches, "text"):
             sets = S.shingle_sets(batch.column("text").to_pylist())
             full = [i for i, s in enumerate(sets) if len(s)]
@@ -65,15 +80,16 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("spot"),
                     pa.array([S.digest(s) for s in sets], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(rows, pa.binary()),
                     pa.array(keys, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "node", "n_shingles", "registers", "bands"],
+                ["doc_id", "spot", "node", "n_shingles", "registers", "bands"],
             )
 
-    rows = pick(docs, doc_id=id_col, text=text_col)
+    rows = pick(docs, doc_id=id_col, text=text_col).withColumn("spot", spot_of(F.col("doc_id"), F.col("text")))
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, {_SKETCH}")
 
 
@@ -82,15 +98,20 @@ def _task_sets(docs: DataFrame, nodes: DataFrame, where: DataFrame) -> DataFrame
     each node is read again and its set sent to the tasks that want it."""
 
     def run(batches):
+        seen = set()
         for batch in slices(batches, "text"):
-            sets = S.shingle_sets(batch.column("text").to_pylist())
+            # rows that repeat id and text would bring a set again
+            first = [i for i, x in enumerate(batch.column("spot").to_pylist()) if not (x in seen or seen.add(x))]
+            batch = batch.take(pa.array(first, pa.int64()))
+            sets = S.shingle_sets(batch.column("text").to_pylist()) if first else []
             columns = [batch.column("tasks"), pa.array([S.digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["tasks", "node", "members"])
+        release()
 
-    wanted = settle(nodes.join(where, "node").groupBy(F.col("doc_id").alias("wanted_id")).agg(F.collect_set("task").alias("tasks")))
+    wanted = settle(nodes.join(where, "node").groupBy("spot").agg(F.collect_set("task").alias("tasks")))
     if nodes.count() <= SMALL_IDS:
         wanted = F.broadcast(wanted)
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["wanted_id"])).select("text", "tasks")
+    texts = docs.withColumn("spot", spot_of(F.col("doc_id"), F.col("text"))).join(wanted, "spot").select("spot", "text", "tasks")
     sets = texts.mapInArrow(run, "tasks array<long>, node binary, members binary")
     return sets.select(F.explode("tasks").alias("task"), "node", "members")
 
@@ -112,19 +133,21 @@ def _promising(regs: tuple, rows: tuple, sizes: tuple, percent: int) -> np.ndarr
     return np.concatenate(out) if out else left
 
 
-def _tasks(firsts: list[bytes], seconds: list[bytes]) -> Iterator[pa.RecordBatch]:
-    """Pairs packed so that a task needs about TASK_NODES sets."""
-    start, nodes = 0, set()
+def _tasks(firsts: list[bytes], seconds: list[bytes], sizes: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Pairs packed so that a task needs sets of about TASK_SHINGLES shingles."""
+    start, nodes, held = 0, set(), 0
     for i in range(len(firsts) + 1):
-        if i == len(firsts) or len(nodes) >= TASK_NODES:
+        if i == len(firsts) or held >= TASK_SHINGLES:
             if i > start:
                 a, b = firsts[start:i], seconds[start:i]
                 task = int.from_bytes(hashlib.blake2b(a[0] + b[0] + a[-1] + b[-1], digest_size=8).digest(), "big", signed=True)
                 yield pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([a], pa.list_(pa.binary())), pa.array([b], pa.list_(pa.binary()))], ["task", "firsts", "seconds"])
-            start, nodes = i, set()
+            start, nodes, held = i, set(), 0
         if i < len(firsts):
-            nodes.add(firsts[i])
-            nodes.add(seconds[i])
+            for node, size in ((firsts[i], sizes[0][i]), (seconds[i], sizes[1][i])):
+                if node not in nodes:
+                    nodes.add(node)
+                    held += int(size)
 
 
 def _links(pairs_of: list[tuple[bytes, list[bytes]]], sets: dict[bytes, np.ndarray], percent: int) -> Iterator[tuple[bytes, bytes]]:
@@ -166,17 +189,29 @@ def _verify(pairs: DataFrame, docs: DataFrame, where: DataFrame, percent: int) -
     rows = _task_sets(docs, nodes, where).select("task", "node", "members", none.cast("array<binary>").alias("firsts"), none.cast("array<binary>").alias("seconds"))
     rows = rows.unionByName(pairs.select("task", none.cast("binary").alias("node"), none.cast("binary").alias("members"), "firsts", "seconds"))
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        held = frame["node"].notna()
-        # rows that repeat an id bring a set twice
-        sets = {bytes(n): np.frombuffer(m, np.uint64) for n, m in zip(frame.loc[held, "node"], frame.loc[held, "members"])}
-        mates: dict[bytes, list[bytes]] = {}
-        for firsts, seconds in zip(frame.loc[~held, "firsts"], frame.loc[~held, "seconds"]):
-            for a, b in zip(firsts, seconds):
-                mates.setdefault(bytes(a), []).append(bytes(b))
-        return pd.DataFrame(_links(list(mates.items()), sets, percent), columns=["a", "b"])
+    def run(batches):
+        task, sets, mates = None, {}, {}
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("task", "node", "members", "firsts", "seconds"))):
+                if row[0] != task:
+                    yield from _batches(_links(list(mates.items()), sets, percent))
+                    task, sets, mates = row[0], {}, {}
+                if row[1] is not None:
+                    sets[row[1]] = np.frombuffer(row[2], np.uint64)
+                else:
+                    for a, b in zip(row[3], row[4]):
+                        mates.setdefault(a, []).append(b)
+        yield from _batches(_links(list(mates.items()), sets, percent))
+        release()
+
+    dealt = distribute(rows, "task").sortWithinPartitions("task", F.col("node").isNull())
+    return settle(dealt.mapInArrow(run, "a binary, b binary"))
+
 
-    return settle(rows.groupBy("task").applyInPandas(run, "a binary, b binary"))
+def _batches(links: Iterator[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    found = list(links)
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], ["a", "b"])
 
 
 def _star_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -193,8 +228,9 @@ def _star_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
                 sizes = tuple(np.asarray(batch.column(c), np.int64) for c in ("n_shingles", "n2"))
                 regs = tuple(_matrix(batch.column(c).to_pylist()) for c in ("registers", "registers2"))
                 place = np.arange(batch.num_rows)
-                near = batch.take(pa.array(_promising(regs, (place, place), sizes, percent)))
-                yield from _tasks(near.column("leader").to_pylist(), near.column("node").to_pylist())
+                fit = _promising(regs, (place, place), sizes, percent)
+                near = batch.take(pa.array(fit))
+                yield from _tasks(near.column("leader").to_pylist(), near.column("node").to_pylist(), (sizes[1][fit], sizes[0][fit]))
 
     return rows.sortWithinPartitions("leader").mapInArrow(run, _PAIRS)
 
@@ -221,7 +257,7 @@ def _rest_pairs(members: DataFrame, nodes: DataFrame, comps: DataFrame, percent:
     order = ["key", "xb", "yb"]
     full = full.repartition(parts, *order).sortWithinPartitions(*order)
 
-    def compare(t: pa.Table) -> tuple[list, list]:
+    def compare(t: pa.Table) -> tuple:
         """All promising pairs of some whole groups."""
         nodes_, comps_ = t.column("node").to_pylist(), t.column("component").to_pylist()
         number: dict = {}
@@ -245,10 +281,11 @@ def _rest_pairs(members: DataFrame, nodes: DataFrame, comps: DataFrame, percent:
                     a.append(np.full(len(mates), y))
                     b.append(mates)
         if not a:
-            return [], []
+            return [], [], (size[:0], size[:0])
         a, b = np.concatenate(a), np.concatenate(b)
         fit = _promising((regs, regs), (a, b), (size[a], size[b]), percent)
-        return [nodes_[i] for i in a[fit]], [nodes_[i] for i in b[fit]]
+        a, b = a[fit], b[fit]
+        return [nodes_[i] for i in a], [nodes_[i] for i in b], (size[a], size[b])
 
     def run(batches):
         def out(table: pa.Table):
@@ -273,19 +310,19 @@ def _rest_pairs(members: DataFrame, nodes: DataFrame, comps: DataFrame, percent:
     return full.select(*order, "node", "component", "first", "n_shingles", "registers").mapInArrow(run, _PAIRS)
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (least id of the
-    component), kept (the row has that id)."""
-    source = pick(docs, doc_id=id_col, text=text_col)
+def _labelled(source: DataFrame, percent: int) -> DataFrame:
+    """doc_id, spot, n_shingles, component (null for an empty set),
+    component_id of every row (doc_id, text)."""
     sketched = settle(sketches(source))
     # what rows of one set have in common is the same in all of them
     common = F.max(F.struct("n_shingles", "registers", "bands")).alias("s")
-    nodes = settle(sketched.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), common).select("node", "doc_id", "s.*"))
+    least = [F.min("doc_id").alias("doc_id"), F.min("spot").alias("spot")]
+    nodes = settle(sketched.where("n_shingles > 0").groupBy("node").agg(*least, common).select("node", "doc_id", "spot", "s.*"))
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     shared = settle(keyed.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader"))
     members = settle(keyed.join(shared, "key"))
 
-    where = nodes.select("node", "doc_id")
+    where = nodes.select("node", "spot")
     star = _verify(settle(_star_pairs(members, nodes, percent)), source, where, percent)
     comps = settle(components(star, "a", "b"))
     rest = _verify(settle(_rest_pairs(members, nodes, comps, percent)), source, where, percent)
@@ -294,16 +331,33 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     member = nodes.select("node", "doc_id").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     member = settle(member)
     named = settle(member.groupBy("component").agg(F.min("doc_id").alias("component_id")))
-    named = settle(member.join(named, "component").select("node", "component_id"))
-    out = sketched.select("doc_id", "node", "n_shingles").join(named, "node", "left")
-    out = out.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = settle(member.join(named, "component").select("node", "component", "component_id"))
+    out = sketched.select("doc_id", "spot", "node", "n_shingles").join(named, "node", "left")
+    alone = F.col("n_shingles") == 0
+    return out.select("doc_id", "spot", "n_shingles", F.when(~alone, F.col("component")).alias("component"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id (least id of the
+    component), kept (the row has that id)."""
+    out = _labelled(pick(docs, doc_id=id_col, text=text_col), percent)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The input's rows and columns without those whose component has a smaller
-    id. Rows are named by id, so rows with a null id all stay."""
-    gone = settle(near_dedup(docs, id_col, text_col, percent).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct())
+    """The input's rows and columns with one row of each component: the one of
+    the smallest id (a null id last, then by the digest of id and text); of
+    rows that repeat its id and text, one. Rows with empty sets all stay."""
+    rows = settle(_labelled(pick(docs, doc_id=id_col, text=text_col), percent).where("component IS NOT NULL").select("doc_id", "spot", "component"))
+    best = rows.groupBy("component").agg(F.min_by("spot", F.struct(F.col("doc_id").isNull(), "doc_id", "spot")).alias("best"), F.count("*").alias("n"))
+    best = settle(best.where("n > 1").select("component", "best"))
+    of = rows.join(best, "component")
+    spot = unused(docs, "spot")
+    gone = settle(of.where("spot <> best").select(F.col("spot").alias(spot)).distinct())
+    again = settle(of.where("spot = best").groupBy(F.col("spot").alias(spot)).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     if gone.count() <= SMALL_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    kept = docs.withColumn(spot, spot_of(F.col(id_col), F.col(text_col))).join(gone, spot, "left_anti")
+    if not again.isEmpty():
+        kept = kept.join(again, spot, "left_anti").unionByName(kept.join(again, spot, "left_semi").dropDuplicates([spot]))
+    return kept.select(*docs.columns)
