@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from veilspark.llm import exact_dedup as X
 
 
@@ -94,6 +96,11 @@ def test_large_ids_beside_null_ids_and_three_updates(docs, rows_of):
     assert {(BIG + k, 1) for k in range(2, 40)} < kept and len(kept) == 41
 
 
+def test_of_rows_that_repeat_one_stays(docs, rows_of):
+    kept = X.drop_copies(docs((1, "a b", "s"), (1, "a  b", "t"), (2, "a b", "s"), (None, "b", "s"), (None, "b", "s"), (3, "c", "s"), (3, "d", "s")))
+    assert rows_of(kept.select("doc_id", F.left("text", F.lit(1)))) == [(1, "a"), (3, "c"), (3, "d"), (None, "b")]
+
+
 def test_text_ids(spark, rows_of):
     rows = [("b", "x"), ("a", "x"), ("c", "y"), (None, "y"), ("d ü", "z")]
     got = X.exact_dedup(spark.createDataFrame(rows, "doc_id string, text string")).select("doc_id", "keep_id", "kept")

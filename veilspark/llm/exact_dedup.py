@@ -242,10 +242,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows and columns without exact copies."""
-    verdict = exact_dedup(docs, id_col, text_col)
-    id_, digest_ = unused(docs, "gone_id"), unused(docs, "gone_digest")
-    gone = settle(verdict.where(~F.col("kept")).select(F.col("doc_id").alias(id_), F.col("digest").alias(digest_)))
-    digest = F.unhex(F.sha2(F.regexp_replace(text_or_empty(text_col), SPACE, " "), 256))
-    same = F.col(id_col).eqNullSafe(F.col(id_)) & (digest == F.col(digest_))
-    return docs.join(gone, same, "left_anti")
+    """The input's rows and columns with one row of each text: the one of the
+    smallest id (a null id only where no row has one); of rows that repeat it,
+    one."""
+    verdict = settle(exact_dedup(docs, id_col, text_col).where("group_size > 1"))
+    id_, digest = unused(docs, "gone_id"), unused(docs, "gone_digest")
+    gone = settle(verdict.where(~F.col("kept")).select(F.col("doc_id").alias(id_), F.col("digest").alias(digest)))
+    again = settle(verdict.where("kept").groupBy(F.col("digest").alias(digest)).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    own = docs.withColumn(unused(docs, "own_digest"), F.unhex(F.sha2(F.regexp_replace(text_or_empty(text_col), SPACE, " "), 256)))
+    name = own.columns[-1]
+    kept = own.join(gone, F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(name) == F.col(digest)), "left_anti")
+    if not again.isEmpty():
+        same = F.col(name) == F.col(digest)
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([name]))
+    return kept.select(*docs.columns)
