@@ -2,8 +2,8 @@
 that its predecessor kept, written as Parquet in between.
 
 Rows keep the columns of documents up to the last stage, which returns the
-encoded mix. Null ids are never removed as copies by stage 3, which names rows
-by id; stage 2 names them by id and content.
+encoded mix. Stages 2 and 3 keep one row of each group, also where ids are null
+or repeat.
 """
 
 from __future__ import annotations
@@ -28,12 +28,12 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the smallest id stays."""
+    """Of equal texts, one row stays, of the smallest id."""
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the row with the smallest id stays."""
+    """Of each group of near copies, one row stays, of the smallest id."""
     return near_dedup.drop_near_copies(docs)
 
 
@@ -45,7 +45,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, text decoded from them."""
     words = bpe.vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    return bpe.decode(bpe.encode(docs, words), words)
+    return bpe.round_trip(docs, words)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
