@@ -218,6 +218,12 @@ def is_special_line(trimmed: Column) -> Column:
     )
 
 
+def becomes_special(trimmed: Column) -> Column:
+    """Heads that are no structural line, but one as soon as text is glued to
+    them behind a blank."""
+    return trimmed.isin("##", "###") | F.concat(trimmed, F.lit(" ")).rlike(BOLD_SECTION) & ~trimmed.rlike(BOLD_SECTION)
+
+
 _INDENT = rf"\A\[INDENT\]({DOT}+)\z"
 _RIGHT = rf"\A\[RIGHT-BLOCK\]({DOT}+)\z"
 _CENTER = rf"\A\[CENTER\]({DOT}+?)\[/CENTER\]\z"

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import ANALYSIS_LIMIT, is_long_text
+from ..plans.session import settle
+from ..sources.versions import VersionedTables
 from .ordinal import block_of, first_per_key, with_ordinal
 
 # ---- fixed values -----------------------------------------------------------
@@ -153,23 +155,64 @@ def build_project_summary(members: DataFrame, docs: DataFrame) -> DataFrame:
     A part row holds its separator and text (``\\n[PART:i]\\n`` from the second
     part on) and the offset at which it starts; the summary text is the parts
     in order. Parts stay rows: a project may hold any number of documents.
+    Offsets are summed over the lengths alone; the texts are joined last.
     """
-    ordered = part_numbers(project_documents(members, docs))
-    body = F.coalesce("text", F.lit(""))
-    part = F.when(F.col("part_no") == 1, body).otherwise(
-        F.concat(F.lit("\n[PART:"), F.col("part_no").cast("string"), F.lit("]\n"), body)
-    )
-    parts = ordered.select("project_id", "part_no", "n_parts", "doc_id", part.alias("part_text"))
-    sized = parts.withColumn("_len", F.length("part_text").cast("bigint")).withColumn("_block", block_of("part_no"))
+    sizes = docs.withColumn("_size", F.length(F.coalesce("text", F.lit(""))).cast("bigint"))
+    kept = [c for c in ("is_summary",) if c in docs.columns]
+    ordered = part_numbers(project_documents(members, sizes.select("doc_id", "_size", *kept)))
+    lead = F.when(F.col("part_no") == 1, "").otherwise(F.concat(F.lit("\n[PART:"), F.col("part_no").cast("string"), F.lit("]\n")))
+    sized = ordered.select("project_id", "part_no", "n_parts", "doc_id", lead.alias("_lead"), (F.length(lead) + F.col("_size")).alias("_len"))
+    sized = sized.withColumn("_block", block_of("part_no"))
     inside = Window.partitionBy("project_id", "_block").orderBy("part_no")
     blocks = sized.groupBy("project_id", "_block").agg(F.sum("_len").alias("_sum"))
     upto = Window.partitionBy("project_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select("project_id", "_block", F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_base"))
-    return (
+    placed = (
         sized.withColumn("_at", F.sum("_len").over(inside) - F.col("_len"))
         .join(starts, ["project_id", "_block"])
-        .select("project_id", "part_no", "n_parts", "doc_id", "part_text", (F.col("_base") + F.col("_at")).alias("char_start"))
+        .select("project_id", "part_no", "n_parts", "doc_id", "_lead", (F.col("_base") + F.col("_at")).alias("char_start"))
     )
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
+    return placed.join(texts, "doc_id").select("project_id", "part_no", "n_parts", "doc_id", F.concat("_lead", "_text").alias("part_text"), "char_start")
+
+
+def project_summaries(
+    members: DataFrame, docs: DataFrame, entries: DataFrame, flags: DataFrame, sources: DataFrame, pages: DataFrame
+) -> dict[str, DataFrame]:
+    """Everything a project's summary holds, as long tables:
+
+    ``parts`` as ``build_project_summary`` gives them; ``registry``, the
+    entries of the project's last document; ``flags`` that are set in any of
+    its documents; ``sources`` and ``pages``, the merged page metadata. Summary
+    documents do not count. ``entries(project_id, doc_id, pd_id, ...)``;
+    ``flags(doc_id, pd_id, flag)``; ``sources(doc_id, source_key, seq, page_from,
+    page_to, total_pages)``; ``pages(doc_id, source_key, seq, page_no)``.
+    """
+    from .pages import merge_page_metadata
+    from .reports import merge_flags
+
+    kept = [c for c in ("is_summary",) if c in docs.columns]
+    # the last document that counts may stand before a summary in the list
+    own = settle(project_documents(members, docs.select("doc_id", *kept)).select("project_id", "pos", "doc_id"))
+    last = last_document(own)
+    of = own.select("project_id", "doc_id")
+    scoped = lambda df: df.join(of, "doc_id").withColumn("scope", F.col("project_id")).drop("project_id", "doc_id")
+    merged, page_rows = merge_page_metadata(scoped(sources), scoped(pages))
+    return {
+        "parts": build_project_summary(members, docs),
+        "registry": entries.join(last, ["project_id", "doc_id"], "left_semi"),
+        "flags": merge_flags(flags.join(of, "doc_id"), "any"),
+        "sources": merged.withColumnRenamed("scope", "project_id"),
+        "pages": page_rows.withColumnRenamed("scope", "project_id"),
+    }
+
+
+def replace_summaries(docs: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Documents with the new summary rows in place of the older summaries of
+    the same projects; projects without a new one keep theirs."""
+    renewed = summaries.select(F.col("project_id").alias("_p")).distinct()
+    old = F.coalesce("is_summary", F.lit(False)) & (F.col("project_id") == F.col("_p"))
+    return docs.join(renewed, old, "left_anti").unionByName(summaries, allowMissingColumns=True)
 
 
 def add_documents(members: DataFrame, additions: DataFrame) -> DataFrame:
@@ -264,6 +307,46 @@ def append_pages(pages: DataFrame, file: tuple[str, ...] = ("project_id", "file_
     return facts, segments
 
 
+def growing_documents(
+    pages: DataFrame, flags: DataFrame, files: DataFrame, sources: DataFrame, file: tuple[str, ...] = ("project_id", "file_key"), segment: int = 1000
+) -> dict[str, DataFrame]:
+    """All that a growing document takes from its pages, as long tables by file:
+    ``facts`` and ``segments`` as ``append_pages`` gives them, ``flags`` (a page
+    overrides those before it), ``files`` (one per path, name or place), and the
+    page metadata as ``sources`` and ``pages``. Ends that no page knows are
+    those of the file's first source.
+
+    ``flags(*file, page_no, pd_id, flag)``; ``files(*file, pos, name,
+    storage_path, ...)``; ``sources(*file, source_key, seq, page_from, page_to,
+    total_pages)``.
+    """
+    from .pages import merge_page_metadata
+    from .reports import merge_flags
+
+    keys = list(file)
+    facts, segments = append_pages(pages, file, segment)
+    scope = F.struct(*keys)
+    merged, page_rows = merge_page_metadata(
+        sources.withColumn("scope", scope).drop(*keys),
+        sources.select(scope.alias("scope"), "source_key", "seq", F.explode(F.sequence("page_from", "page_to")).alias("page_no")),
+    )
+    unpacked = lambda df: df.select(*[F.col(f"scope.{k}").alias(k) for k in keys], *[c for c in df.columns if c != "scope"])
+    merged, page_rows = unpacked(merged), unpacked(page_rows)
+    ends = ("page_from", "page_to", "total_pages")
+    first = merged.groupBy(*keys).agg(F.min_by(F.struct(*ends), "seq").alias("_first"))
+    facts = facts.join(first, keys, "left").withColumns({c: F.coalesce(c, F.col(f"_first.{c}")) for c in ends}).drop("_first")
+    packed = files.select(scope.alias("_scope"), *[c for c in files.columns if c not in keys])
+    named = merge_source_files(packed, "_scope").withColumnRenamed("file_key", "source_name")
+    return {
+        "facts": facts,
+        "segments": segments,
+        "flags": merge_flags(flags.withColumn("seq", F.col("page_no")), "last", keys),
+        "files": named.select(*[F.col(f"_scope.{k}").alias(k) for k in keys], *[c for c in named.columns if c != "_scope"]),
+        "sources": merged,
+        "pages": page_rows,
+    }
+
+
 def merge_document_into_project(
     project_entries: DataFrame, doc_entries: DataFrame
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -279,3 +362,85 @@ def merge_document_into_project(
     lettered = assign_letters(persons, known)
     cols = ["project_id", "pd_id", "mention", "m_seq", "m_pos"]
     return lettered, others, person_rows.select(*cols).unionByName(other_rows.select(*cols))
+
+
+ENTRY_COLUMNS = "project_id string, pd_id string, seq bigint, kind string, category string, pd_type string, value string, role string, letter string, replacement string"
+
+
+def project_tables(spark: SparkSession, path: str, id_type: str = "bigint") -> VersionedTables:
+    """Documents, membership, registry and marks of projects as one set. A
+    document and a project's registry are those of the last commit that has
+    them; membership only grows."""
+    return VersionedTables(
+        spark,
+        path,
+        {
+            "documents": f"project_id string, doc_id {id_type}, text string",
+            "members": f"project_id string, doc_id {id_type}, pos bigint",
+            "registry": ENTRY_COLUMNS,
+            "mentions": "project_id string, pd_id string, mention string, m_seq bigint, m_pos int",
+            "marks": f"project_id string, doc_id {id_type}, unit_no int, start int, end int, hit string, pd_id string",
+        },
+    )
+
+
+_OWNERS = {"documents": "doc_id", "registry": "project_id", "mentions": "project_id", "marks": "doc_id"}
+
+
+def current(tables: VersionedTables, name: str) -> DataFrame:
+    """A table's rows as the last commits left them."""
+    rows = tables.read(name)
+    if name not in _OWNERS:
+        return rows.drop("commit")
+    # the document's row, or the project's registry, says which commit counts last
+    owner = _OWNERS[name]
+    last = tables.read("documents" if owner == "doc_id" else "registry").groupBy(owner).agg(F.max("commit").alias("commit"))
+    return rows.join(last, [owner, "commit"], "left_semi").drop("commit")
+
+
+def entries_with_mentions(entries: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Entries with their lists again; spellings are distinct, so a list is as
+    long as an entry has ways to be written, however often they occur."""
+    own = ["project_id", "pd_id"]
+    listed = mentions.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("m_seq", "m_pos", "mention"))).alias("_m"))
+    return entries.join(listed, own, "left").withColumn("mentions", F.transform("_m", lambda m: m["mention"])).drop("_m")
+
+
+def join_documents(tables: VersionedTables, number: int, docs: DataFrame, doc_entries: DataFrame, marks: DataFrame) -> bool:
+    """Documents join their projects, all at once: the projects' registries take
+    up the documents' entries, entries that a document has no mark of are
+    matched between its marks, the documents are inserted or replaced, listed
+    in their projects, and the registries stored. One commit; done before, it
+    changes nothing.
+
+    ``docs(project_id, doc_id, text)``; ``doc_entries`` are registry rows with
+    ``mentions``; ``marks(project_id, doc_id, unit_no, start, end, hit, pd_id)``
+    by line.
+    """
+    if tables.is_done(number):
+        return False
+    from .matching import match_unmarked, resolve_overlaps
+    from .redaction import second_pass_segments, segment_spans
+    from .registry import explode_registry
+    from ..plans.flows import line_units
+
+    touched = docs.select("project_id").distinct()
+    known = current(tables, "registry").join(touched, "project_id", "left_semi")
+    known = settle(entries_with_mentions(known, current(tables, "mentions")))
+    # the project's own entries come first
+    ends = known.groupBy("project_id").agg(F.max("seq").alias("_end"))
+    fresh = doc_entries.join(ends, "project_id", "left").withColumn("seq", F.col("seq") + F.coalesce(F.col("_end") + 1, F.lit(0))).drop("_end")
+    persons, others, rows = merge_document_into_project(known, fresh.select(*known.columns))
+    merged = settle(persons.unionByName(others).select(*[c.split()[0] for c in ENTRY_COLUMNS.split(", ")]))
+    rows = settle(rows)
+
+    marks = marks.select("project_id", "doc_id", "unit_no", "start", "end", "hit", "pd_id")
+    gaps = settle(second_pass_segments(line_units(docs), marks))
+    mentions = explode_registry(entries_with_mentions(merged, rows), literal_persons=True)
+    found = resolve_overlaps(match_unmarked(gaps, mentions, marks, literal_persons=True), "merge")
+    found = segment_spans(found).select(*marks.columns)
+
+    listed = tables.read("members").drop("commit").join(touched, "project_id", "left_semi")
+    grown = add_documents(listed, docs.select("project_id", "doc_id", F.col("doc_id").alias("a_seq")))
+    new = grown.join(listed.select("project_id", "doc_id"), ["project_id", "doc_id"], "left_anti")
+    return tables.commit(number, documents=docs, members=new, registry=merged, mentions=rows, marks=marks.unionByName(found))

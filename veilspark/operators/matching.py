@@ -42,7 +42,7 @@ BROADCAST_BYTES = 16_000_000
 # Buckets over which the units behind one anchor are spread otherwise.
 SALT = 16
 
-_WORD = r"\p{L}+|\p{Nd}+"
+WORD = r"\p{L}+|\p{Nd}+"
 _KIND = r"\A(\*|[A-Z][0-9]*)"
 _DIGITS = r"\A\p{Nd}"
 _LETTER_RUN = f"[{LETTERS}]+"
@@ -71,10 +71,10 @@ def _person_anchors(mention: Column) -> Column:
 
 def _word_anchors(folded: Column) -> Column:
     """Whole inner pieces and the start of the last piece of a folded value."""
-    pieces = F.regexp_extract_all(folded, F.lit(f"({_WORD})"), F.lit(1))
+    pieces = F.regexp_extract_all(folded, F.lit(f"({WORD})"), F.lit(1))
     n = F.size(pieces)
-    open_start = folded.rlike(rf"\A(?:{_WORD})")
-    open_end = folded.rlike(rf"(?:{_WORD})\z")
+    open_start = folded.rlike(rf"\A(?:{WORD})")
+    open_end = folded.rlike(rf"(?:{WORD})\z")
     first = F.when(open_start, 2).otherwise(1)
     last = F.when(open_end, n - 1).otherwise(n)
     whole = F.when(last >= first, F.slice(pieces, first, last - first + 1)).otherwise(F.array().cast("array<string>"))
@@ -88,7 +88,7 @@ def _word_anchors(folded: Column) -> Column:
 def _run_anchors(folded: Column) -> Column:
     """Character runs of the longest piece: the fallback of a one-piece value.
     Digits (``D``) and letters (``G``) are indexed apart."""
-    pieces = F.regexp_extract_all(folded, F.lit(f"({_WORD})"), F.lit(1))
+    pieces = F.regexp_extract_all(folded, F.lit(f"({WORD})"), F.lit(1))
     longest = F.array_max(F.transform(pieces, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
     n = F.length(longest)
     size = F.lit(None).cast("int")
@@ -193,7 +193,7 @@ def with_unit_anchors(units: DataFrame, chosen: DataFrame, words: int) -> DataFr
     prepared = (
         units.withColumn("_folded", fold_case("text"))
         .withColumn("_used", _used_tags(chosen).scalar())
-        .withColumn("_words", F.array_distinct(F.regexp_extract_all(folded, F.lit(f"({_WORD})"), F.lit(1))))
+        .withColumn("_words", F.array_distinct(F.regexp_extract_all(folded, F.lit(f"({WORD})"), F.lit(1))))
         .withColumn(
             "_runs",
             F.when(
@@ -435,7 +435,8 @@ def match_alternation(units: DataFrame, mentions: DataFrame, strategy: str = "au
         # ahead of every mention at the same position
         F.struct(*[F.lit(-(2**31)).cast(t).alias(n) for n, t in RANK_FIELDS]).alias("rank"),
     )
-    chosen = resolve_overlaps(hits.unionByName(marks), "registry")
+    # written once: the hits are read for their texts and for the answer
+    chosen = settle(resolve_overlaps(hits.unionByName(marks), "registry"))
     trimmed = chosen.select(
         "project_id",
         *UNIT,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import UNCERTAIN_MARK
@@ -60,10 +62,11 @@ def export_gate(docs: DataFrame) -> DataFrame:
     )
 
 
-def merge_flags(flags: DataFrame, how: str = "any") -> DataFrame:
-    """Flags of many documents as one set per project: ``any`` keeps every flag
-    that is true somewhere, ``last`` the value set last (by ``seq``)."""
-    keys = ["project_id", "pd_id"]
+def merge_flags(flags: DataFrame, how: str = "any", scope: Sequence[str] = ("project_id",)) -> DataFrame:
+    """Flags of many documents as one set per project (or other scope): ``any``
+    keeps every flag that is true somewhere, ``last`` the value set last (by
+    ``seq``)."""
+    keys = [*scope, "pd_id"]
     if how == "any":
         merged = flags.groupBy(*keys).agg(F.bool_or("flag").alias("flag"))
         return merged.filter("flag")
@@ -104,6 +107,7 @@ def project_rollup(projects: DataFrame, members: DataFrame) -> DataFrame:
         projects.select("project_id", "updated_at")
         .join(sizes, "project_id", "left")
         .withColumn("n_docs", F.coalesce("n_docs", F.lit(0)))
+        .withColumn("n_projects", projects.agg(F.count("*").alias("n")).scalar())
     )
 
 

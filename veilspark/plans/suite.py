@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-_MODULES = ("suite_text", "suite_registry", "suite_corpus", "suite_redaction", "suite_stream")
+_MODULES = ("suite_text", "suite_registry", "suite_corpus", "suite_redaction", "suite_updates", "suite_stream")
 
 
 def query(name: str, sql: str | None = None):

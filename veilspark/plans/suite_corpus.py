@@ -10,7 +10,7 @@ from ..sources import readers, writers
 from .flows import recognize
 from .session import scratch_dir
 from .suite import query
-from .suite_text import LINES_CTE, docs, lines_of, sql_trim, table
+from .suite_text import LINES_CTE, WS_CHARS, docs, lines_of, sql_trim, table
 
 
 # --- sources and sinks ------------------------------------------------------
@@ -113,6 +113,30 @@ def _(spark, sf):
     return readers.classify_sources(files).select("path", "file_name", "route", "error")
 
 
+#: Files of a folder, each written from a share of the pages.
+FILES = ("scan.pdf", "PHOTO.JPG", "note.docx", "list.txt", "pic.webp", "x.png", "pdf", "old.doc")
+
+
+@query(
+    "s5_list_files",
+    f"""WITH f AS (SELECT page_id % {len(FILES)} AS k, CAST(sum(strlen(html) + 1) AS BIGINT) AS file_size FROM pages GROUP BY ALL)
+    SELECT ([{", ".join(repr(x) for x in FILES)}])[k + 1] AS file_name, file_size, CASE WHEN k IN (0, 1, 4, 5) THEN 'page-batch' WHEN k = 2 THEN 'docx' ELSE 'rejected' END AS route,
+      CASE WHEN k IN (3, 6, 7) THEN 'unsupported file type' END AS error FROM f""",
+)
+def _(spark, sf):
+    folder = scratch_dir(spark, "files")
+    shares = table(spark, sf, "pages").select("html", (F.col("page_id") % len(FILES)).cast("int").alias("k"))
+    shares.repartition(len(FILES), "k").write.partitionBy("k").text(f"{folder}/written")
+    # the writer chooses its files' names; a few files, renamed by the driver
+    paths = spark._jvm.org.apache.hadoop.fs
+    system = paths.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(paths.Path(f"{folder}/given"))
+    for k, name in enumerate(FILES):
+        for found in system.globStatus(paths.Path(f"{folder}/written/k={k}/part-*")) or []:
+            system.rename(found.getPath(), paths.Path(f"{folder}/given/{name}"))
+    return readers.read_source_files(spark, f"{folder}/given").select("file_name", "file_size", "route", "error")
+
+
 @query(
     "s6_unify_sources",
     f"""SELECT 'd' || doc_id AS id, text, lang, 'ocr' AS source FROM documents
@@ -188,6 +212,52 @@ def _(spark, sf):
     return C.build_project_summary(members_of(spark, sf), table(spark, sf, "documents").select("doc_id", "text")).drop("n_parts")
 
 
+@query(
+    "a12_project_summary",
+    """WITH d AS (SELECT source AS project_id, doc_id, text FROM documents WHERE doc_id % 7 > 0),
+    o AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY doc_id) AS part_no FROM d),
+    p AS (SELECT project_id, part_no, doc_id, CASE WHEN part_no = 1 THEN text ELSE chr(10) || '[PART:' || part_no || ']' || chr(10) || text END AS part_text FROM o),
+    l AS (SELECT project_id, max(doc_id) AS doc_id FROM d GROUP BY ALL),
+    s AS (SELECT project_id, 'k' || (doc_id % 3) AS source_key, min(nullif(doc_id % 7, 0)) AS f, max(nullif(doc_id % 9, 0)) AS t, arg_min(nullif(doc_id % 4, 0), doc_id) AS n FROM d GROUP BY ALL),
+    g AS (SELECT DISTINCT project_id, 'k' || (doc_id % 3) AS source_key, unnest(range(1, doc_id % 4 + 1)) AS page_no FROM d)
+    SELECT 'part' AS kind, project_id, CAST(doc_id AS VARCHAR) AS key, part_no AS a,
+      CAST(coalesce(sum(length(part_text)) OVER (PARTITION BY project_id ORDER BY part_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b, CAST(NULL AS BIGINT) AS c, part_text AS text FROM p
+    UNION ALL SELECT 'entry', project_id, 'e' || doc_id || k, NULL, NULL, NULL, NULL FROM l, (VALUES ('a'), ('b')) AS t(k)
+    UNION ALL SELECT DISTINCT 'flag', project_id, 'q' || quality, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR FROM labels JOIN d USING (doc_id) WHERE toxic = 1
+    UNION ALL SELECT 'source', project_id, source_key, f, t, n, NULL FROM s
+    UNION ALL SELECT 'page', project_id, source_key, page_no, row_number() OVER (PARTITION BY project_id, source_key ORDER BY page_no), NULL, NULL FROM g
+    UNION ALL SELECT 'document', source, CAST(doc_id AS VARCHAR), 0, NULL, NULL, NULL FROM documents WHERE doc_id % 7 > 0
+    UNION ALL SELECT 'document', source, CAST(doc_id AS VARCHAR), 1, NULL, NULL, NULL FROM documents WHERE doc_id % 7 = 0 AND source NOT IN (SELECT project_id FROM l)
+    UNION ALL SELECT 'document', project_id, 'summary', 1, NULL, NULL, NULL FROM l""",
+)
+def _(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("source").alias("project_id"), "doc_id", "text", (F.col("doc_id") % 7 == 0).alias("is_summary"))
+    entries = d.select("project_id", "doc_id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("k")).withColumn("pd_id", F.concat(F.lit("e"), "doc_id", "k"))
+    flags = table(spark, sf, "labels").select("doc_id", F.concat(F.lit("q"), "quality").alias("pd_id"), (F.col("toxic") == 1).alias("flag"))
+    key = F.concat(F.lit("k"), F.col("doc_id") % 3).alias("source_key")
+    number = F.col("doc_id")
+    sources = d.select("doc_id", key, number.alias("seq"), (number % 7).alias("page_from"), (number % 9).alias("page_to"), (number % 4).alias("total_pages"))
+    pages = d.filter(number % 4 > 0).select("doc_id", key, number.alias("seq"), F.explode(F.sequence(F.lit(1), (number % 4).cast("int"))).alias("page_no"))
+    made = C.project_summaries(members_of(spark, sf), d, entries, flags, sources, pages)
+    fresh = made["parts"].select("project_id").distinct().select("project_id", F.lit("summary").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(True).alias("is_summary"))
+    kept = C.replace_summaries(d.withColumn("doc_id", F.col("doc_id").cast("string")), fresh)
+    none = F.lit(None)
+
+    def rows(kind, df, key, a=none, b=none, c=none, text=none):
+        long = [x.cast("bigint").alias(n) for n, x in (("a", a), ("b", b), ("c", c))]
+        return df.select(F.lit(kind).alias("kind"), "project_id", key.cast("string").alias("key"), *long, text.cast("string").alias("text"))
+
+    col = F.col
+    return (
+        rows("part", made["parts"], col("doc_id"), col("part_no"), col("char_start"), text=col("part_text"))
+        .unionByName(rows("entry", made["registry"], col("pd_id")))
+        .unionByName(rows("flag", made["flags"], col("pd_id")))
+        .unionByName(rows("source", made["sources"], col("source_key"), col("page_from"), col("page_to"), col("total_pages")))
+        .unionByName(rows("page", made["pages"], col("source_key"), col("page_no"), col("chunk_page_index")))
+        .unionByName(rows("document", kept, col("doc_id"), col("is_summary").cast("int")))
+    )
+
+
 @query(
     "u4_project_membership",
     """WITH m AS (SELECT source AS project_id, doc_id AS pos, doc_id FROM documents),
@@ -305,6 +375,17 @@ def _(spark, sf):
     return C.latest_documents(e, stamp="ts", tie="event_id", per="user_id").select("user_id", "event_id")
 
 
+@query(
+    "t1_latest_after_updates",
+    """SELECT doc_id, stamp AS created_at FROM (SELECT doc_id, (doc_id * 7919) % 1009 AS stamp FROM documents
+      UNION ALL SELECT DISTINCT user_id, CAST(500 AS BIGINT) FROM events WHERE user_id NOT IN (SELECT doc_id FROM documents)) ORDER BY created_at DESC, doc_id DESC LIMIT 50""",
+)
+def _(spark, sf):
+    target = table(spark, sf, "documents").select("doc_id", F.lit(0).cast("bigint").alias("saved_at"), (F.col("doc_id") * 7919 % 1009).alias("created_at"))
+    delta = table(spark, sf, "events").select(F.col("user_id").alias("doc_id"), "event_id")
+    return C.latest_documents(writers.upsert_documents(target, delta, now=F.lit(500).cast("bigint"), seq="event_id"), stamp="created_at").select("doc_id", "created_at")
+
+
 @query("t2_latest_projects", "SELECT c_custkey AS project_id FROM customer ORDER BY c_acctbal DESC, c_custkey DESC LIMIT 30")
 def _(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("project_id"), F.col("c_acctbal").alias("updated_at"))
@@ -313,11 +394,11 @@ def _(spark, sf):
 
 @query(
     "a13_project_rollup",
-    """SELECT 'src' || n_nationkey AS project_id, CAST(coalesce(n, 0) AS BIGINT) AS n_docs FROM nation LEFT JOIN (SELECT source, count(*) AS n FROM documents GROUP BY ALL) ON source = 'src' || n_nationkey""",
+    """SELECT 'src' || n_nationkey AS project_id, CAST(coalesce(n, 0) AS BIGINT) AS n_docs, n_regionkey AS updated_at, count(*) OVER () AS n_projects FROM nation LEFT JOIN (SELECT source, count(*) AS n FROM documents GROUP BY ALL) ON source = 'src' || n_nationkey""",
 )
 def _(spark, sf):
     projects = table(spark, sf, "nation").selectExpr("'src' || n_nationkey AS project_id", "n_regionkey AS updated_at")
-    return reports.project_rollup(projects, members_of(spark, sf)).select("project_id", "n_docs")
+    return reports.project_rollup(projects, members_of(spark, sf)).select("project_id", "n_docs", "updated_at", "n_projects")
 
 
 @query(
@@ -443,6 +524,52 @@ def _(spark, sf):
     return whole.select("file_key", "doc_id", "page_from", "page_to", "total_pages", "segment_no", "text")
 
 
+@query(
+    "m9_growing_document",
+    """WITH s AS (SELECT conv_id, turn // 3 AS segment_no, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations WHERE turn <> 2 GROUP BY ALL),
+    m AS (SELECT conv_id, 's' || (turn % 2) AS k, min(turn) AS seq, min(turn) + 1 AS f, max(turn + 1 + turn % 3) AS t, arg_min(nullif(turn % 5, 0), turn) AS n FROM conversations GROUP BY ALL),
+    first AS (SELECT conv_id, arg_min(n, seq) AS n FROM (SELECT conv_id, seq, coalesce(n, -1) AS n FROM m) GROUP BY ALL),
+    f AS (SELECT conv_id, arg_min('d' || conv_id || '-' || turn, turn) AS doc_id, min(turn) + 1 AS page_from, max(turn) + 1 AS page_to, arg_max(nullif(turn % 4, 0), turn) AS n FROM conversations GROUP BY ALL),
+    g AS (SELECT DISTINCT conv_id, 's' || (turn % 2) AS k, unnest(range(turn + 1, turn + 2 + turn % 3)) AS page_no FROM conversations),
+    z AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'path' || (turn % 4) ELSE '' END AS path, CASE WHEN turn % 3 = 0 THEN 'n' || (turn % 3) ELSE '' END AS name FROM conversations)
+    SELECT 'fact' AS kind, conv_id, doc_id AS key, page_from AS a, page_to AS b, coalesce(f.n, nullif(first.n, -1)) AS c, CAST(NULL AS VARCHAR) AS text FROM f JOIN first USING (conv_id)
+    UNION ALL SELECT 'segment', conv_id, CAST(segment_no AS VARCHAR), NULL, NULL, NULL, text FROM s
+    UNION ALL SELECT 'flag', conv_id, role, CAST(arg_max(length(text) % 2, turn) AS BIGINT), NULL, NULL, NULL FROM conversations GROUP BY ALL
+    UNION ALL SELECT 'file', conv_id, coalesce(nullif(path, ''), nullif(name, ''), 'file_' || turn), min(turn), NULL, NULL, NULL FROM z GROUP BY ALL
+    UNION ALL SELECT 'source', conv_id, k, f, t, n, NULL FROM m
+    UNION ALL SELECT 'page', conv_id, k, page_no, row_number() OVER (PARTITION BY conv_id, k ORDER BY page_no), NULL, NULL FROM g""",
+)
+def _(spark, sf):
+    t = table(spark, sf, "conversations").withColumn("project_id", F.lit("p"))
+    file, turn = [F.col("project_id"), F.col("conv_id").alias("file_key")], F.col("turn")
+    pages = t.select(
+        *file, (turn + 1).alias("page_no"), turn.alias("seq"), F.concat(F.lit("d"), "conv_id", F.lit("-"), "turn").alias("doc_id"), F.lit("t").alias("title"),
+        F.when(turn == 2, "").otherwise(F.col("text")).alias("text"), (turn % 4).alias("total_pages"),
+    )
+    flags = t.select(*file, (turn + 1).alias("page_no"), F.col("role").alias("pd_id"), (F.length("text") % 2 == 1).alias("flag"))
+    files = t.select(
+        *file, turn.alias("pos"), F.when(turn % 3 == 0, F.concat(F.lit("n"), turn % 3)).otherwise("").alias("name"),
+        F.when(turn % 2 == 0, F.concat(F.lit("path"), turn % 4)).otherwise("").alias("storage_path"),
+    )
+    sources = t.select(
+        *file, F.concat(F.lit("s"), turn % 2).alias("source_key"), turn.alias("seq"), (turn + 1).alias("page_from"), (turn + 1 + turn % 3).alias("page_to"), (turn % 5).alias("total_pages")
+    )
+    made, none, col = C.growing_documents(pages, flags, files, sources, segment=3), F.lit(None), F.col
+
+    def rows(kind, df, key, a=none, b=none, c=none, text=none):
+        long = [x.cast("bigint").alias(n) for n, x in (("a", a), ("b", b), ("c", c))]
+        return df.select(F.lit(kind).alias("kind"), col("file_key").alias("conv_id"), key.cast("string").alias("key"), *long, text.cast("string").alias("text"))
+
+    return (
+        rows("fact", made["facts"], col("doc_id"), col("page_from"), col("page_to"), col("total_pages"))
+        .unionByName(rows("segment", made["segments"], col("segment_no"), text=col("text")))
+        .unionByName(rows("flag", made["flags"], col("pd_id"), col("flag").cast("int")))
+        .unionByName(rows("file", made["files"], col("source_name"), col("pos")))
+        .unionByName(rows("source", made["sources"], col("source_key"), col("page_from"), col("page_to"), col("total_pages")))
+        .unionByName(rows("page", made["pages"], col("source_key"), col("page_no"), col("chunk_page_index")))
+    )
+
+
 LINES_EXTRA = """CASE (doc_id + line_no) % 11 WHEN 0 THEN '' WHEN 1 THEN '## ' || line WHEN 2 THEN '   ' || line WHEN 3 THEN '[PAGE:' || (line_no + 1) || ']' WHEN 4 THEN line || '  ' ELSE line END"""
 
 
@@ -478,6 +605,48 @@ def _(spark, sf):
     return L.page_of_line(lines).select("doc_id", "line_no", "page_no", "last_page")
 
 
+# heads that become structural once a line is glued to them
+LINES_HEADS = """CASE (doc_id + line_no) % 9 WHEN 0 THEN '' WHEN 1 THEN '##' WHEN 2 THEN ' ###' WHEN 3 THEN '**РЕШИЛ' WHEN 4 THEN '**РЕШИЛИ' WHEN 5 THEN '## ' || line ELSE line END"""
+SPECIAL_SQL = """(t = '' OR starts_with(t, '## ') OR starts_with(t, '### ') OR t = '---' OR regexp_matches(t, '^\\[PAGE:[0-9]+\\]$') OR starts_with(t, '[CENTER]')
+        OR starts_with(t, '[LEFTRIGHT:') OR starts_with(t, '[RIGHT-BLOCK]') OR starts_with(t, '[INDENT]') OR regexp_matches(t, '^\\*\\*(УСТАНОВИЛ|ПОСТАНОВИЛ|РЕШИЛ|ОПРЕДЕЛИЛ|ПРИГОВОРИЛ)[:\\s*]'))"""
+
+
+@query(
+    "w4_glued_headings",
+    f"""WITH RECURSIVE {LINES_CTE}, x AS (SELECT doc_id, line_no, {LINES_HEADS} AS s FROM lines),
+    y AS (SELECT doc_id, line_no, s, {sql_trim("s")} AS t FROM x),
+    z AS (SELECT *, {SPECIAL_SQL} AS special, regexp_matches(s, '^[ \\t]{{2,}}') AS indented FROM y),
+    walk AS (SELECT doc_id, line_no, CAST(0 AS BIGINT) AS para, s AS whole, special AS closed, s, t FROM z WHERE line_no = 0
+      UNION ALL SELECT doc_id, line_no, para, whole, {SPECIAL_SQL.replace("(t ", "(u ").replace("starts_with(t,", "starts_with(u,").replace("OR t ", "OR u ").replace("regexp_matches(t,", "regexp_matches(u,")}, s, t
+      FROM (SELECT z.doc_id, z.line_no, z.s, z.t, CASE WHEN w.closed OR z.special OR z.indented THEN w.para + 1 ELSE w.para END AS para,
+              CASE WHEN w.closed OR z.special OR z.indented THEN z.s ELSE rtrim(w.whole, {WS_CHARS}) || ' ' || z.t END AS whole,
+              {sql_trim("CASE WHEN w.closed OR z.special OR z.indented THEN z.s ELSE rtrim(w.whole, " + WS_CHARS + ") || ' ' || z.t END")} AS u
+            FROM walk w JOIN z ON z.doc_id = w.doc_id AND z.line_no = w.line_no + 1)),
+    done AS (SELECT doc_id, para, arg_max(whole, line_no) AS whole FROM walk GROUP BY ALL)
+    SELECT doc_id, string_agg(whole, chr(10) ORDER BY para) AS text FROM done GROUP BY doc_id""",
+)
+def _(spark, sf):
+    lines = lines_of(spark, sf).withColumn("s", F.expr(LINES_HEADS))
+    texts = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "s"))).alias("l"))
+    return texts.select("doc_id", L.merge_broken_lines(F.array_join(F.transform("l", lambda x: x["s"]), "\n")).alias("text"))
+
+
+@query(
+    "w8_page_of_segments",
+    f"""WITH {LINES_CTE}, x AS (SELECT doc_id, line_no, CASE WHEN doc_id % 4 = 0 THEN '' ELSE {LINES_EXTRA} END AS s FROM lines),
+    y AS (SELECT doc_id, line_no, CASE WHEN regexp_matches(s, '^\\[PAGE:[0-9]+\\]$') THEN CAST(regexp_extract(s, '([0-9]+)', 1) AS BIGINT) END AS p FROM x)
+    SELECT doc_id, line_no, last_value(p IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS page_no,
+      coalesce(last_value(p IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING),
+        nullif(doc_id % 3, 0), nullif(doc_id % 5, 0)) AS last_page FROM y""",
+)
+def _(spark, sf):
+    # a document's lines in segments of seven
+    lines = lines_of(spark, sf).withColumn("line", F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.expr(LINES_EXTRA)))
+    segments = lines.withColumn("segment_no", F.floor(F.col("line_no") / 7))
+    totals = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 3).alias("total_pages"), (F.col("doc_id") % 5).alias("page_to"))
+    return L.page_of_line(segments, segment="segment_no", totals=totals).select("doc_id", "line_no", "page_no", "last_page")
+
+
 @query(
     "a5_export_gate",
     """WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN replace(text, '. ', ' ⚠️[НЕЧИТАЕМО] ') WHEN 1 THEN replace(text, ', ', chr(10) || '[PART:2]' || chr(10)) ELSE text END AS x FROM documents)

@@ -38,23 +38,31 @@ FOUND_CTE = LINES_CTE + ", found AS (" + " UNION ALL ".join(
       '(?i)' || array_to_string(list_transform(string_split_regex(value, '{WS}+'), lambda w: regexp_replace(w, '([.*+?^${{}}()|\\[\\]\\\\])', '\\\\\\1', 'g')), '{WS}+') AS pattern FROM registry)"""
 
 
-def matches_cte(units: str, probe: str) -> str:
-    """SQL: all hits of ``mentions`` in ``units(project_id, doc_id, unit_no,
-    text)``; ``probe`` is a cheap necessary condition."""
-    return f"""pairs AS (SELECT u.*, m.*  EXCLUDE (project_id) FROM {units} u JOIN mentions m ON u.project_id = m.project_id AND {probe}),
-    cut AS (SELECT * EXCLUDE (text, pattern), regexp_extract_all(text, pattern) AS hits, string_split_regex(text, pattern) AS gaps FROM pairs),
-    spot AS (SELECT * EXCLUDE (hits, gaps), unnest(hits) AS hit, unnest(range(1, len(hits) + 1)) AS i, hits, gaps FROM cut WHERE len(hits) > 0),
-    matches AS (SELECT * EXCLUDE (hits, gaps, i), CAST(list_sum(list_transform(list_slice(gaps, 1, i), lambda g: length(g)))
-      + coalesce(list_sum(list_transform(list_slice(hits, 1, i - 1), lambda h: length(h))), 0) AS BIGINT) AS s FROM spot)"""
-
-
-def kept_cte(order: str) -> str:
+def matches_cte(units: str, probe: str, mentions: str = "mentions", tag: str = "") -> str:
+    """SQL: ``matches``, all hits of ``mentions`` in ``units(project_id,
+    doc_id, unit_no, text)``; ``probe`` is a cheap necessary condition. A
+    ``tag`` tells a second use apart."""
+    return f"""pairs{tag} AS (SELECT u.*, m.*  EXCLUDE (project_id) FROM {units} u JOIN {mentions} m ON u.project_id = m.project_id AND {probe}),
+    cut{tag} AS (SELECT * EXCLUDE (text, pattern), regexp_extract_all(text, pattern) AS hits, string_split_regex(text, pattern) AS gaps FROM pairs{tag}),
+    spot{tag} AS (SELECT * EXCLUDE (hits, gaps), unnest(hits) AS hit, unnest(range(1, len(hits) + 1)) AS i, hits, gaps FROM cut{tag} WHERE len(hits) > 0),
+    matches{tag} AS (SELECT * EXCLUDE (hits, gaps, i), CAST(list_sum(list_transform(list_slice(gaps, 1, i), lambda g: length(g)))
+      + coalesce(list_sum(list_transform(list_slice(hits, 1, i - 1), lambda h: length(h))), 0) AS BIGINT) AS s FROM spot{tag})"""
+
+
+def kept_cte(order: str, tag: str = "") -> str:
     """SQL: greedy choice over ``matches`` by ``s`` and the given tie order."""
-    return f"""numbered AS (SELECT *, s + length(hit) AS e, row_number() OVER (PARTITION BY doc_id, unit_no ORDER BY s, {order}) AS rn FROM matches),
-    walk AS (SELECT doc_id, unit_no, rn, e AS upto, true AS keep FROM numbered WHERE rn = 1
+    return f"""numbered{tag} AS (SELECT *, s + length(hit) AS e, row_number() OVER (PARTITION BY doc_id, unit_no ORDER BY s, {order}) AS rn FROM matches{tag}),
+    walk{tag} AS (SELECT doc_id, unit_no, rn, e AS upto, true AS keep FROM numbered{tag} WHERE rn = 1
       UNION ALL SELECT n.doc_id, n.unit_no, n.rn, CASE WHEN n.s >= w.upto THEN n.e ELSE w.upto END, n.s >= w.upto
-      FROM walk w JOIN numbered n ON n.doc_id = w.doc_id AND n.unit_no = w.unit_no AND n.rn = w.rn + 1),
-    kept AS (SELECT n.* FROM numbered n JOIN walk USING (doc_id, unit_no, rn) WHERE keep)"""
+      FROM walk{tag} w JOIN numbered{tag} n ON n.doc_id = w.doc_id AND n.unit_no = w.unit_no AND n.rn = w.rn + 1),
+    kept{tag} AS (SELECT n.* FROM numbered{tag} n JOIN walk{tag} USING (doc_id, unit_no, rn) WHERE keep)"""
+
+
+def gaps_cte(units: str = "units", kept: str = "kept", out: str = "gaps") -> str:
+    """SQL: the texts between kept spans, ``unit_no`` being unit * 10^6 + offset."""
+    return f"""{out} AS (SELECT project_id, doc_id, unit_no * 1000000 + begins AS unit_no, substr(text, CAST(begins + 1 AS BIGINT), CAST(upto - begins AS BIGINT)) AS text FROM (
+      SELECT u.project_id, u.doc_id, u.unit_no, u.text, coalesce(lag(k.e) OVER (PARTITION BY u.doc_id, u.unit_no ORDER BY k.s, k.e NULLS LAST), 0) AS begins, k.s AS upto
+      FROM {units} u JOIN (SELECT doc_id, unit_no, s, e FROM {kept} UNION ALL SELECT doc_id, unit_no, length(text), NULL FROM {units}) k USING (doc_id, unit_no)) WHERE upto > begins)"""
 
 
 def rebuilt_cte(shown: str) -> str:
@@ -90,35 +98,40 @@ def _(spark, sf):
 
 
 # --- a dictionary taken from the benchmark passages --------------------------
-# Three overlapping phrases per passage for one project that holds all documents.
+# All pairs and triples of neighbouring words of every passage, for one project that holds all documents.
 
 PHRASES_CTE = f"""w AS (SELECT item_id, string_split_regex({sql_trim("text")}, '{WS}+') AS w FROM benchmark),
-    phrases AS (SELECT item_id, k, array_to_string(list_slice(w, CASE WHEN k = 1 THEN 2 ELSE 1 END, CASE WHEN k = 0 THEN 2 ELSE 3 END), ' ') AS mention
-      FROM w, (VALUES (0), (1), (2)) AS t(k) WHERE len(w) >= 3),
-    mentions AS (SELECT 'all' AS project_id, item_id * 10 + k AS pd_no, 'b' || (item_id * 10 + k) AS pd_id, mention, '[' || k || ']' AS replacement, -length(mention) AS r1, item_id * 10 + k AS r2,
+    places AS (SELECT item_id, w, unnest(range(1, len(w))) AS i FROM w),
+    phrases AS (SELECT item_id * 1000000 + i * 10 + 1 - i % 2 AS pd_no, w[i] || ' ' || w[i + 1] AS mention FROM places
+      UNION ALL SELECT item_id * 1000000 + i * 10 + 2, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM places WHERE i + 2 <= len(w)),
+    mentions AS (SELECT 'all' AS project_id, pd_no, 'b' || pd_no AS pd_id, mention, '[' || (pd_no % 10) || ']' AS replacement, -length(mention) AS r1, pd_no AS r2,
+      lower(string_split(mention, ' ')[1]) AS w1, lower(string_split(mention, ' ')[2]) AS w2,
       '(?i)' || array_to_string(list_transform(string_split(mention, ' '), lambda w: regexp_replace(w, '([.*+?^${{}}()|\\[\\]\\\\])', '\\\\\\1', 'g')), '{WS}+') AS pattern FROM phrases)"""
 ALL_UNITS = "units AS (SELECT 'all' AS project_id, doc_id, line_no AS unit_no, line AS text FROM lines)"
-PHRASE_PROBE = "contains(lower(u.text), lower(string_split(m.mention, ' ')[2]))"
-PHRASE_MATCHES = f"{PHRASES_CTE}, {LINES_CTE}, {ALL_UNITS}, {matches_cte('units', PHRASE_PROBE)}"
+FOLDED_UNITS = "folded AS (SELECT *, lower(text) AS folded FROM units)"
+PHRASE_PROBE = "contains(u.folded, m.w2) AND contains(u.folded, m.w1)"
+PHRASE_MATCHES = f"{PHRASES_CTE}, {LINES_CTE}, {ALL_UNITS}, {FOLDED_UNITS}, {matches_cte('folded', PHRASE_PROBE)}"
 
 
 def phrases(spark, sf) -> DataFrame:
     words = F.split(X.js_trim("text"), WS + "+", -1)
-    rows = table(spark, sf, "benchmark").select("item_id", words.alias("w"), F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("k"))
-    first, last = F.when(F.col("k") == 1, 2).otherwise(1), F.when(F.col("k") == 0, 2).otherwise(3)
-    number = F.col("item_id") * 10 + F.col("k")
+    places = table(spark, sf, "benchmark").select("item_id", words.alias("w")).filter(F.size("w") > 1)
+    places = places.select("item_id", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("i"))
+    places = places.select("item_id", "w", "i", F.explode(F.array(F.lit(2), F.lit(3))).alias("n")).filter(F.col("i") + F.col("n") - 1 <= F.size("w"))
+    kind = F.when(F.col("n") == 3, 2).otherwise(1 - F.col("i") % 2)
+    number = F.col("item_id") * 1000000 + F.col("i") * 10 + kind
     none = F.lit(None).cast("string")
-    return rows.filter(F.size("w") >= 3).select(
+    return places.select(
         F.lit("all").alias("project_id"),
         F.concat(F.lit("b"), number.cast("string")).alias("pd_id"),
         number.alias("seq"),
         F.lit("other").alias("kind"),
         none.alias("category"),
-        F.concat(F.lit("t"), F.col("k").cast("string")).alias("pd_type"),
-        F.array_join(F.slice("w", first, last - first + 1), " ").alias("value"),
+        F.concat(F.lit("t"), kind.cast("string")).alias("pd_type"),
+        F.array_join(F.slice("w", F.col("i"), F.col("n")), " ").alias("value"),
         none.alias("role"),
         none.alias("letter"),
-        F.concat(F.lit("["), F.col("k").cast("string"), F.lit("]")).alias("replacement"),
+        F.concat(F.lit("["), kind.cast("string"), F.lit("]")).alias("replacement"),
         F.lit(None).cast("array<string>").alias("mentions"),
     )
 
@@ -196,10 +209,21 @@ def _(spark, sf):
 
 @query(
     "j3_match_alternation",
-    f"""WITH {PHRASES_CTE}, p AS (SELECT '(?i)⚠️\\[(?:НЕТОЧНО: [^\\]]*|НЕЧИТАЕМО)\\]|' || string_agg(replace(pattern, '(?i)', ''), '|' ORDER BY r1, r2) AS pattern FROM mentions),
-    t AS (SELECT doc_id, unnest(range(len(l))) AS unit_no, unnest(l) AS line FROM (SELECT doc_id, string_split({MARKED_TEXT}, chr(10)) AS l FROM documents)),
-    h AS (SELECT doc_id, unit_no, regexp_extract_all(line, pattern) AS hits FROM t, p)
-    SELECT doc_id, unit_no, len(hits) AS n_hits, array_to_string(hits, '|') AS hits FROM h WHERE len(hits) > 0""",
+    f"""WITH RECURSIVE {PHRASES_CTE}, t AS (SELECT doc_id, unnest(range(len(l))) AS unit_no, unnest(l) AS line FROM (SELECT doc_id, string_split({MARKED_TEXT}, chr(10)) AS l FROM documents)),
+    cut AS (SELECT *, regexp_extract_all(line, '[^{WS[1:]}+') AS words, string_split_regex(line, '[^{WS[1:]}+') AS gaps FROM t),
+    word AS (SELECT doc_id, unit_no, line, i, words[i] AS w, CAST(list_sum(list_transform(list_slice(gaps, 1, i), lambda g: length(g)))
+      + coalesce(list_sum(list_transform(list_slice(words, 1, i - 1), lambda g: length(g))), 0) AS BIGINT) AS pos FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM cut)),
+    run AS (SELECT doc_id, unit_no, line, lower(w) AS a, pos + length(w) AS a_end, lower(lead(w) OVER o) AS b, lead(pos) OVER o AS b_at, lead(pos + length(w)) OVER o AS b_end,
+      lower(lead(w, 2) OVER o) AS c, lead(pos, 2) OVER o AS c_at FROM word WINDOW o AS (PARTITION BY doc_id, unit_no ORDER BY i)),
+    two AS (SELECT *, left(w2, 1) AS key FROM mentions WHERE pd_no % 10 < 2), three AS (SELECT *, lower(string_split(mention, ' ')[3]) AS w3 FROM mentions WHERE pd_no % 10 = 2),
+    matches AS (SELECT doc_id, unit_no, a_end - length(w1) AS s, substr(line, a_end - length(w1) + 1, b_at + length(w2) - a_end + length(w1)) AS hit, r1, r2
+        FROM run JOIN two ON left(b, 1) = key AND starts_with(b, w2) AND ends_with(a, w1)
+      UNION ALL SELECT doc_id, unit_no, a_end - length(w1), substr(line, a_end - length(w1) + 1, c_at + length(w3) - a_end + length(w1)), r1, r2
+        FROM run JOIN three ON b = w2 AND ends_with(a, w1) AND starts_with(c, w3)
+      UNION ALL SELECT doc_id, unit_no, CAST(list_sum(list_transform(list_slice(gaps, 1, i), lambda g: length(g))) + coalesce(list_sum(list_transform(list_slice(hits, 1, i - 1), lambda g: length(g))), 0) AS BIGINT), hits[i], -1000000, 0
+        FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT doc_id, unit_no, regexp_extract_all(line, '(?i)⚠️\\[(?:НЕТОЧНО: [^\\]]*|НЕЧИТАЕМО)\\]') AS hits, string_split_regex(line, '(?i)⚠️\\[(?:НЕТОЧНО: [^\\]]*|НЕЧИТАЕМО)\\]') AS gaps FROM t))),
+    {kept_cte("r1, r2")}
+    SELECT doc_id, unit_no, count(*) AS n_hits, string_agg(hit, '|' ORDER BY s) AS hits FROM kept GROUP BY ALL""",
 )
 def _(spark, sf):
     units = flows.line_units(marked(spark, sf).withColumn("project_id", F.lit("all")))
@@ -291,11 +315,10 @@ def _(spark, sf):
 @query("m5_annotate_ambiguous")
 def _(spark, sf):
     units, kept = phrase_units(spark, sf), phrase_kept(spark, sf)
-    first_words = table(spark, sf, "benchmark").select(
-        F.lit("all").alias("project_id"), F.col("item_id").alias("seq"), F.element_at(F.split("text", " ", -1), 1).alias("value"),
-        F.lit(None).cast("string").alias("context"), F.lit("first word").alias("reason"),
-    )
-    found = Z.annotate_ambiguous(units, kept, first_words)
+    words = table(spark, sf, "benchmark").select("item_id", F.posexplode(F.split(X.js_trim("text"), WS + "+", -1)).alias("i", "value"))
+    once = words.groupBy("value").agg(F.min(F.col("item_id") * 1000000 + F.col("i")).alias("seq"))
+    every_word = once.select(F.lit("all").alias("project_id"), "seq", "value", F.lit(None).cast("string").alias("context"), F.lit("a word of a passage").alias("reason"))
+    found = Z.annotate_ambiguous(units, kept, every_word)
     return found.groupBy("doc_id", "unit_no").agg(F.count("*").alias("n_spans"), F.min("start").alias("first"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import arrays as A
 from ..operators import corpus, registry as R, reports
 from .suite import query
-from .suite_text import PERSONS, WS, _split_select, persons, sql_trim, table
+from .suite_text import PERSON_MENTIONS, PERSONS, WS, _split_select, persons, sql_trim, table
 
 
 def sql_norm(s: str) -> str:
@@ -363,7 +363,8 @@ def _(spark, sf):
       FROM k LEFT JOIN e ON e.project_id = k.project_id AND e.series = k.series)
     SELECT project_id, pd_id, CASE WHEN series <> 'private' THEN '[ФИО ' || n || ']' WHEN n <= 29 THEN substr('{ALPHABET}', CAST(n AS INT), 1) || '.' ELSE 'Л-' || n END AS shown,
       c_name || '|' || c_mktsegment AS mentions FROM l
-    UNION ALL SELECT project_id, pd_id, '[телефон]', c_mktsegment FROM x WHERE seq % 2 = 1 AND seq % 3 = 0""",
+    UNION ALL SELECT project_id, pd_id, '[телефон]', c_mktsegment FROM x WHERE seq % 2 = 1 AND seq % 3 = 0
+    UNION ALL SELECT 'q' || (c_nationkey % 5), 'c' || c_custkey, NULL, array_to_string([{PERSON_MENTIONS}], '|') FROM customer WHERE c_custkey % 2 = 0""",
 )
 def _(spark, sf):
     p = five_projects(persons(spark, sf))
@@ -380,7 +381,7 @@ def _(spark, sf):
         "selected",
     )
     grown = R.add_entries(p.filter("seq % 2 = 0"), new)
-    return grown.filter("seq % 2 = 1").select(
+    return grown.select(
         "project_id", "pd_id", F.coalesce("letter", "replacement").alias("shown"), F.array_join("mentions", "|").alias("mentions")
     )
 

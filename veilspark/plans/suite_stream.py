@@ -66,6 +66,23 @@ def _(spark, sf):
     return whole.select("file_key", "doc_id", "page_from", "page_to", "segment_no", "text")
 
 
+@query(
+    "r3_project_membership",
+    """SELECT 'p' || (conv_id % 3) AS project_id, CAST(conv_id AS VARCHAR) AS file_key, 'd' || conv_id || '-' || min(turn) AS doc_id,
+      min(turn) + 1 AS page_from, max(turn) + 1 AS page_to, count(*) AS n_pages, true AS listed,
+      CAST(count(*) OVER (PARTITION BY conv_id % 3) AS BIGINT) AS n_docs FROM conversations GROUP BY conv_id""",
+)
+def _(spark, sf):
+    path = scratch_dir(spark, "membership")
+    tables = S.document_tables(spark, path)
+    S.run_available(page_rows(stream_of(spark, sf, "conversations")), S.document_step(tables), f"{path}/checkpoint")
+    facts, _segments = S.documents_with_places(tables)
+    # places are 1..n in every project, so the last one is its number of documents
+    last = facts.groupBy("project_id").agg(F.max("pos").cast("bigint").alias("n_docs"))
+    rows = facts.join(last, "project_id").select("project_id", "file_key", "doc_id", "page_from", "page_to", "n_pages", F.col("pos").isNotNull().alias("listed"), "n_docs")
+    return rows
+
+
 @query(
     "r2_registry_stream",
     f"""WITH {PERSONS},
@@ -132,3 +149,44 @@ def _(spark, sf):
     progress = stream_of(spark, sf, "events").selectExpr(*_split_select(PROGRESS))
     S.run_available(S.session_state(progress), S.session_step(log), f"{log}/checkpoint", mode="update")
     return S.current_sessions(spark, log)
+
+
+def in_order(spark, df: DataFrame, *order: str) -> DataFrame:
+    """The rows as a stream of ``ARRIVALS`` files that arrive in the order of
+    the columns, one per micro-batch."""
+    cut = scratch_dir(spark, "cut")
+    df.repartitionByRange(ARRIVALS, *order).withColumn("_file", F.spark_partition_id()).write.parquet(cut)
+    folder = scratch_dir(spark, "in-order")
+    for k in range(ARRIVALS):
+        spark.read.parquet(cut).filter(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(folder)
+    return S.read_pages(spark, folder, df.schema)
+
+
+@query("r4_redelivered_pages", "SELECT event_id, user_id, event_type FROM events")
+def _(spark, sf):
+    # every event is delivered one to three times within two minutes; keys are forgotten after ten
+    log = scratch_dir(spark, "redelivered")
+    again = F.explode(F.sequence(F.lit(0), (F.col("event_id") % 3).cast("int")))
+    sent = table(spark, sf, "events").select("event_id", "user_id", "event_type", "ts", again.alias("k"))
+    sent = sent.select("event_id", "user_id", "event_type", (F.col("ts").cast("timestamp") + F.col("k") * F.expr("INTERVAL 1 MINUTE")).alias("ts"))
+    once = S.stream_dedupe(in_order(spark, sent, "ts", "event_id"), ["event_id"], "ts", "10 minutes")
+    S.run_available(once, lambda batch, number: S._put(batch, f"{log}/once", number), f"{log}/checkpoint")
+    return spark.read.schema("event_id bigint, user_id bigint, event_type string").parquet(f"{log}/once").select("event_id", "user_id", "event_type")
+
+
+@query(
+    "r5_session_lifecycle",
+    f"""WITH p AS (SELECT {PROGRESS}, event_id AS seq FROM events),
+    o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, seq) AS n FROM p),
+    c AS (SELECT session_id, coalesce(max(n) FILTER (page_to >= total_pages), 0) AS closed FROM o GROUP BY ALL),
+    g AS (SELECT session_id, max(page_to) AS page_to, max(total_pages) AS total_pages, arg_max(status, n) AS status, arg_max(error, n) AS error
+      FROM o JOIN c USING (session_id) WHERE n > closed GROUP BY ALL)
+    SELECT session_id, page_to, total_pages, page_to + 1 AS next_page, status, CASE WHEN status = 'failed' THEN error ELSE '' END AS error FROM g""",
+)
+def _(spark, sf):
+    log = scratch_dir(spark, "lifecycle")
+    from .suite_text import _split_select
+
+    progress = table(spark, sf, "events").selectExpr(*_split_select(PROGRESS), "event_id AS seq")
+    S.run_available(S.session_lifecycle(in_order(spark, progress, "ts", "seq")), S.session_step(log), f"{log}/checkpoint", mode="update")
+    return S.current_sessions(spark, log)

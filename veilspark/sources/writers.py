@@ -69,15 +69,22 @@ def export_redacted(docs: DataFrame, path: str, fmt: str = "html", column: str =
 
 def upsert_documents(target: DataFrame, delta: DataFrame, key: str = "doc_id", now: Column | None = None, seq: str | None = None) -> DataFrame:
     """Insert-or-replace by id. Where a delta holds an id more than once, the
-    last by ``seq`` counts (a partial aggregate). ``now`` stamps ``saved_at``."""
+    last by ``seq`` counts (a partial aggregate). ``now`` stamps ``saved_at``.
+    Where the target has ``created_at``, a row keeps it through updates, so that
+    lists by creation keep its place; a new one gets ``now``."""
     fresh = delta
     if seq:
         rest = [c for c in delta.columns if c not in (key, seq)]
         fresh = delta.groupBy(key).agg(F.max_by(F.struct(*rest), seq).alias("_r")).select(
             key, *[F.col(f"_r.{c}").alias(c) for c in rest]
         )
+    stamp = F.current_timestamp() if now is None else now
     if "saved_at" in target.columns:
-        fresh = fresh.withColumn("saved_at", F.current_timestamp() if now is None else now)
+        fresh = fresh.withColumn("saved_at", stamp)
+    if "created_at" in target.columns:
+        first = target.select(F.col(key).alias("_k"), F.col("created_at").alias("_first"), F.lit(True).alias("_known"))
+        fresh = fresh.drop("created_at").join(first, F.col(key) == F.col("_k"), "left")
+        fresh = fresh.withColumn("created_at", F.when(F.col("_known"), F.col("_first")).otherwise(stamp)).drop("_k", "_first", "_known")
     return target.join(fresh.select(key), key, "left_anti").select(*target.columns).unionByName(
         fresh, allowMissingColumns=True
     ).select(*target.columns)

@@ -10,11 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.corpus import append_pages
+from ..operators.ordinal import first_per_key, with_ordinal
 from ..operators.registry import assign_letters, merge_others, merge_persons
+from ..sources.versions import VersionedTables
 
 
 def read_pages(
@@ -95,6 +99,42 @@ def current_documents(spark: SparkSession, log: str) -> tuple[DataFrame, DataFra
     return append_pages(pages.drop("batch"))
 
 
+MEMBERS = "project_id string, file_key string, page_no bigint, seq bigint"
+
+
+def document_tables(spark: SparkSession, path: str) -> VersionedTables:
+    """Page log and membership log with one marker per micro-batch."""
+    return VersionedTables(spark, path, {"pages": PAGES, "members": MEMBERS})
+
+
+def document_step(tables: VersionedTables) -> Callable[[DataFrame, int], None]:
+    """A batch's pages, and its files that no batch brought before as members
+    of their projects: one commit, so that no reader finds pages of a document
+    that its project does not list, nor the other way round. A batch that was
+    interrupted between its writes is written anew."""
+    def step(batch: DataFrame, batch_id: int) -> None:
+        if tables.is_done(batch_id):
+            return
+        tables.put("pages", batch, batch_id)
+        pages = tables.spark.read.schema(PAGES).parquet(f"{tables.path}/pages/commit={batch_id}")
+        first = first_per_key(pages.select("project_id", "file_key", "page_no", "seq"), ["project_id", "file_key"], ["page_no", "seq"])
+        known = tables.read("members").select("project_id", "file_key")
+        tables.put("members", first.join(known, ["project_id", "file_key"], "left_anti"), batch_id)
+        tables.finish(batch_id)
+
+    return step
+
+
+def documents_with_places(tables: VersionedTables) -> tuple[DataFrame, DataFrame]:
+    """(document facts with ``pos``, their place in the project by arrival, and
+    text segments) of all finished batches."""
+    facts, segments = append_pages(tables.read("pages").drop("commit"))
+    # files that arrive together are listed by key; a block holds what one batch brought
+    members = tables.read("members").select("project_id", "file_key", "commit")
+    placed = with_ordinal(members, ["project_id"], [F.col("commit"), F.col("file_key")], [F.col("commit")], out="pos")
+    return facts.join(placed.drop("commit"), ["project_id", "file_key"], "left"), segments
+
+
 def registry_step(log: str) -> Callable[[DataFrame, int], None]:
     """Append the batch's registry rows, persons and other values, as they
     are: merging is left to the view, so that later roles and spellings count."""
@@ -144,6 +184,39 @@ def session_state(progress: DataFrame) -> DataFrame:
     )
 
 
+_OPEN = "page_to long, total_pages long, status string, error string"
+
+
+def session_lifecycle(progress: DataFrame) -> DataFrame:
+    """Sessions one after another under the same id: a session that reaches its
+    last page leaves the state, and progress behind it begins a new one. The
+    state holds open sessions only, however many have been completed.
+
+    ``progress(session_id, ts, seq, status, page_to, total_pages, error)``,
+    delivered in order of time; inside a batch rows are ordered by ts and seq.
+    """
+    names = _names(SESSIONS)
+
+    def advance(key, frames, state):
+        now = tuple(state.get) if state.exists else None
+        rows = pd.concat(frames).sort_values(["ts", "seq"])
+        for row in rows.itertuples(index=False):
+            done, total = int(row.page_to), int(row.total_pages)
+            if now is not None and now[2] != "completed":
+                done, total = max(done, now[0]), max(total, now[1])
+            now = (done, total, "completed", "") if done >= total else (done, total, row.status, row.error if row.status == "failed" else "")
+        if now[2] == "completed":
+            if state.exists:
+                state.remove()
+        else:
+            state.update(now)
+        done, total, status, error = now
+        yield pd.DataFrame([(*key, done, total, done + 1, status, error)], columns=names)
+
+    known = progress.filter("page_to IS NOT NULL AND total_pages IS NOT NULL")
+    return known.groupBy("session_id").applyInPandasWithState(advance, SESSIONS, _OPEN, "update", GroupStateTimeout.NoTimeout)
+
+
 SESSIONS = (
     "session_id bigint, page_to bigint, total_pages bigint, next_page bigint, status string, error string"
 )
