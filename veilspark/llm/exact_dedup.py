@@ -30,6 +30,8 @@ SLOTS = 4
 KICKS = 500
 #: Distinct digests aimed at for one shard when an index is made.
 SHARD_ROWS = 32_768
+#: Ids and digests of dropped rows up to this size go to every executor; beyond it the texts are shuffled.
+BROADCAST_BYTES = 32_000_000
 #: Pre-aggregated rows a digest brings at most in one batch.
 SALTS = 16
 
@@ -249,6 +251,9 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     id_, digest = unused(docs, "gone_id"), unused(docs, "gone_digest")
     gone = settle(verdict.where(~F.col("kept")).select(F.col("doc_id").alias(id_), F.col("digest").alias(digest)))
     again = settle(verdict.where("kept").groupBy(F.col("digest").alias(digest)).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    width = F.octet_length(F.coalesce(F.col(id_).cast("string"), F.lit(""))) + 64
+    if (gone.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_BYTES:
+        gone = F.broadcast(gone)
     own = docs.withColumn(unused(docs, "own_digest"), F.unhex(F.sha2(F.regexp_replace(text_or_empty(text_col), SPACE, " "), 256)))
     name = own.columns[-1]
     kept = own.join(gone, F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(name) == F.col(digest)), "left_anti")
