@@ -31,6 +31,9 @@ LIMIT = 0.98
 #: Nodes of one filter compared in one piece.
 BLOCK = 1024
 
+#: Filters of two blocks' vectors compared in one piece.
+FILTERS = 2048
+
 _FORESTS = "a binary, b binary, links long"
 _CODES: dict[tuple[int, float], ProductCodes] = {}
 
@@ -94,14 +97,16 @@ def _forest(filter_: int, nodes: list[bytes], vectors: np.ndarray, copies: np.nd
         near = np.triu(near, 1)
     if not near.any():
         return
-    # a pair belongs to the first filter it shares
-    earlier = [f[f < filter_] for f in lists]
-    numbers = np.unique(np.concatenate(earlier))
-    if len(numbers):
-        member = np.zeros((len(nodes), len(numbers)), np.float32)
-        for row, f in enumerate(earlier):
-            member[row, np.searchsorted(numbers, f)] = 1
-        near &= (member[left] @ member[right].T) == 0
+    # a pair belongs to the first filter it shares; only vectors that are near another one matter
+    rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    earlier = {i: f[f < filter_] for i in {*left[rows].tolist(), *right[columns].tolist()} for f in (lists[i],)}
+    numbers = np.unique(np.concatenate([*earlier.values()]))
+    met = np.zeros((len(rows), len(columns)), bool)
+    for start in range(0, len(numbers), FILTERS):
+        part = numbers[start : start + FILTERS]
+        member = {i: np.isin(part, f).astype(np.float32) for i, f in earlier.items()}
+        met |= np.array([member[i] for i in left[rows].tolist()]) @ np.array([member[i] for i in right[columns].tolist()]).T > 0
+    near[np.ix_(rows, columns)] &= ~met
     links = np.zeros(len(nodes), np.int64)
     np.add.at(links, left, near @ copies[right])
     np.add.at(links, right, near.T @ copies[left])
