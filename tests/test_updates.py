@@ -10,6 +10,7 @@ from test_golden import ENTRY
 from veilspark.operators import corpus as C, lines as L, matching as M, registry as R
 from veilspark.operators.redaction import second_pass_segments, segment_spans
 from veilspark.operators.spans import SpanStore
+from veilspark.plans import flows
 from veilspark.plans.session import scratch_dir
 from veilspark.plans.suite_stream import in_order
 from veilspark.sources import readers, writers
@@ -124,6 +125,18 @@ def test_joining_documents_twice_changes_nothing(spark):
     assert rows(C.current(t, "marks"), "doc_id", "unit_no", "start", "end", "pd_id") == [(1, 0, 0, 7, "e2"), (1, 1, 4, 9, "e1"), (2, 0, 0, 5, "e1")]
 
 
+def test_published_documents(spark):
+    docs = spark.createDataFrame([("p", 1, "Иванов И.И. и Петров П.П., тел. 12345"), ("p", 2, "Иванова И.И. ⚠️[НЕЧИТАЕМО]"), ("q", 3, "Петров П.П. сказал")], "project_id string, doc_id bigint, text string")
+    members = docs.select("project_id", F.col("doc_id").alias("pos"), "doc_id")
+    row = lambda p, i, seq, kind, cat, value: (p, i, seq, kind, cat, None if kind == "person" else "phone", value, None, None, None if kind == "person" else "[телефон]", None)
+    shared = spark.createDataFrame([row("p", "a", 0, "person", "private", "Иванов И.И."), row("p", "b", 1, "person", "professional", "Петров П.П."), row("p", "c", 2, "other", None, "12345"), row("p", "d", 3, "person", "private", "иванов и.и.")], ENTRY)
+    own = spark.createDataFrame([(*row("q", "e", 0, "person", "private", "Петров П.П."), 3), (*row("p", "f", 9, "person", "private", "сказал"), 1)], f"{ENTRY}, doc_id bigint")
+    flags = spark.createDataFrame([("p", x) for x in "abc"] + [("q", "e")], "project_id string, pd_id string")
+    got = rows(flows.publish_documents(docs, members, shared, own, flags), "doc_id", "text", "n_hidden")
+    # the second document has an open reading; project q falls back on its last document's entries
+    assert got == [(1, "А. и [ФИО 1], тел. [телефон]", 3), (3, "А. сказал", 1)]
+
+
 # --- streams -----------------------------------------------------------------
 
 

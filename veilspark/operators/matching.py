@@ -12,8 +12,9 @@ The pattern then decides. Anchors never lose a match:
   word up to its ending, so the start of a word's letters is the start of a
   letter run in the text;
 * other values may begin and end inside a word, but pieces between separators
-  appear as whole words, the last piece as a word start, and a value made of a
-  single piece as a run of characters inside a word;
+  appear as whole words, the last piece as a word start, neighbouring pieces as
+  neighbours (the end of one next to the start of the other), and a value made
+  of a single piece as a run of characters inside a word;
 * of an address with street and house only the street's letters are sure to
   appear, as a run;
 * a value without letters and digits is compared with every unit.
@@ -32,6 +33,8 @@ UNIT = ["doc_id", "unit_no"]
 # Lengths at which word starts and inner runs are indexed.
 PREFIX_SIZES = (1, 2, 3, 5, 8)
 GRAM_SIZES = (1, 2, 3, 6)
+# Characters of both neighbours' near ends that are indexed together.
+PAIR_SIZES = (1, 2, 3)
 # Further anchors of a mention that are tested before its pattern.
 EXTRA_ANCHORS = 3
 # 64-bit words of the set filter over all anchors of a dictionary.
@@ -82,7 +85,22 @@ def _word_anchors(folded: Column) -> Column:
     start_of_last = F.when(
         open_end & (n >= F.when(open_start, 2).otherwise(1)), _sized("P", F.element_at(pieces, -1), PREFIX_SIZES)
     )
-    return F.concat(whole, F.array(start_of_last))
+    return F.concat(whole, F.array(start_of_last), F.transform(_neighbours(pieces), _pair_anchor))
+
+
+def _neighbours(pieces: Column) -> Column:
+    """array<struct<a, b>> of pieces next to each other."""
+    # get gives null for a place outside the array
+    behind = F.transform(pieces, lambda p, i: F.struct(p.alias("a"), F.get(pieces, i + 1).alias("b")))
+    return F.filter(behind, lambda x: x["b"].isNotNull())
+
+
+def _pair_anchor(pair: Column) -> Column:
+    most = F.lit(max(PAIR_SIZES))
+    end, start = F.least(F.length(pair["a"]), most), F.least(F.length(pair["b"]), most)
+    return F.concat(
+        F.lit("B"), end.cast("string"), start.cast("string"), F.lit(":"), F.right(pair["a"], end), F.left(pair["b"], start)
+    )
 
 
 def _run_anchors(folded: Column) -> Column:
@@ -193,7 +211,14 @@ def with_unit_anchors(units: DataFrame, chosen: DataFrame, words: int) -> DataFr
     prepared = (
         units.withColumn("_folded", fold_case("text"))
         .withColumn("_used", _used_tags(chosen).scalar())
-        .withColumn("_words", F.array_distinct(F.regexp_extract_all(folded, F.lit(f"({WORD})"), F.lit(1))))
+        .withColumn("_all", F.regexp_extract_all(folded, F.lit(f"({WORD})"), F.lit(1)))
+        .withColumn("_words", F.array_distinct("_all"))
+        .withColumn(
+            "_pairs",
+            F.when(F.exists("_used", lambda t: t.startswith("B")), _neighbours(F.col("_all"))).otherwise(
+                F.array().cast("array<struct<a:string,b:string>>")
+            ),
+        )
         .withColumn(
             "_runs",
             F.when(
@@ -205,6 +230,11 @@ def with_unit_anchors(units: DataFrame, chosen: DataFrame, words: int) -> DataFr
         )
     )
 
+    def pairs(end: int, start: int) -> Column:
+        long_enough = F.filter("_pairs", lambda x: (F.length(x["a"]) >= end) & (F.length(x["b"]) >= start))
+        near = F.transform(long_enough, lambda x: F.concat(F.right(x["a"], F.lit(end)), F.left(x["b"], F.lit(start))))
+        return F.transform(near, lambda x: F.xxhash64(F.lit(f"B{end}{start}"), x))
+
     def when_used(tag: str, keys: Column) -> Column:
         return F.when(F.array_contains("_used", tag), keys).otherwise(F.array().cast("array<bigint>"))
 
@@ -231,6 +261,9 @@ def with_unit_anchors(units: DataFrame, chosen: DataFrame, words: int) -> DataFr
     for s in GRAM_SIZES:
         parts.append(when_used(f"D{s}", grams("D", s)))
         parts.append(when_used(f"G{s}", grams("G", s)))
+    for end in PAIR_SIZES:
+        for start in PAIR_SIZES:
+            parts.append(when_used(f"B{end}{start}", pairs(end, start)))
     parts.append(when_used("*", F.array(F.xxhash64(F.lit("*"), F.lit("")))))
 
     def passes(h: Column) -> Column:
@@ -242,7 +275,7 @@ def with_unit_anchors(units: DataFrame, chosen: DataFrame, words: int) -> DataFr
         prepared.withColumn("_ids", F.array_distinct(F.concat(*parts)))
         .withColumn("_bits", _anchor_filter(chosen, words).scalar())
         .withColumn("anchor_ids", F.filter("_ids", passes))
-        .drop("_used", "_words", "_runs", "_ids", "_bits")
+        .drop("_used", "_all", "_words", "_pairs", "_runs", "_ids", "_bits")
     )
 
 

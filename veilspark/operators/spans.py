@@ -90,7 +90,9 @@ class SpanStore:
         """project_id, word_id: the words of each mention's rarest anchor. A
         mention one of whose anchors no word has is found nowhere."""
         ids = ["project_id", "pd_id", "mention"]
-        offered = mentions.select(*ids, mention_anchors(F.col("kind"), F.col("pd_type"), F.col("mention")).alias("_all"))
+        # pairs of neighbours are no words
+        single = F.filter(mention_anchors(F.col("kind"), F.col("pd_type"), F.col("mention")), lambda a: ~a.startswith("B"))
+        offered = mentions.select(*ids, single.alias("_all"))
         anchors = offered.select(*ids, F.size("_all").alias("n_anchors"), F.explode("_all").alias("anchor"))
         tag = F.regexp_extract("anchor", r"\A([A-Z]?)", 1)
         piece = F.regexp_replace("anchor", r"\A[A-Z][0-9]*:", "")

@@ -10,7 +10,7 @@ from ..operators.spans import SpanStore
 from .session import scratch_dir, settle
 from .suite import query
 from . import flows
-from .suite_redaction import ALL_UNITS, FOLDED_UNITS as FOLDED, gaps_cte, kept_cte, matches_cte, phrase_units, text_docs
+from .suite_redaction import ALL_UNITS, FOLDED_UNITS as FOLDED, gaps_cte, kept_cte, matches_cte, phrase_units, rebuilt_cte, text_docs
 from .suite_text import LINES_CTE, WS, sql_trim, table
 
 # --- pairs of neighbouring words of the passages as entries ------------------
@@ -132,3 +132,36 @@ def _(spark, sf):
         .unionByName(long("entry", C.current(tables, "registry"), F.col("value"), F.col("seq"), none, F.col("pd_id")))
         .unionByName(long("mark", C.current(tables, "marks"), place, F.col("start"), F.col("end"), F.col("pd_id")))
     )
+
+
+# --- from registries to documents ready for export ---------------------------
+# Projects 0 to 2 share entries of even number; the others have those of their last document only.
+
+
+@query(
+    "s7_publish_documents",
+    f"""WITH RECURSIVE {LINES_CTE}, {PAIRS_CTE}, last AS (SELECT doc_id % 5 AS k, max(doc_id) AS doc_id FROM documents GROUP BY ALL),
+    entries AS (SELECT 'q' || k AS project_id, pd_no, mention FROM named, range(3) AS t(k) WHERE pd_no % 2 = 0
+      UNION ALL SELECT 'q' || k, pd_no, mention FROM named, last WHERE k > 2 AND (pd_no + doc_id) % 3 = 0),
+    registry AS (SELECT * FROM entries QUALIFY row_number() OVER (PARTITION BY project_id, lower(mention) ORDER BY pd_no) = 1),
+    units AS (SELECT 'q' || (doc_id % 5) AS project_id, doc_id, line_no AS unit_no, line AS text FROM lines
+      WHERE doc_id IN (SELECT doc_id FROM documents WHERE NOT (doc_id % 4 = 0 AND contains(text, '. ')))), {FOLDED},
+    {project_mentions_cte("hidden", "SELECT project_id, 'w' || pd_no AS pd_id, pd_no AS seq, mention FROM registry")}, {matches_cte("folded", PAIR_PROBE, "hidden")}, {kept_cte("-length(mention), seq")},
+    {rebuilt_cte("CASE WHEN seq % 3 < 2 THEN '[ПД]' ELSE hit END")}
+    SELECT n.project_id, n.doc_id, n.text, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hidden
+    FROM docs_new n LEFT JOIN (SELECT doc_id, count(*) AS n FROM kept WHERE seq % 3 < 2 GROUP BY ALL) h USING (doc_id)""",
+)
+def _(spark, sf):
+    pairs = settle(word_pairs(spark, sf).drop("later"))
+    docs = text_docs(spark, sf).withColumn("project_id", F.concat(F.lit("q"), F.col("doc_id") % 5))
+    # some documents have readings that are still open
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 4 == 0, F.replace("text", F.lit(". "), F.lit(" ⚠️[НЕЧИТАЕМО] "))).otherwise(F.col("text")))
+    members = docs.select("project_id", F.col("doc_id").alias("pos"), "doc_id")
+    project = lambda ks: F.explode(F.array(*[F.lit(f"q{k}") for k in ks]))
+    shared = pairs.filter("seq % 2 = 0").withColumn("project_id", project(range(3)))
+    last = C.last_document(members).filter("project_id IN ('q3', 'q4')")
+    # every document of a project brings entries of its own
+    brought = pairs.withColumn("project_id", project(range(5))).join(last, "project_id").filter((F.col("seq") + F.col("doc_id")) % 3 == 0)
+    older = brought.withColumns({"doc_id": F.col("doc_id") - 5, "value": F.concat(F.lit("never "), "value")})
+    flags = brought.select("project_id", "pd_id", "seq").unionByName(shared.select("project_id", "pd_id", "seq")).filter("seq % 3 < 2").select("project_id", "pd_id")
+    return flows.publish_documents(docs, members, shared, brought.unionByName(older), flags)
