@@ -141,3 +141,39 @@ def test_redaction_laws(spark, corpus):
     assert text(reveal(hidden, none)) == text(units)
     some = everything.filter(F.col("pd_id").isin("e0", "e3", "e15"))
     assert text(reveal(hidden, some)) == text(redact(units, kept, entries, some))
+
+
+LITERALS = ["re a", "the the", "aa", "Ёлка дом", "ſ1 b", "ÿ x", "x.y (z)", "к", "K k", "straße", "İ i", "a"]
+
+
+def literal_case(spark):
+    rng = random.Random(11)
+    parts = ["re", "a", "The", "THE", "aaa", "ёЛКА", "дом", "S1", "b", "Ÿ", "x", "x.y", "(z)", "К", "\u212a", "k", "straSSe", "straẞe", "İ", "ı", "\ue000", "\U0001f600"]
+    glue = [" ", " ", " ", " ", "\u00a0", "\t", "  ", "", "\n"]
+    texts = ["".join(rng.choice(parts) + rng.choice(glue) for _ in range(rng.randint(0, 12))) for _ in range(150)]
+    units = spark.createDataFrame([("p", i, 0, t) for i, t in enumerate(texts)], "project_id string, doc_id bigint, unit_no int, text string")
+    entries = [("p", f"e{i}", i, "other", None, "other", v, None, None, "[x]", None) for i, v in enumerate(LITERALS)]
+    return units, explode_registry(spark.createDataFrame(entries, ENTRY))
+
+
+@pytest.mark.parametrize("overlapping", [False, True])
+@pytest.mark.parametrize("strategy", ["broadcast", "shuffle"])
+def test_plain_values_are_found_as_by_their_patterns(spark, strategy, overlapping):
+    units, mentions = literal_case(spark)
+    want = rows(brute(units, mentions, overlapping))
+    assert len(want) > 150
+    assert rows(M.match_dictionary(units, mentions, strategy, overlapping=overlapping)) == want
+
+
+def test_no_text_is_sorted_for_plain_values(spark):
+    # sorting pairs with their texts by pattern wrote many times the input to disk
+    units, mentions = literal_case(spark)
+    plan = M.match_dictionary(units, mentions, "broadcast")._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [pattern" not in plan and "hashpartitioning(doc_id" not in plan
+
+
+def test_documents_dealt_by_id_are_not_shuffled_again(spark):
+    units, mentions = literal_case(spark)
+    kept = M.resolve_overlaps(M.match_dictionary(units.repartition("doc_id"), mentions, "broadcast"))
+    plan = kept.groupBy("doc_id", "pd_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc_id") == 1
