@@ -177,3 +177,9 @@ def test_documents_dealt_by_id_are_not_shuffled_again(spark):
     kept = M.resolve_overlaps(M.match_dictionary(units.repartition("doc_id"), mentions, "broadcast"))
     plan = kept.groupBy("doc_id", "pd_id").count()._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(doc_id") == 1
+
+
+def test_candidates_of_a_shuffled_dictionary_stay_beside_their_texts(spark):
+    units, mentions = literal_case(spark)
+    plan = M.match_dictionary(units, mentions, "shuffle")._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(project_id" in x and "doc_id" in x and "ENSURE_REQUIREMENTS" in x]
