@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import clean_page, dehyphenate, js_trim
+from ..functions.text import clean_page, dehyphenate, js_trim, let
 from ..schemas import PAGE, PAGE_METADATA, SOURCE_FILE
 from .ordinal import block_of, first_per_key, with_ordinal
 
@@ -20,11 +20,6 @@ MIN_REVISED_PAGE = 30
 SEGMENT_PAGES = 1000
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once per row."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def positive(value: Column, to: str = "bigint") -> Column:
     """Number when finite and above zero, else null; text is converted."""
     usable = lambda n: (n > 0) & (n < float("inf")) & ~F.isnan(n)
