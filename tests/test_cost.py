@@ -19,3 +19,12 @@ def test_address_is_searched_once_per_row(spark):
     got = [r.p for r in shown.collect()]
     assert got[0].count("Мира") == 4 and got[0].count("Село") == 6
     assert got[1:] == ["ничего", None]
+
+
+def test_answers_are_parsed_once_per_branch(spark):
+    raw = '{"persons":[{"id":"p1","fullName":"A B","mentions":["A"]}],"otherPD":[{"id":"o1","type":"phone","value":"1"}]}'
+    answers = spark.createDataFrame([("q", 1, raw), ("q", 2, "none"), ("q", 3, None)], "project_id string, doc_id long, raw string")
+    entries, ambiguous = read_pd_responses(answers)
+    assert plan_of(entries).count("from_json") + plan_of(entries).count("jsontostructs") == 2
+    assert sorted((r.doc_id, r.pd_id, r.value) for r in entries.collect()) == [(1, "o1", "1"), (1, "p1", "A B")]
+    assert ambiguous.count() == 0

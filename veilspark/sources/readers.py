@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.text import js_trim
+from ..functions.text import js_trim, let
 from ..operators.pages import normalize_metadata
 from ..schemas import PAGE_METADATA, PERSONAL_DATA, PORTABLE, SOURCE_FILE
 
@@ -193,10 +193,11 @@ def unify_sources(**frames: DataFrame) -> DataFrame:
 def explode_personal_data(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Registry rows and ambiguous rows from nested ``personal_data``; ids are
     put under the project so that documents cannot clash."""
+    # outer: an inner explode would add a size filter that parses the answer twice
     pd = F.col("personal_data")
     base = ["project_id", "doc_id"]
     nothing = F.lit(None).cast("string")
-    persons = docs.select(*base, F.posexplode(pd["persons"]).alias("p", "e")).select(
+    persons = docs.select(*base, F.posexplode_outer(pd["persons"]).alias("p", "e")).filter("p IS NOT NULL").select(
         *base,
         F.col("e.id").alias("pd_id"),
         F.col("p").cast("bigint").alias("seq"),
@@ -209,7 +210,7 @@ def explode_personal_data(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         nothing.alias("replacement"),
         F.col("e.mentions").alias("mentions"),
     )
-    others = docs.select(*base, F.posexplode(pd["otherPD"]).alias("p", "e")).select(
+    others = docs.select(*base, F.posexplode_outer(pd["otherPD"]).alias("p", "e")).filter("p IS NOT NULL").select(
         *base,
         F.col("e.id").alias("pd_id"),
         F.col("p").cast("bigint").alias("seq"),
@@ -222,7 +223,7 @@ def explode_personal_data(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("e.replacement").alias("replacement"),
         F.col("e.mentions").alias("mentions"),
     )
-    ambiguous = docs.select(*base, F.posexplode(pd["ambiguousPersons"]).alias("seq", "a")).select(
+    ambiguous = docs.select(*base, F.posexplode_outer(pd["ambiguousPersons"]).alias("seq", "a")).filter("seq IS NOT NULL").select(
         *base, "seq", "a.value", "a.context", "a.reason"
     )
     return persons.unionByName(others), ambiguous
@@ -234,11 +235,15 @@ def parse_pd_response(raw: Column) -> Column:
     fenced = F.regexp_replace(raw, r"(?ms)\A(.*?)^```[A-Za-z0-9_]*\n?", "$1")
     fenced = F.regexp_replace(fenced, r"(?ms)\A(.*?)```\s*$", "$1")
     body = F.regexp_extract(fenced, r"(?s)(\{.*\})", 1)
-    parsed = F.from_json(F.nullif(body, F.lit("")), PERSONAL_DATA, {"mode": "PERMISSIVE"})
-    nothing = parsed.isNull() | (
-        parsed["persons"].isNull() & parsed["otherPD"].isNull() & parsed["ambiguousPersons"].isNull()
-    )
-    return F.when(nothing, _empty_pd()).otherwise(parsed)
+
+    def sound(parsed: Column) -> Column:
+        nothing = parsed.isNull() | (
+            parsed["persons"].isNull() & parsed["otherPD"].isNull() & parsed["ambiguousPersons"].isNull()
+        )
+        return F.when(nothing, _empty_pd()).otherwise(parsed)
+
+    # parsed once, though read several times
+    return let(F.from_json(F.nullif(body, F.lit("")), PERSONAL_DATA, {"mode": "PERMISSIVE"}), sound)
 
 
 def read_pd_responses(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
