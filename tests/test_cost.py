@@ -28,3 +28,17 @@ def test_answers_are_parsed_once_per_branch(spark):
     assert plan_of(entries).count("from_json") + plan_of(entries).count("jsontostructs") == 2
     assert sorted((r.doc_id, r.pd_id, r.value) for r in entries.collect()) == [(1, "o1", "1"), (1, "p1", "A B")]
     assert ambiguous.count() == 0
+
+
+def test_session_steps_by_time_of_either_kind(spark, tmp_path):
+    rows = [(1, "2024-01-01 00:00:02.5", 2, 'p"\\', 3, None), (1, "2024-01-01 00:00:02.25", 3, "failed", 4, "old"), (2, None, 1, "failed", 1, 'last "x"'), (2, "2024-01-01 00:00:00", 9, None, 2, "")]
+    for kind in ("timestamp", "timestamp_ntz"):
+        given = spark.createDataFrame(rows, "session_id long, at string, seq long, status string, page_to long, error string")
+        folder, log = str(tmp_path / kind), str(tmp_path / f"{kind}-log")
+        progress = given.selectExpr("session_id", f"cast(at AS {kind}) AS ts", "seq", "status", "page_to", "10L AS total_pages", "error")
+        progress.coalesce(1).write.parquet(folder)
+        steps = S.session_lifecycle(S.read_pages(spark, folder, progress.schema))
+        assert "step#" in steps._jdf.queryExecution().analyzed().toString()
+        S.run_available(steps, S.session_step(log), f"{log}/checkpoint", mode="update")
+        got = sorted((r.session_id, r.page_to, r.next_page, r.status, r.error) for r in S.current_sessions(spark, log).collect())
+        assert got == [(1, 4, 5, 'p"\\', ""), (2, 2, 3, "failed", 'last "x"')]

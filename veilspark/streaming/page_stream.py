@@ -8,10 +8,11 @@ rewritten per batch. The stream's checkpoint is the resume point.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -187,6 +188,14 @@ def session_state(progress: DataFrame) -> DataFrame:
 _OPEN = "page_to long, total_pages long, status string, error string"
 
 
+def _micros(ts: str, zoneless: bool) -> Column:
+    """Microseconds since 1970; a time without zone is counted as it reads."""
+    if not zoneless:
+        return F.unix_micros(ts)
+    seconds = F.unix_date(F.col(ts).cast("date")) * F.lit(86400).cast("bigint") + F.hour(ts) * 3600 + F.minute(ts) * 60
+    return seconds * 1000000 + (F.extract(F.lit("SECOND"), ts) * 1000000).cast("bigint")
+
+
 def session_lifecycle(progress: DataFrame) -> DataFrame:
     """Sessions one after another under the same id: a session that reaches its
     last page leaves the state, and progress behind it begins a new one. The
@@ -195,25 +204,32 @@ def session_lifecycle(progress: DataFrame) -> DataFrame:
     ``progress(session_id, ts, seq, status, page_to, total_pages, error)``,
     delivered in order of time; inside a batch rows are ordered by ts and seq.
     """
-    names = _names(SESSIONS)
-
+    # a session sees few rows per batch: plain values, one small frame out
     def advance(key, frames, state):
         now = tuple(state.get) if state.exists else None
-        rows = pd.concat(frames).sort_values(["ts", "seq"])
-        for row in rows.itertuples(index=False):
-            done, total = int(row.page_to), int(row.total_pages)
+        steps = [json.loads(step) for f in frames for step in f["step"].tolist()]
+        steps.sort(key=lambda step: step[:2])
+        for _at, _seq, done, total, status, error in steps:
             if now is not None and now[2] != "completed":
                 done, total = max(done, now[0]), max(total, now[1])
-            now = (done, total, "completed", "") if done >= total else (done, total, row.status, row.error if row.status == "failed" else "")
+            now = (done, total, "completed", "") if done >= total else (done, total, status, error if status == "failed" else "")
         if now[2] == "completed":
             if state.exists:
                 state.remove()
         else:
             state.update(now)
         done, total, status, error = now
-        yield pd.DataFrame([(*key, done, total, done + 1, status, error)], columns=names)
+        yield pd.DataFrame({"session_id": [key[0]], "page_to": [done], "total_pages": [total], "next_page": [done + 1], "status": [status], "error": [error]})
 
     known = progress.filter("page_to IS NOT NULL AND total_pages IS NOT NULL")
+    # unknown times and numbers come last
+    last = F.lit(2**63 - 1)
+    at = _micros("ts", isinstance(progress.schema["ts"].dataType, T.TimestampNTZType))
+    text = lambda c: F.coalesce(F.to_json(F.array(c)), F.lit("[null]"))
+    numbers = F.concat_ws(",", F.coalesce(at, last), F.coalesce("seq", last), F.col("page_to").cast("bigint"), F.col("total_pages").cast("bigint"))
+    step = F.concat(F.lit("["), numbers, *(part for c in ("status", "error") for part in (F.lit(","), F.substr(text(c), F.lit(2), F.length(text(c)) - 2))), F.lit("]"))
+    # one packed column: handing a session's rows over costs by the column
+    known = known.select("session_id", step.alias("step"))
     return known.groupBy("session_id").applyInPandasWithState(advance, SESSIONS, _OPEN, "update", GroupStateTimeout.NoTimeout)
 
 
