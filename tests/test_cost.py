@@ -30,6 +30,23 @@ def test_answers_are_parsed_once_per_branch(spark):
     assert ambiguous.count() == 0
 
 
+def test_one_row_group_is_dealt_to_all_cores(spark, tmp_path):
+    path = str(tmp_path / "rows.parquet")
+    spark.range(20000).selectExpr("id", "sha2(cast(id AS string), 512) AS text").coalesce(1).write.parquet(path)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, "64k")
+        scan = spark.read.parquet(path)
+        assert scan.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        dealt = spread(scan, "id")
+        held = dealt.groupBy(F.spark_partition_id().alias("s")).count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(r["count"] for r in held) == 20000 and max(r["count"] for r in held) < 10000
+
+
 def test_session_steps_by_time_of_either_kind(spark, tmp_path):
     rows = [(1, "2024-01-01 00:00:02.5", 2, 'p"\\', 3, None), (1, "2024-01-01 00:00:02.25", 3, "failed", 4, "old"), (2, None, 1, "failed", 1, 'last "x"'), (2, "2024-01-01 00:00:00", 9, None, 2, "")]
     for kind in ("timestamp", "timestamp_ntz"):
