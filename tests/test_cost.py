@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from veilspark.functions import patterns as P
+from veilspark.functions import patterns as P, text as X
 from veilspark.plans.session import spread
 from veilspark.sources.readers import read_pd_responses
 from veilspark.streaming import page_stream as S
@@ -59,3 +59,16 @@ def test_session_steps_by_time_of_either_kind(spark, tmp_path):
         S.run_available(steps, S.session_step(log), f"{log}/checkpoint", mode="update")
         got = sorted((r.session_id, r.page_to, r.next_page, r.status, r.error) for r in S.current_sessions(spark, log).collect())
         assert got == [(1, 4, 5, 'p"\\', ""), (2, 2, 3, "failed", 'last "x"')]
+
+
+def test_echoes_are_found_once_per_word(spark):
+    # runs of letters give nothing back: a long word without a mark costs no square of its length
+    mark = "⚠️[НЕТОЧНО: "
+    cases = [
+        (f"xx dog {mark}dog] z", f"xx {mark}dog] z"), (f"dog {mark}cat] z", f"dog {mark}cat] z"), (f"]ab {mark}ab|cd]de \t{mark}DE ]", f"]{mark}ab|cd]{mark}DE ]"),
+        (f"a {mark}a]", f"a {mark}a]"), ("no mark", "no mark"), (None, None), (f"{'w' * 60000} dog {mark}dog]", f"{'w' * 60000} {mark}dog]"),
+    ]
+    given = spark.createDataFrame(cases, "s string, want string")
+    shown = given.select(X.fold_uncertain_echo("s").alias("got"), "want")
+    assert [r.got == r.want for r in shown.collect()] == [True] * len(cases)
+    assert "{2,}+)" in plan_of(shown)
