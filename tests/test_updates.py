@@ -9,7 +9,7 @@ from test_golden import ENTRY
 
 from veilspark.operators import corpus as C, lines as L, matching as M, registry as R
 from veilspark.operators.redaction import second_pass_segments, segment_spans
-from veilspark.operators.spans import SpanStore
+from veilspark.operators.spans import SpanStore, _pieces
 from veilspark.plans import flows
 from veilspark.plans.session import scratch_dir
 from veilspark.plans.suite_stream import in_order
@@ -276,3 +276,19 @@ def test_listing_reads_no_content(spark):
     plan = listed._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan.split("ReadSchema")[-1]
     assert rows(listed, "route", "error") == [("rejected", "unsupported file type")]
+
+
+def test_words_meet_anchors_by_equality(spark):
+    # all words of a project were compared with all anchors of its mentions
+    words = ["straße", "a", "ab", "xyxyz", "12ab"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", _pieces(F.col("w"), [("part", 2), ("start", 3), ("part", 1)]).alias("p")).collect()
+    for r in got:
+        want = {("whole", r.w)} | {("part", r.w[i : i + n]) for n in (1, 2) for i in range(len(r.w) - n + 1)} | ({("start", r.w[:3])} if len(r.w) > 2 else set())
+        assert len(r.p) == len(want) and {tuple(x) for x in r.p} == want
+    store = SpanStore(spark, scratch_dir(spark, "marks"), parts=2, slots=2)
+    units = spark.createDataFrame([("p", 1, 0, "Иванова ab-straße"), ("p", 2, 0, "xyxyz"), ("q", 3, 0, "ab")], UNITS)
+    entry = spark.createDataFrame([("p", "e", 0, "other", None, "other", "yx", None, None, "[x]", None), person("n", "Иванов", ["Иванов"])], ENTRY)
+    store.add(0, units, M.match_dictionary(units, R.explode_registry(entry.filter("false"))))
+    assert rows(store.touched(R.explode_registry(entry)), "doc_id") == [(1,), (2,)]
+    store.rematch(1, entry)
+    assert rows(store.marks(), "doc_id", "hit") == sorted([(1, "Иванова"), (2, "yx")], key=repr)

@@ -32,6 +32,23 @@ def unit_words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(fold_case(text), F.lit(f"({WORD})"), F.lit(1)))
 
 
+def _pieces(word: Column, sizes: list[tuple[str, int]]) -> Column:
+    """array<struct<way, piece>>: the word as a whole, and its distinct starts
+    and parts of the given sizes."""
+    n = F.length(word)
+    named = lambda way, piece: F.struct(F.lit(way).alias("way"), piece.alias("piece"))
+    none = F.array().cast("array<struct<way:string,piece:string>>")
+    lists = [none, F.array(named("whole", word))]
+    for way, size in sizes:
+        if way == "start":
+            lists.append(F.when(n >= size, F.array(named("start", F.left(word, F.lit(size))))).otherwise(none))
+        elif way == "part":
+            begins = F.sequence(F.lit(1), n - size + 1)
+            parts = F.transform(begins, lambda i: F.substring(word, i, F.lit(size)))
+            lists.append(F.when(n >= size, F.transform(F.array_distinct(parts), lambda p: named("part", p))).otherwise(none))
+    return F.concat(*lists)
+
+
 class SpanStore:
     """Units, marks and index below ``path``; documents have ids of type
     ``id_type``. ``parts`` folders hold the units, ``slots`` the index."""
@@ -86,20 +103,23 @@ class SpanStore:
             rows = rows.filter(F.col(folder_name).isin(sorted({r[1] for r in listed})) & F.col(column).isin(sorted({r[0] for r in listed})))
         return rows.join(keys.select(*[c for c in keys.columns if c in rows.columns]).distinct(), [c for c in keys.columns if c in rows.columns], "left_semi")
 
-    def _places(self, mentions: DataFrame) -> DataFrame:
+    def _places(self, offered: DataFrame) -> DataFrame:
         """project_id, word_id: the words of each mention's rarest anchor. A
         mention one of whose anchors no word has is found nowhere."""
         ids = ["project_id", "pd_id", "mention"]
         # pairs of neighbours are no words
-        single = F.filter(mention_anchors(F.col("kind"), F.col("pd_type"), F.col("mention")), lambda a: ~a.startswith("B"))
-        offered = mentions.select(*ids, single.alias("_all"))
-        anchors = offered.select(*ids, F.size("_all").alias("n_anchors"), F.explode("_all").alias("anchor"))
+        single = F.filter("offered", lambda a: ~a.startswith("B"))
+        anchors = offered.select(*ids, F.size(single).alias("n_anchors"), F.explode(single).alias("anchor"))
         tag = F.regexp_extract("anchor", r"\A([A-Z]?)", 1)
         piece = F.regexp_replace("anchor", r"\A[A-Z][0-9]*:", "")
-        anchors = anchors.select(*ids, "n_anchors", "anchor", tag.alias("tag"), piece.alias("piece")).filter("tag <> ''")
+        # a word is the piece, starts with it or holds it
+        way = F.when(tag == "W", "whole").when(tag == "P", "start").otherwise("part")
+        anchors = anchors.filter(tag != "").select(*ids, "n_anchors", "anchor", way.alias("way"), piece.alias("piece"))
         words = self.tables.read("words").groupBy("project_id", "word", "word_id").agg(F.sum("n_units").alias("n_units"))
-        meets = F.when(F.col("tag") == "W", F.col("word") == F.col("piece")).when(F.col("tag") == "P", F.startswith("word", "piece")).otherwise(F.contains("word", "piece"))
-        found = settle(words.join(anchors, "project_id").filter(meets).select(*ids, "n_anchors", "anchor", "word_id", "n_units"))
+        # words offer their pieces of the lengths in use (a few), so that they meet anchors by equality
+        sizes = sorted({tuple(r) for r in anchors.select("way", F.length("piece")).distinct().collect()})
+        held = words.select("project_id", "word_id", "n_units", F.explode_outer(_pieces(F.col("word"), sizes)).alias("p")).select("project_id", "word_id", "n_units", "p.way", "p.piece")
+        found = settle(held.join(anchors, ["project_id", "way", "piece"]).select(*ids, "n_anchors", "anchor", "word_id", "n_units"))
         mass = found.groupBy(*ids, "n_anchors", "anchor").agg(F.sum("n_units").alias("mass"))
         best = mass.groupBy(*ids, "n_anchors").agg(F.min_by("anchor", F.struct("mass", "anchor")).alias("anchor"), F.count("*").alias("n")).filter("n = n_anchors")
         return found.join(best.select(*ids, "anchor"), [*ids, "anchor"], "left_semi").select("project_id", "word_id").distinct()
@@ -107,9 +127,12 @@ class SpanStore:
     def touched(self, mentions: DataFrame) -> DataFrame:
         """project_id, doc_id, unit_no of the units in which one of the mention
         rows may occur."""
-        wanted = settle(self._places(mentions))
+        # anchors are worked out once
+        every = mention_anchors(F.col("kind"), F.col("pd_type"), F.col("mention")).alias("offered")
+        offered = settle(mentions.select("project_id", "pd_id", "mention", every))
+        wanted = settle(self._places(offered))
         units = self._narrow(self.tables.read("postings"), wanted, "word_id", self._slot(), "slot").select(*KEY).distinct()
-        wordless = mentions.filter(F.array_contains(mention_anchors(F.col("kind"), F.col("pd_type"), F.col("mention")), "*")).select("project_id").distinct()
+        wordless = offered.filter(F.array_contains("offered", "*")).select("project_id").distinct()
         if not wordless.isEmpty():
             # a mention without letters and digits can be in any unit of its project
             units = units.unionByName(self.tables.read("units").join(wordless, "project_id", "left_semi").select(*KEY)).distinct()
