@@ -102,3 +102,14 @@ def test_many_matches_in_one_unit(spark, monkeypatch):
         monkeypatch.setattr(M, "RUN_BLOCK", block)
         got = M.resolve_overlaps(matches).select("doc_id", "unit_no", "start", "end", "n", "seq").collect()
         assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_lines_of_annotated_html_are_tidied_once(spark):
+    # each pass over the lines tidied, glued and classified all texts anew
+    docs = spark.range(3).selectExpr("'p' AS project_id", "id AS doc_id", "concat('# Head\\n\\na  b c\\nand ', id) AS text")
+    entries = [("p", f"e{i}", i, "other", None, "other", v, None, None, "[x]", None) for i, v in enumerate(["a b", "and", "nothing"])]
+    registry_ = spark.createDataFrame(entries, ENTRY)
+    shown = Z.annotate_html(docs, registry_, explode_registry(registry_), registry_.filter("pd_id = 'e1'").select("project_id", "pd_id"))
+    assert "Range (" not in shown._jdf.queryExecution().optimizedPlan().toString()
+    got = [r.html for r in shown.orderBy("doc_id").collect()]
+    assert len(got) == 3 and all(h.count('data-pd-id="e0"') == 1 and h.count('data-pd-id="e1"') == 1 and "[x]" in h for h in got)
